@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +27,22 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "4g") ->
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once for each Spark context; they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_regesta_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="regesta-package-")  # on the driver; Spark serves the file from here
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "regesta-package.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._regesta_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the session's spark.checkpoint.dir, or, on one machine only, a temporary one."""
     sc = spark.sparkContext
@@ -53,4 +73,5 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
