@@ -13,12 +13,32 @@ from regesta.functions.keys import canonical_url, code_insee, instant
 from regesta.llm.leakage import leaks
 from regesta.llm.mixing import count_tokens, mix, source_key
 from regesta.llm.survivor import survivors, undisputed
+from regesta.llm.variants import link_variants, variant_pairs
 from regesta.llm.truncation import truncated, truncation_by_source
 from regesta.session import materialise, table
 
 #: Where the vocabulary files of public tokenizers lie; a parameter of the installation.
 TOKENIZERS = os.environ.get("REGESTA_TOKENIZERS", "/opt/tokenizers")
 
+
+def association_names(spark: SparkSession, folder: str) -> DataFrame:
+    """id, code, name, alt_name, sigle and the municipality's name, which is given by its code."""
+    communes = table(spark, folder, "commune").groupBy(code_insee(F.col("code_insee")).alias("code")).agg(F.max("nom").alias("place"))
+    own = table(spark, folder, "association").select("id", code_insee(F.col("code_insee")).alias("code"), F.col("nom").alias("name"), F.col("nom_normalise").alias("alt_name"), "sigle").distinct()
+    return own.join(communes, "code", "left")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return variant_pairs(link_variants(association_names(spark, folder)))
+
+
+def p2_organisations(spark: SparkSession, folder: str) -> DataFrame:
+    """Every id with the number of its organisation and of the ids registered for it."""
+    linked = link_variants(association_names(spark, folder))
+    sizes = linked.groupBy("organisation").agg(F.count("*").alias("identifiants"))
+    return linked.join(sizes, "organisation").select("id", "organisation", "identifiants")
+
+
 _GROUP = ["association_id", "code_insee_h", "kind", "cle"]
 
 
@@ -101,6 +121,7 @@ def p10_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found, "p2_organisations": p2_organisations,
     "p6_found": p6_found, "p6_survivors": p6_survivors, "p8_found": p8_found, "p8_items": p8_items, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sources": p10_sources,
 }
 
