@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from regesta.functions.contacts import contact_key
 from regesta.functions.keys import canonical_url, code_insee, instant
 from regesta.llm.leakage import leaks
+from regesta.llm.mainbody import main_body
 from regesta.llm.mixing import count_tokens, mix, source_key
 from regesta.llm.survivor import survivors, undisputed
 from regesta.llm.variants import link_variants, variant_pairs
@@ -39,6 +40,23 @@ def p2_organisations(spark: SparkSession, folder: str) -> DataFrame:
     return linked.join(sizes, "organisation").select("id", "organisation", "identifiants")
 
 
+def cached_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "page_cache").select("cache_path", "domaine", "texte")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return main_body(cached_pages(spark, folder))
+
+
+def p5_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Visits of pages with the share of lines of their text that is main body, reached by page.cache_path."""
+    lines = F.filter(F.split("texte", "\n"), lambda x: F.trim(x) != "")
+    texts = table(spark, folder, "page_cache").select("cache_path", F.size(lines).alias("lignes"))
+    kept = main_body(cached_pages(spark, folder)).groupBy("cache_path").agg(F.count("*").alias("lignes_corps"))
+    visits = table(spark, folder, "page").select("cache_path", "campagne", "url_hash").where("cache_path is not null").distinct()
+    return visits.join(texts, "cache_path").join(kept, "cache_path", "left").select("campagne", "url_hash", "cache_path", "lignes", F.coalesce("lignes_corps", F.lit(0)).cast("long").alias("lignes_corps"))
+
+
 _GROUP = ["association_id", "code_insee_h", "kind", "cle"]
 
 
@@ -122,7 +140,7 @@ def p10_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_organisations": p2_organisations,
-    "p6_found": p6_found, "p6_survivors": p6_survivors, "p8_found": p8_found, "p8_items": p8_items, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sources": p10_sources,
+    "p5_found": p5_found, "p5_pages": p5_pages, "p6_found": p6_found, "p6_survivors": p6_survivors, "p8_found": p8_found, "p8_items": p8_items, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sources": p10_sources,
 }
 
 SQL: dict[str, str] = {}
