@@ -5,13 +5,14 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regesta.functions.contacts import contact_key
-from regesta.functions.keys import canonical_url, code_insee, instant
+from regesta.functions.contacts import contact_key, email_key, phone_key
+from regesta.functions.keys import canonical_url, code_insee, instant, trimmed
 from regesta.llm.leakage import leaks
 from regesta.llm.mainbody import main_body
+from regesta.llm.matching import match_entities
 from regesta.llm.mixing import count_tokens, mix, source_key
 from regesta.llm.survivor import survivors, undisputed
 from regesta.llm.variants import link_variants, variant_pairs
@@ -40,6 +41,43 @@ def p2_organisations(spark: SparkSession, folder: str) -> DataFrame:
     return linked.join(sizes, "organisation").select("id", "organisation", "identifiants")
 
 
+def _site(url: Column) -> Column:
+    """The host of a site, with or without scheme and www."""
+    return F.nullif(F.regexp_extract(F.lower(trimmed(url)), r"^(?:[a-z]+://)?(?:www\.)?([a-z0-9.\-]+)", 1), F.lit(""))
+
+
+def matched_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """fiche_id, organisation, association_id, confiance of every match that is likelier than not."""
+    linked = materialise(link_variants(association_names(spark, folder)), "organisations")
+    own = association_names(spark, folder).join(linked.select("id", "organisation"), "id")
+    region = F.when(F.col("code").rlike("^97|^98"), F.substring("code", 1, 3)).otherwise(F.substring("code", 1, 2))
+    right = own.select(F.col("organisation").alias("id"), F.explode(F.array("name", "alt_name")).alias("name"), "sigle", "place", region.alias("region"), F.lit(None).cast("string").alias("activity"))
+    fiche = table(spark, folder, "fiche_mairie")
+    # entries of one body are one: their names are linked like those of the register
+    entries = fiche.select(F.col("fiche_id").alias("id"), F.lit(None).cast("string").alias("code"), F.col("nom_affiche").alias("name"), F.col("nom_affiche").alias("alt_name"), F.lit(None).cast("string").alias("sigle"), F.col("commune_libelle").alias("place")).distinct()
+    same = materialise(link_variants(entries).select(F.col("id").alias("fiche_id"), F.col("organisation").alias("entree")), "entries")
+    fiche = fiche.join(same, "fiche_id")
+    left = fiche.select(F.col("entree").alias("id"), F.col("nom_affiche").alias("name"), F.lit(None).cast("string").alias("sigle"), F.col("commune_libelle").alias("place"), F.col("departement").alias("region"), F.col("activite").alias("activity"))
+    left_contacts = fiche.select(F.col("entree").alias("id"), F.explode(F.array(phone_key(F.col("telephone")), email_key(F.col("courriel")), F.concat(F.lit("//"), _site(F.col("site"))))).alias("contact"))
+    contact = table(spark, folder, "contact").where("association_id is not null")
+    values = F.array(contact_key(F.col("kind"), F.col("valeur_normalisee")), contact_key(F.col("kind"), F.col("valeur")), contact_key(F.col("kind"), F.col("valeur_corrigee")))
+    reached = contact.select(F.col("association_id").alias("id"), F.explode(values).alias("contact"))
+    sites = table(spark, folder, "association").select("id", F.concat(F.lit("//"), _site(F.col("site_web"))).alias("contact"))
+    right_contacts = reached.unionByName(sites).where("contact is not null").distinct().join(linked.select("id", "organisation"), "id").select(F.col("organisation").alias("id"), "contact")
+    likely = match_entities(left, right, left_contacts, right_contacts).where("p >= 0.5")
+    return likely.join(linked.select(F.col("organisation").alias("r"), F.col("id").alias("association_id")), "r").join(same, F.col("l") == F.col("entree")).select("fiche_id", F.col("r").alias("organisation"), "association_id", F.col("p").alias("confiance"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return matched_entries(spark, folder).select("fiche_id", "association_id").distinct()
+
+
+def p4_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """Every entry with its organisation and the confidence of the match, or without."""
+    found = matched_entries(spark, folder).groupBy("fiche_id").agg(F.max("confiance").alias("confiance"), F.max_by("organisation", "confiance").alias("organisation"), F.count("*").alias("identifiants"))
+    return table(spark, folder, "fiche_mairie").select("fiche_id").distinct().join(found, "fiche_id", "left")
+
+
 def cached_pages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "page_cache").select("cache_path", "domaine", "texte")
 
@@ -140,7 +178,7 @@ def p10_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_organisations": p2_organisations,
-    "p5_found": p5_found, "p5_pages": p5_pages, "p6_found": p6_found, "p6_survivors": p6_survivors, "p8_found": p8_found, "p8_items": p8_items, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sources": p10_sources,
+    "p4_found": p4_found, "p4_entries": p4_entries, "p5_found": p5_found, "p5_pages": p5_pages, "p6_found": p6_found, "p6_survivors": p6_survivors, "p8_found": p8_found, "p8_items": p8_items, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sources": p10_sources,
 }
 
 SQL: dict[str, str] = {}
