@@ -17,11 +17,17 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
+    edges = both.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+
+    def around(df: DataFrame) -> DataFrame:
+        least = edges.join(df, F.col("_b") == F.col("node")).groupBy("_a").agg(F.min("component").alias("m"))
+        return df.join(least, F.col("node") == F.col("_a"), "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
+
     while True:
-        around = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
-        near = labels.join(around, labels["node"] == around["a"], "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("new"))
-        jump = labels.select(F.col("node").alias("via"), F.col("component").alias("further"))
-        after = materialise(near.join(jump, near["new"] == jump["via"], "left").select("node", "old", F.least("new", F.coalesce("further", "new")).alias("component")), "labels")
+        near = around(labels)
+        further = near.select(F.col("node").alias("via"), F.col("component").alias("further"))
+        jumped = near.join(further, F.col("component") == F.col("via"), "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"))
+        after = materialise(jumped.join(labels.select(F.col("node").alias("was"), F.col("component").alias("old")), F.col("node") == F.col("was")).select("node", "component", "old"), "labels")
         labels = after.select("node", "component")
         if after.where("old <> component").isEmpty():
             return labels
