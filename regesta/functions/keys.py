@@ -64,13 +64,16 @@ def canonical_url(url: Column) -> Column:
 
     The path keeps its case. Null and blank give null; what is no address at all stays as it is, trimmed.
     """
-    u = trimmed(url)
-    scheme = F.lower(F.regexp_extract(u, _URL, 1))
-    host = F.lower(F.regexp_extract(u, _URL, 2))
-    host = F.when(scheme == "http", F.regexp_replace(host, r":(80)?$", "")).when(scheme == "https", F.regexp_replace(host, r":(443)?$", "")).otherwise(host)
-    path = F.regexp_extract(u, _URL, 3)
-    path = F.when(path == "", F.lit("/")).otherwise(F.replace(path, F.lit(" "), F.lit("%20")))
-    raw = F.regexp_extract(u, r"\?([^#]*)", 1)
-    query = F.when(raw == "", "").otherwise(_query(raw))
-    full = F.concat(scheme, F.lit("://"), host, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    return F.when(u.rlike(_PLAIN), u).when(u.rlike(_URL), full).otherwise(u)
+
+    def read(u: Column) -> Column:
+        scheme = F.lower(F.regexp_extract(u, _URL, 1))
+        host = F.lower(F.regexp_extract(u, _URL, 2))
+        host = F.when(scheme == "http", F.regexp_replace(host, r":(80)?$", "")).when(scheme == "https", F.regexp_replace(host, r":(443)?$", "")).otherwise(host)
+        path = F.regexp_extract(u, _URL, 3)
+        path = F.when(path == "", F.lit("/")).otherwise(F.replace(path, F.lit(" "), F.lit("%20")))
+        raw = F.regexp_extract(u, r"\?([^#]*)", 1)
+        query = F.when(raw == "", "").otherwise(F.concat(F.lit("?"), _query(raw)))
+        return F.when(u.rlike(_URL), F.concat(scheme, F.lit("://"), host, path, F.when(query == "?", "").otherwise(query))).otherwise(u)
+
+    # most addresses are canonical already; for the others the trimmed text is bound once, so the expression stays small
+    return F.when(url.rlike(_PLAIN), url).otherwise(F.element_at(F.transform(F.array(trimmed(url)), read), 1))

@@ -44,7 +44,7 @@ def retry_after_ms(header: Column, now: Column) -> Column:
     """Milliseconds that a server asks to wait, in seconds or as a date; a minute if it does not say, an hour at most."""
     seconds = F.when(header.rlike(r"^\s*\d+\s*$"), F.trim(header).try_cast("long") * 1000)
     date = F.try_to_timestamp(F.regexp_replace(F.trim(header), r"^\w+,\s*|\s*GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    until = F.greatest(F.unix_millis(date) - F.unix_millis(instant(now)), F.lit(0).cast("long"))
+    until = F.when(date.isNotNull(), F.greatest(F.unix_millis(date) - F.unix_millis(instant(now)), F.lit(0).cast("long")))
     return F.least(F.coalesce(seconds, until, F.lit(60_000).cast("long")), F.lit(3_600_000).cast("long"))
 
 

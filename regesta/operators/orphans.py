@@ -49,13 +49,16 @@ def orphan_references(refs: DataFrame, targets: DataFrame, *, heavy_keys: int =
         .select(*KEY, "nom_table", "periode", (~found).alias("absente"), "depuis", "lourde")
     )
     verdicts = materialise(verdicts, "verdicts")
-    on = ["nom_table", *KEY, "periode"]
-    light = verdicts.where("not lourde").drop("lourde")
-    hot = verdicts.where("lourde").groupBy("nom_table", *KEY).agg(F.max("absente").alias("absente"), F.max("depuis").alias("depuis"))
+    # records without a table name or period have verdicts as well, so these two compare as values
+    as_values = {"_table": F.coalesce("nom_table", F.lit("\u0000")), "_periode": F.coalesce("periode", F.lit("\u0000"))}
+    refs = refs.withColumns(as_values)
+    on = ["_table", *KEY, "_periode"]
+    light = verdicts.where("not lourde").withColumns(as_values).select(*on, "absente", "depuis")
+    hot = verdicts.where("lourde").withColumns(as_values).groupBy("_table", *KEY).agg(F.max("absente").alias("absente"), F.max("depuis").alias("depuis"))
     rest = F.broadcast(light) if light.count() <= broadcast_rows else light.hint("shuffle_hash")
     cold_refs = refs if hot.isEmpty() else refs.join(F.broadcast(heavy), KEY, "left_anti")
-    rows = cold_refs.join(rest, on).unionByName(refs.join(F.broadcast(hot), ["nom_table", *KEY]), allowMissingColumns=True)
-    return rows.where(F.col("absente") | (F.col("depuis") > F.col("instant"))).select(*on, "enregistrement", "absente").distinct()
+    rows = cold_refs.join(rest, on).unionByName(refs.join(F.broadcast(hot), ["_table", *KEY]))
+    return rows.where(F.col("absente") | (F.col("depuis") > F.col("instant"))).select("nom_table", *KEY, "periode", "enregistrement", "absente").distinct()
 
 
 def orphan_report(refs: DataFrame, orphans: DataFrame) -> DataFrame:
