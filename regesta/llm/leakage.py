@@ -125,7 +125,11 @@ def leaks(docs: DataFrame, items: DataFrame, *, broadcast_rows: int = 2_000_000)
     least = F.lit(max(1, keep - SHINGLE * EDITS))
     pairs = cells.groupBy("doc_id", "item_id", "partie", "cell").agg(F.collect_set(F.struct("d", "i")).alias("h")).where(F.size("h") >= least)
     pairs = pairs.groupBy("doc_id", "item_id", "partie").agg(F.array_distinct(F.flatten(F.collect_list("h"))).alias("h"))
-    joined = tokens.join(pairs, "doc_id").join(F.broadcast(parts) if few else parts, ["item_id", "partie"])
+    pairs = materialise(pairs, "pairs")
+    # only texts with a pair move, where their ids are few enough to be told to every task
+    ids = pairs.select("doc_id").distinct()
+    suspects = tokens.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= broadcast_rows else tokens
+    joined = suspects.join(pairs, "doc_id").join(F.broadcast(parts) if few else parts, ["item_id", "partie"])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

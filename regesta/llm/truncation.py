@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from regesta.session import materialise
 
@@ -11,9 +12,11 @@ OMISSION = r"(?:\\s|�)*(?:[\\[(]?\\s*(?:…|\\.\\.\\.+)\\s*[\\])]?(?:\\s*[\\[(
 
 # equal texts count once; doc_id is that of the first of them
 _TOKENS = """
-SELECT doc_id, copies, transform(regexp_extract_all(regexp_replace(text, '@omission', ''), '(\\\\n|[\\\\p{{L}}\\\\p{{M}}\\\\p{{N}}]+|[^\\\\s\\\\p{{L}}\\\\p{{M}}\\\\p{{N}}])', 1),
+SELECT doc_id, h1, h2, transform(regexp_extract_all(regexp_replace(text, '@omission', ''), '(\\\\n|[\\\\p{{L}}\\\\p{{M}}\\\\p{{N}}]+|[^\\\\s\\\\p{{L}}\\\\p{{M}}\\\\p{{N}}])', 1),
                          x -> regexp_replace(x, '\\\\p{{N}}+', '0')) AS w
-FROM (SELECT min(doc_id) AS doc_id, collect_list(doc_id) AS copies, text FROM {docs} WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY text)"""
+FROM (SELECT min(doc_id) AS doc_id, xxhash64(text) AS h1, hash(text) AS h2, text FROM {docs} WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY text)"""
+
+_COPIES = "SELECT DISTINCT doc_id, xxhash64(text) AS h1, hash(text) AS h2 FROM {docs} WHERE text IS NOT NULL AND doc_id IS NOT NULL"
 
 _VOCABULARY = """
 SELECT word FROM (SELECT lower(x) AS word, count(*) AS n FROM {tokens} LATERAL VIEW explode(w) AS x GROUP BY lower(x))
@@ -21,11 +24,11 @@ WHERE n >= greatest(@least, @share * (SELECT sum(size(w)) FROM {tokens}))"""
 
 # each position of a text with its trigram; a word outside the vocabulary counts by its kind only
 _TRIGRAMS = """
-SELECT doc_id, copies, i - size AS at_end, last RLIKE '[\\\\p{{L}}\\\\p{{N}}]' AS word_last,
+SELECT doc_id, i - size AS at_end, last RLIKE '[\\\\p{{L}}\\\\p{{N}}]' AS word_last,
        CASE WHEN a = '' THEN '' WHEN va.word IS NOT NULL THEN va.word WHEN a RLIKE '^\\\\p{{Lu}}' THEN '<N>' ELSE '<r>' END AS a,
        CASE WHEN b = '' THEN '' WHEN vb.word IS NOT NULL THEN vb.word WHEN b RLIKE '^\\\\p{{Lu}}' THEN '<N>' ELSE '<r>' END AS b,
        CASE WHEN vc.word IS NOT NULL THEN vc.word WHEN c RLIKE '^\\\\p{{Lu}}' THEN '<N>' ELSE '<r>' END AS c
-FROM (SELECT doc_id, copies, w[size(w) - 1] AS last, size(w) AS size, i + 1 AS i, CASE WHEN i < 2 THEN '' ELSE w[i - 2] END AS a, CASE WHEN i < 1 THEN '' ELSE w[i - 1] END AS b, c FROM {tokens} LATERAL VIEW posexplode(w) AS i, c)
+FROM (SELECT doc_id, w[size(w) - 1] AS last, size(w) AS size, i + 1 AS i, CASE WHEN i < 2 THEN '' ELSE w[i - 2] END AS a, CASE WHEN i < 1 THEN '' ELSE w[i - 1] END AS b, c FROM {tokens} LATERAL VIEW posexplode(w) AS i, c)
 LEFT JOIN {vocabulary} AS va ON va.word = lower(a) LEFT JOIN {vocabulary} AS vb ON vb.word = lower(b) LEFT JOIN {vocabulary} AS vc ON vc.word = lower(c)"""
 
 _COUNTS = "SELECT a, b, c, count(*) AS n, count_if(at_end = 0) AS t, count_if(at_end = -1 AND word_last) AS p FROM {trigrams} GROUP BY a, b, c"
@@ -75,8 +78,13 @@ def truncated(docs: DataFrame, *, threshold: float = 0.012, weight: float = 30.0
     unigrams = spark.sql(_UNIGRAMS, bigrams=bigrams)
     ends = spark.sql(_ENDS.replace("@weight", repr(weight)), trigrams=trigrams, counts=counts, bigrams=bigrams, unigrams=unigrams)
     verdicts = spark.sql(_VERDICT.replace("@threshold", repr(threshold)), ends=ends)
-    copies = tokens.selectExpr("doc_id AS first", "explode(copies) AS doc_id")
-    return spark.sql("SELECT c.doc_id, v.last, v.inside, v.final_rate, v.before_rate, v.tronque FROM {verdicts} AS v JOIN {copies} AS c ON c.first = v.doc_id", verdicts=verdicts, copies=copies)
+    firsts = tokens.select(F.col("doc_id").alias("first"), "h1", "h2")
+    copies = spark.sql(_COPIES, docs=docs.select("doc_id", "text"))
+    return spark.sql(
+        """SELECT c.doc_id, v.last, v.inside, v.final_rate, v.before_rate, v.tronque
+           FROM {copies} AS c JOIN {firsts} AS f ON f.h1 = c.h1 AND f.h2 = c.h2 JOIN {verdicts} AS v ON v.doc_id = f.first""",
+        copies=copies, firsts=firsts, verdicts=verdicts,
+    )
 
 
 def truncation_by_source(verdicts: DataFrame, docs: DataFrame) -> DataFrame:
