@@ -54,16 +54,16 @@ def snapshot_changes(rows: DataFrame, keys: list[str], snapshot: str, value: str
     Keys become ordinals; a snapshot becomes a bitmap of ordinals, kept as 64-bit words of which only those with a
     bit set exist, and beside each word a vector of its values in the order of ordinals. A word meets that of the
     snapshot before it: AND-NOT one way gives additions, the other way withdrawals, and where both have a bit
-    the two vectors show whether the values differ. Rows are shuffled once, by bucket; then what moves is one row
+    the two vectors show whether the values differ. One row for a key and snapshot goes to its bucket; then what moves is one row
     for 64 keys of a snapshot, and finally the changed ordinals, which go back to keys through the dictionary.
 
     Rows with a null snapshot or a null key are left out. An empty table, or one snapshot, gives no change. The
     list of different snapshots is all that comes to the driver.
     """
     clean = rows.select(*keys, F.col(snapshot).alias("_snap"), F.col(value).alias("_value"), F.col(version).alias("_version")).dropna(subset=[*keys, "_snap"])
-    clean = clean.withColumn("bucket", _bucket(keys, buckets)).repartition("bucket")
     latest = F.max(F.when(F.col("_value").isNotNull(), F.struct("_version", "_value")))["_value"]
-    one = clean.groupBy("bucket", *keys, "_snap").agg(latest.alias("_value"))
+    # copies of a row meet in the map tasks already, so a hot key moves as one row per task
+    one = clean.groupBy(*keys, "_snap").agg(latest.alias("_value")).withColumn("bucket", _bucket(keys, buckets))
     ordered = materialise(assign_ordinals(one, keys, known, buckets).select("bucket", "ordinal", *keys, "_snap", "_value"), "ordinals")
 
     snaps = sorted(r[0] for r in ordered.select("_snap").distinct().collect())
