@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from regesta.functions.scoring import cents
 from regesta.functions.text import normalise_name
 
 LEAST_NAME = 8
@@ -43,3 +44,20 @@ def attach(contexts: DataFrame, names: DataFrame) -> DataFrame:
     size = contexts.select("item", "code_insee", "ctx_id", F.length("texte").alias("taille"))
     best = size.join(hits, ["code_insee", "ctx_id"]).groupBy("item").agg(F.min(F.struct("taille", "ctx_id", (-F.length("nom_cle")).alias("l"), "nom_cle", "association_id")).alias("b"))
     return best.select("item", "b.nom_cle", "b.association_id")
+
+
+def attach_contacts(contacts: DataFrame, names: DataFrame) -> DataFrame:
+    """Contacts of pages (page, code_insee, kind, valeur_normalisee, methode, confiance, contextes) with the association they belong to, if any.
+
+    A contact whose contexts name exactly one living association of its municipality is attached: its method says so and its
+    confidence is nine tenths, to the cent. Any other stays with the municipality. rattachable: a context names something at all.
+    """
+    item = F.concat_ws("|", "page", "kind", "valeur_normalisee")
+    keyed = contacts.withColumn("item", item)
+    contexts = keyed.select("item", "code_insee", F.posexplode("contextes").alias("i", "texte")).select("item", "code_insee", F.concat_ws("|", "item", F.col("i").cast("string")).alias("ctx_id"), "texte")
+    found = keyed.join(attach(contexts, names), "item", "left")
+    own = F.col("association_id").isNotNull()
+    return found.select(
+        *(c for c in contacts.columns if c not in ("methode", "confiance")), "association_id", F.col("nom_cle").isNotNull().alias("rattachable"), F.when(own, F.concat("methode", F.lit("+nom"))).otherwise(F.col("methode")).alias("methode"),
+        F.when(own, cents(F.col("confiance") * 0.9)).otherwise(F.col("confiance")).alias("confiance"),
+    )

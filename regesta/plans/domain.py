@@ -10,6 +10,7 @@ from regesta.functions import links as fl
 from regesta.functions import net, places, times
 from regesta.functions.classify import association_type
 from regesta.functions.keys import canonical_url, code_insee, trimmed
+from regesta.functions.pages import parse_page
 from regesta.functions.scoring import CONTACT_VERSION
 from regesta.functions.text import normalise_name
 from regesta.operators import attach as oa
@@ -20,7 +21,7 @@ from regesta.operators import pages as op
 from regesta.operators.expectations import RULES, broken
 from regesta.operators.upserts import fold_communes, insert_new, latest, minimal_communes, upsert_contacts
 from regesta.plans.general import sql_code, sql_url
-from regesta.session import table
+from regesta.session import ship, table
 
 #: The instant that stands for now, so that results do not change from day to day.
 NOW = "2026-03-20T00:00:00.000Z"
@@ -573,3 +574,34 @@ def contraintes(spark, folder):
 @query("sites_normalises")
 def sites(spark, folder):
     return associations(spark, folder).select("id", places.site_address(trimmed(F.col("site_web"))).alias("site"))
+
+
+_HTML = [
+    ("https://bruz.example/associations", "35047", '<nav><a href="/">Accueil</a></nav><table><tr><td>Tennis club des Landes<td><a href="mailto:Contact@tennis.example?subject=x">écrire</a><td>02 99 00 00 01</table><p>Chorale du Bourg : chorale [at] exemple [dot] fr'),
+    ("https://bruz.example/contact", "35047", '<ul><li>Mairie <a href="tel:+33299000000">appeler</a><li>Marie, 06 12 34 56 78, marie.dupont@bruz.example</ul>'),
+]
+_NAMED = [(1, "35047", "Tennis club des Landes", None), (2, "35047", "Chorale du Bourg", None), (3, "35047", "Chorale du bourg", None)]
+
+
+def _inline_contacts(spark: SparkSession) -> DataFrame:
+    docs = spark.createDataFrame(_HTML, "page string, code_insee string, html string").select("page", "code_insee", parse_page("html", "page").alias("doc"))
+    return op.page_contacts(docs)
+
+
+@query("s15_extraction")
+def s15(spark, folder):
+    """From the HTML of two pages to contacts and the associations that they belong to."""
+    ship(spark)
+    names = oa.known_names(spark.createDataFrame(_NAMED, "id long, code_insee string, nom string, date_dissolution string"))
+    return oa.attach_contacts(_inline_contacts(spark), names).drop("contextes")
+
+
+@query("w12_derniers_passages", "SELECT campagne, count(*) AS pages, min(planifiee_at) AS debut, max(fetched_at) AS fin FROM p GROUP BY 1 ORDER BY campagne DESC LIMIT 5")
+def w12(spark, folder):
+    runs = pages(spark, folder).groupBy("campagne").agg(F.count("*").alias("pages"), F.min("planifiee_at").alias("debut"), F.max("fetched_at").alias("fin"))
+    return oc.top_rows(runs, [F.desc("campagne")], 5)
+
+
+@query("d5_issues", "SELECT url_hash, CASE WHEN profondeur = 0 AND statut <> 'visitee' THEN CASE statut WHEN 'bloquee' THEN 'interdit_robots' WHEN 'hors_type' THEN 'refuse' ELSE 'injoignable' END END AS issue FROM p WHERE statut <> 'a_visiter'")
+def d5(spark, folder):
+    return pages(spark, folder).where("statut <> 'a_visiter'").select("url_hash", times.commune_outcome(F.col("statut"), F.col("profondeur")).alias("issue"))

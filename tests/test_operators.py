@@ -223,3 +223,16 @@ def test_insert_new(spark, known_rows):
     old = None if known_rows is None else spark.createDataFrame(known_rows, "k string, t int")
     got = {(r.k, r.t) for r in insert_new(df, old, ["k"], ["t"]).collect()}
     assert got == ({("a", 1), (None, 1)} if old is None else {(None, 1)})
+
+
+def test_contacts_of_pages(spark):
+    from regesta.plans import domain
+
+    got = {(r.kind, r.valeur_normalisee): r for r in domain.QUERIES["s15_extraction"](spark, "").collect()}
+    assert {k: (r.methode, r.confiance, r.association_id) for k, r in got.items()} == {
+        ("email", "contact@tennis.example"): ("dom:mailto+nom", 0.81, 1), ("phone", "+33299000001"): ("texte:motif+nom", 0.54, 1), ("email", "chorale@exemple.fr"): ("texte:obfusque", 0.45, None),
+        ("phone", "+33299000000"): ("dom:tel", 0.9, None), ("email", "marie.dupont@bruz.example"): ("texte:motif", 0.6, None),
+    }
+    assert got["email", "chorale@exemple.fr"].rattachable and not got["email", "marie.dupont@bruz.example"].rattachable
+    docs = spark.createDataFrame(domain._HTML, "page string, code_insee string, html string").select("page", "code_insee", domain.parse_page("html", "page").alias("doc"))
+    assert [tuple(r) for r in op.excluded_mobiles(docs).collect()] == [("https://bruz.example/contact", 1)]
