@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "4g") -> SparkSession:
@@ -72,6 +72,13 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_with(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """materialise, and aggregates of the rows that were written, taken on the way: they cost no job of their own."""
+    seen = Observation()
+    kept = materialise(df.observe(seen, *(c.alias(k) for k, c in measures.items())), name)
+    return kept, seen.get
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
