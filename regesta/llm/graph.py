@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regesta.session import materialise
+from regesta.session import materialise, materialise_with
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,15 +19,12 @@ def components(edges: DataFrame) -> DataFrame:
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
     edges = both.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
 
-    def around(df: DataFrame) -> DataFrame:
-        least = edges.join(df, F.col("_b") == F.col("node")).groupBy("_a").agg(F.min("component").alias("m"))
-        return df.join(least, F.col("node") == F.col("_a"), "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
-
     while True:
-        near = around(labels)
-        further = near.select(F.col("node").alias("via"), F.col("component").alias("further"))
-        jumped = near.join(further, F.col("component") == F.col("via"), "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"))
-        after = materialise(jumped.join(labels.select(F.col("node").alias("was"), F.col("component").alias("old")), F.col("node") == F.col("was")).select("node", "component", "old"), "labels")
+        least = edges.join(labels, F.col("_b") == F.col("node")).groupBy("_a").agg(F.min("component").alias("m"))
+        near = labels.join(least, F.col("node") == F.col("_a"), "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("component"))
+        # the label of that label, as it was before this round: chains get shorter by half
+        further = labels.select(F.col("node").alias("via"), F.col("component").alias("further"))
+        after, seen = materialise_with(near.join(further, F.col("component") == F.col("via"), "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"), "old"), "labels", moved=F.count_if(F.col("old") != F.col("component")))
         labels = after.select("node", "component")
-        if after.where("old <> component").isEmpty():
+        if not seen["moved"]:
             return labels

@@ -49,21 +49,19 @@ def _site(url: Column) -> Column:
 
 def matched_entries(spark: SparkSession, folder: str) -> DataFrame:
     """fiche_id, organisation, association_id, confiance of every match that is likelier than not."""
-    linked = materialise(link_variants(association_names(spark, folder)), "organisations")
-    own = association_names(spark, folder).join(linked.select("id", "organisation"), "id")
     region = F.when(F.col("code").rlike("^97|^98"), F.substring("code", 1, 3)).otherwise(F.substring("code", 1, 2))
-    right = own.select(F.col("organisation").alias("id"), F.explode(F.array("name", "alt_name")).alias("name"), "sigle", "place", "code", region.alias("region"), F.lit(None).cast("string").alias("activity"))
+    register = association_names(spark, folder).withColumn("region", region)
     fiche = table(spark, folder, "fiche_mairie")
     codes = table(spark, folder, "commune").select(normalise_name(F.col("nom")).alias("place_key"), code_insee(F.col("code_insee")).alias("code")).distinct()
     placed = fiche.withColumn("place_key", normalise_name(F.col("commune_libelle"))).join(codes, "place_key", "left")
-    left = placed.select(F.col("fiche_id").alias("id"), F.col("nom_affiche").alias("name"), F.lit(None).cast("string").alias("sigle"), F.col("commune_libelle").alias("place"), "code", F.col("departement").alias("region"), F.col("activite").alias("activity"))
-    left_contacts = fiche.select(F.col("fiche_id").alias("id"), F.explode(F.array(phone_key(F.col("telephone")), email_key(F.col("courriel")), F.concat(F.lit("//"), _site(F.col("site"))))).alias("contact"))
+    entries = placed.select(F.col("fiche_id").alias("id"), F.col("nom_affiche").alias("name"), F.lit(None).cast("string").alias("sigle"), F.col("commune_libelle").alias("place"), "code", F.col("departement").alias("region"), F.col("activite").alias("activity"))
+    entry_contacts = fiche.select(F.col("fiche_id").alias("id"), F.explode(F.array(phone_key(F.col("telephone")), email_key(F.col("courriel")), F.concat(F.lit("//"), _site(F.col("site"))))).alias("contact"))
     contact = table(spark, folder, "contact").where("association_id is not null")
     values = F.array(contact_key(F.col("kind"), F.col("valeur_normalisee")), contact_key(F.col("kind"), F.col("valeur")), contact_key(F.col("kind"), F.col("valeur_corrigee")))
     reached = contact.select(F.col("association_id").alias("id"), F.explode(values).alias("contact"))
     sites = table(spark, folder, "association").select("id", F.concat(F.lit("//"), _site(F.col("site_web"))).alias("contact"))
-    right_contacts = reached.unionByName(sites).where("contact is not null").distinct().join(linked.select("id", "organisation"), "id").select(F.col("organisation").alias("id"), "contact")
-    likely = match_entities(left, right, left_contacts, right_contacts).where("p >= 0.5")
+    matches, linked = match_entities(entries, register, entry_contacts, reached.unionByName(sites))
+    likely = matches.where("p >= 0.5")
     return likely.join(linked.select(F.col("organisation").alias("r"), F.col("id").alias("association_id")), "r").select(F.col("l").alias("fiche_id"), F.col("r").alias("organisation"), "association_id", F.col("p").alias("confiance"))
 
 

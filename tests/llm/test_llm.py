@@ -127,10 +127,13 @@ def test_matching(spark):
     left = spark.createDataFrame([(10, "PLEMUBOSSE TRUJAFOLE, MOTO CLUB", None, "BOURG", "35001", "35", None), (11, "Gratibune Solafert (moto club)", None, None, None, None, "moto club"), (12, "Moto club Inconnu Quelconque", None, "Bourg", "35001", "35", None), (13, None, None, None, None, None, None), (10, "PLEMUBOSSE TRUJAFOLE, MOTO CLUB", None, "BOURG", "35001", "35", None)], schema)
     lc = spark.createDataFrame([(11, "a@b.fr"), (12, "z@b.fr"), (13, None)], "id long, contact string")
     rc = spark.createDataFrame([(3, "a@b.fr"), (3, "a@b.fr"), (2, "z@b.fr")], "id long, contact string")
+    right = right.withColumn("alt_name", F.col("name"))
     extra = (left.withColumn("p", F.lit(1)), right.withColumn("theta", F.lit(1)))
-    got = {(r.l, r.r): r.p for r in matching.match_entities(*extra, lc, rc, least=3, share=0.3).collect()}
-    assert {k for k, p in got.items() if p >= 0.5} == {(10, 1), (11, 3)}
-    assert matching.match_entities(left.limit(0), right, lc, rc).count() == 0
+    matches, linked = matching.match_entities(*extra, lc, rc, least=3, share=0.3)
+    ids = {r.organisation: r.id for r in linked.collect()}
+    assert len(ids) == 7 and {(r.l, ids[r.r]) for r in matches.collect() if r.p >= 0.5} == {(10, 1), (11, 3)}
+    assert matching.match_entities(left.limit(0), right, lc, rc)[0].count() == 0
+    assert matching.match_entities(left, right.limit(0), lc, rc)[0].count() == 0
 
 
 # --- p5: main bodies ----------------------------------------------------------------------------------------------
