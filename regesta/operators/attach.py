@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regesta.functions.scoring import cents
@@ -18,7 +18,7 @@ def known_names(associations: DataFrame) -> DataFrame:
     return one.select("code_insee", "nom_cle", F.when(F.col("first") == F.col("last"), F.col("first")).alias("association_id"))
 
 
-def named_in(contexts: DataFrame, names: DataFrame, words: int = 12) -> DataFrame:
+def named_in(contexts: DataFrame, names: DataFrame) -> DataFrame:
     """contexts (code_insee, ctx_id, texte) with every known name that stands in them as whole words: code_insee, ctx_id, nom_cle, association_id.
 
     Not a join of all names of a municipality with all its texts: a name is found by its first two words (or its only one), which are
@@ -26,9 +26,13 @@ def named_in(contexts: DataFrame, names: DataFrame, words: int = 12) -> DataFram
     """
     spaced = F.concat(F.lit(" "), normalise_name(F.col("texte")), F.lit(" "))
     text = contexts.select("code_insee", "ctx_id", spaced.alias("t")).where("code_insee is not null")
-    w = F.split(F.trim("t"), " ")
-    starts = F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.concat_ws(" ", F.element_at(w, i), F.try_element_at(w, i + 1)))
-    singles = F.array_distinct(F.concat(w, starts))
+
+    def starts(w: Column) -> Column:
+        pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y))
+        return F.array_distinct(F.concat(w, pairs))
+
+    # the words of a text are bound once: a lambda would split the text again for each of them
+    singles = F.element_at(F.transform(F.array(F.split(F.trim("t"), " ")), starts), 1)
     found = text.select("code_insee", "ctx_id", "t", F.explode(singles).alias("debut"))
     keyed = names.withColumn("debut", F.when(F.col("nom_cle").contains(" "), F.array_join(F.slice(F.split("nom_cle", " "), 1, 2), " ")).otherwise(F.col("nom_cle")))
     met = found.join(keyed, ["code_insee", "debut"])
