@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regesta.functions.text import normalise_name
@@ -208,25 +208,46 @@ def index_keys(unit: str, k: int) -> list[str]:
     return [f"{k}:{len(unit)}:{i}:{unit[at[i] : at[i + 1]]}" for i in range(k + 1)]
 
 
-def probe_keys(unit: str, k: int) -> set[str]:
-    """The substrings of a unit that can be a segment of one as long or up to k shorter, at the places to which i edits before and k - i after can shift it."""
+def _probes(unit: str, m: int, k: int) -> set[str]:
+    """The substrings of a unit that can be a segment of one of m letters, at the places to which i edits before and k - i after can shift it.
+
+    Two letters that change places across a cut count as an edit of the segment after it: the one before is asked for with its last letter also as it was.
+    """
     out = set()
-    n = len(unit)
-    for m in range(max(k + 1, n - k), n + 1):
-        at, gap = cuts(m, k), n - m
-        for i in range(k + 1):
-            size = at[i + 1] - at[i]
-            for p in range(max(0, at[i] - i, at[i] + gap - (k - i)), min(n - size, at[i] + i, at[i] + gap + (k - i)) + 1):
-                out.add(f"{k}:{m}:{i}:{unit[p : p + size]}")
+    n, at = len(unit), cuts(m, k)
+    gap = n - m
+    for i in range(k + 1):
+        size = at[i + 1] - at[i]
+        for p in range(max(0, at[i] - i, at[i] + gap - (k - i)), min(n - size, at[i] + i, at[i] + gap + (k - i)) + 1):
+            out.add(f"{k}:{m}:{i}:{unit[p : p + size]}")
+            if i < k and p + size < n:
+                out.add(f"{k}:{m}:{i}:{unit[p : p + size - 1]}{unit[p + size]}")
     return out
 
 
-def units(core: Sequence[str]) -> set[tuple[str, int]]:
-    """What is looked up: each own word, and two of them written as one in either order; k = 1, or 2 from ten letters on."""
-    words = [w for w in core if len(w) >= 4]
-    near = [(x, y) for i, x in enumerate(words) for y in (words[i + 1 :] if len(words) <= 4 else words[i + 1 : i + 2])]
-    out = {(w, 1 if len(w) < 10 else 2) for w in words}
-    return out | {(u, 1 if len(u) < 10 else 2) for x, y in near for u in (x + y, y + x)}
+def probe_keys(unit: str, k: int) -> set[str]:
+    """What finds the segments of every unit as long or up to k shorter."""
+    return set().union(*(_probes(unit, m, k) for m in range(max(k + 1, len(unit) - k), len(unit) + 1)))
+
+
+def reach(length: int) -> int:
+    """The edits that same_body grants two words, the shorter of this length."""
+    return 1 if length < 6 else 2
+
+
+def unit_keys(unit: str) -> list[str]:
+    return index_keys(unit, reach(len(unit)))
+
+
+def asked_keys(unit: str, longer: bool) -> set[str]:
+    """What finds every unit within reach: those as long or shorter, and the longer ones too."""
+    n = len(unit)
+    return set().union(*(_probes(unit, m, reach(m)) for m in range(max(2, n - 2), n + (2 if longer else 0) + 1) if abs(n - m) <= reach(m) < m))
+
+
+def joined_words(core: Sequence[str]) -> list[str]:
+    """Two own words written as one, in either order: what the single word of another name may be."""
+    return [core[0] + core[1], core[1] + core[0]] if len(core) == 2 else []
 
 
 def name_nodes(base: DataFrame, least: int, share: float, words_of: DataFrame | None = None) -> tuple[DataFrame, frozenset[str]]:
@@ -250,10 +271,11 @@ def parse_names(base: DataFrame, known: frozenset[str]) -> DataFrame:
 
 
 def segment_keys(names: DataFrame) -> DataFrame:
-    """n, side, unit, k, probe, key: the entries of the inverted index (not probe), and what is looked up in it (probe).
+    """n, side, unit, probe, key: the entries of the inverted index (not probe), and what is looked up in it (probe).
 
-    The key holds the municipality: a name that knows its own is looked up there and among the names that know none ('?');
-    a name that knows none among all ('*').
+    The key holds the municipality: a name that knows its own is looked up there; a name that knows none among all ('*'), for longer
+    units as well as shorter ones, so that nothing needs to be looked up among the names that know none. Joined words are only entries,
+    found by the single word of another name.
     """
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,26 +283,34 @@ def segment_keys(names: DataFrame) -> DataFrame:
         for b in (whole.iloc[i : i + 500] for whole in batches for i in range(0, len(whole), 500)):
             out = []
             for n, side, code, core in zip(b["n"], b["side"], b["code"], b["core"], strict=True):
-                here = code if isinstance(code, str) else "?"
-                asked = (here, "?") if here != "?" else ("*",)
-                for u, k in units(core):
-                    out += [(n, side, u, k, False, f"{c}|{key}") for key in index_keys(u, k) for c in (here, "*")]
-                    out += [(n, side, u, k, True, f"{c}|{key}") for key in probe_keys(u, k) for c in asked]
-            yield pd.DataFrame(out, columns=["n", "side", "unit", "k", "probe", "key"])
-
-    keys = names.select("n", "side", "code", "core").mapInPandas(keyed, "n long, side int, unit string, k int, probe boolean, key string")
+                here = code if isinstance(code, str) else "*"
+                words, joined = set(core), set(joined_words(core))
+                for u in words | joined:
+                    out += [(n, side, u, False, f"{c}|{key}") for key in unit_keys(u) for c in {here, "*"}]
+                for u in words | joined if here == "*" else words:
+                    out += [(n, side, u, True, f"{here}|{key}") for key in asked_keys(u, here == "*" or len(core) == 1)]
+            yield pd.DataFrame(out, columns=["n", "side", "unit", "probe", "key"])
+
+    keys = names.select("n", "side", "code", "core").mapInPandas(keyed, "n long, side int, unit string, probe boolean, key string")
     return materialise(keys.withColumn("key", F.xxhash64("key")), "segments")
 
 
+def _sorted(unit: str) -> Column:
+    return F.array_join(F.array_sort(F.split(unit, "")), "")
+
+
 def near_pairs(keys: DataFrame) -> DataFrame:
     """a, b, entry: nodes with units near each other, found by a common segment and checked by a banded distance.
 
-    Nodes of side 1 (a register) meet each other, a < b; a node of side 0 (an entry, then a, with entry true) meets those of side 1 only.
+    The distance of the JVM counts two letters that change places as two edits, so what is further by it but has nearly the same letters stays
+    for same_body. Nodes of side 1 (a register) meet each other, a < b; a node of side 0 (an entry, then a, with entry true) meets those of side 1 only.
     """
-    p = keys.where("probe").select("key", F.col("n").alias("x"), F.col("side").alias("sx"), F.col("unit").alias("ux"), "k")
+    p = keys.where("probe").select("key", F.col("n").alias("x"), F.col("side").alias("sx"), F.col("unit").alias("ux"))
     i = keys.where("not probe").select("key", F.col("n").alias("y"), F.col("side").alias("sy"), F.col("unit").alias("uy"))
     met = p.join(i, "key").where((F.col("x") != F.col("y")) & (F.col("sx") + F.col("sy") > 0))
-    close = met.where(F.when(F.col("k") == 1, F.levenshtein("ux", "uy", 2) >= 0).otherwise(F.levenshtein("ux", "uy", 3) >= 0))
+    one = (F.levenshtein("ux", "uy", 1) >= 0) | ((F.levenshtein("ux", "uy", 2) >= 0) & (_sorted("ux") == _sorted("uy")))
+    two = (F.levenshtein("ux", "uy", 2) >= 0) | ((F.levenshtein("ux", "uy", 4) >= 0) & (F.levenshtein(_sorted("ux"), _sorted("uy"), 2) >= 0))
+    close = met.where(F.when(F.least(F.length("ux"), F.length("uy")) < 6, one).otherwise(two))
     first = (F.col("sx") < F.col("sy")) | ((F.col("sx") == F.col("sy")) & (F.col("x") < F.col("y")))
     return close.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"), (F.col("sx") != F.col("sy")).alias("entry")).distinct()
 
@@ -333,7 +363,7 @@ def link_variants(records: DataFrame, *, least: int = 8, share: float = 0.007) -
     Names are normalised, and equal names of one municipality are one node, so copies cost nothing. Words found in at least
     `least` names and a share of them (at most words-per-name / share words: the bound of their broadcast) are known
     words, of activities and first names; the others are a name's own. The own words, singly and written together, are cut into
-    k + 1 segments; an inverted index of segments meets the position-shifted substrings of the other
+    k + 1 segments, k being the edits that the verification grants; an inverted index of segments meets the position-shifted substrings of the other
     names, within one municipality, and across all for names without one. What shares a segment is verified
     by edit distance in a band, first in the JVM, then with the rest of the name. Linked names and the several names
     of one id form the organisations as connected components.

@@ -67,6 +67,29 @@ def test_segments_find_every_word_within_the_edits(word, edits, k):
     assert variants.probe_keys(long, k) & set(variants.index_keys(short, k))
 
 
+@given(st.text("abcd", min_size=5, max_size=14), st.lists(st.tuples(st.sampled_from("idst"), st.integers(0, 13), st.sampled_from("abcd")), max_size=2))
+def test_index_finds_every_word_that_the_verifier_accepts(word, edits):
+    other = word
+    for kind, at, c in edits:
+        at = min(at, max(len(other) - 1, 0))
+        other = other[:at] + {"i": c + other[at:], "d": other[at + 1 :], "s": c + other[at + 1 :], "t": other[at + 1 : at + 2] + other[at : at + 1] + other[at + 2 :]}[kind]
+    least = min(len(word), len(other))
+    if least < 5 or distance(word, other) > (2 if least >= 6 else 1):
+        return
+    for x, y in ((word, other), (other, word)):
+        assert variants.asked_keys(x, True) & set(variants.unit_keys(y))
+        assert len(x) < len(y) or variants.asked_keys(x, False) & set(variants.unit_keys(y))
+
+
+def test_variants_across_lengths_and_cuts(spark):
+    # 9 and 10 letters; two letters changing places over the middle of a word of 8; two edits in a word of 7; two places changed; the same with one side's municipality unknown
+    pairs = [("Bravitolu", "Bravitolus"), ("Dramsiku", "Dramisku"), ("Fropgal", "Frupgil"), ("Glimbetu", "Gilmbteu"), ("Kelvonarst", "Kelvonars")]
+    rows = [(10 * i + j, None if known and j else f"M{i}", f"{w} {f}", None) for i, (p, f) in enumerate([(p, f) for p in pairs for f in ("moto", "ligue")]) for j, w in enumerate(p) for known in [f == "ligue"]]
+    df = spark.createDataFrame(rows, "id long, code string, name string, sigle string").select("*", F.col("name").alias("alt_name"), F.lit(None).cast("string").alias("place"))
+    got = {(r.id_a, r.id_b) for r in variants.variant_pairs(variants.link_variants(df, least=5)).collect()}
+    assert got >= {(10 * i, 10 * i + 1) for i in range(10)}
+
+
 NAMES = [
     (1, "A", "Moto club des Trujafolle Plémubosse", "MCTP"), (2, "A", "MOTO-CLUB DES TRUJAFOOLLE PLEMUBOSSE", None), (3, "A", "Trujafolleplemubosse (Moto club)", None), (4, None, "Les motards Plemubosse Trujafolle", None),
     (5, "B", "Moto club des Trujafolle Plémubosse", None), (6, "A", "Judo club des Trujafolle Plémubosse", None), (7, "A", "Moto club des Trujafolle Gratibune", None), (8, "A", "M.C.T.P. Trujafolle", "MCTP"),
