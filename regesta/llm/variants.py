@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -131,17 +133,40 @@ def same_activity(a: Sequence[str], a_short: Sequence[str], a_sig: Sequence[str]
     return any(_initials(sig, [w for w in a if w not in ("association",)] or a) or _initials(sig, a) for sig in [*b_sig, *b_short])
 
 
+def all_words(name: dict) -> list[str]:
+    return sorted([*name["core"], *name["known"], *name["short"], *name["sig"]])
+
+
+def same_words(a: dict, b: dict) -> bool:
+    """Do two parsed names, one without own words, have the same words? Order and spaces may differ, and an own word may be a known one mistyped."""
+    wa, wb = all_words(a), all_words(b)
+    if not wa or not wb:
+        return False
+    for x, y in ((wa, wb), (wb, wa)):
+        if len(x) == 1 and len(y) == 2 and x[0] in (y[0] + y[1], y[1] + y[0]):
+            return True
+    own = {*a["core"], *b["core"]}
+    only_a, only_b = list((Counter(wa) - Counter(wb)).elements()), list((Counter(wb) - Counter(wa)).elements())
+    if len(only_a) != len(only_b) or len(only_a) > 3:
+        return False
+
+    def cost(x: str, y: str) -> int:
+        return banded(x, y, 2) if (x in own or y in own) and banded(x, y, 2) <= reach(min(len(x), len(y))) else 4
+
+    return any(sum(cost(x, y) for x, y in zip(only_a, order, strict=True)) <= 3 for order in permutations(only_b))
+
+
 def same_body(a: dict, b: dict) -> bool:
     """Do two parsed names name one organisation? All their own words agree within edits, and their activities do not differ.
 
     A word of one's own may be missing on one side if that side's initials have its first letter; a word may be cut
-    short, two may be written as one, the municipality or a first name may be added.
+    short, two may be written as one, the municipality or a first name may be added. Where a name has no own word, all words have to be the same.
     """
     if a["alias"] == b["alias"]:
         return True
     ca, cb = list(a["core"]), list(b["core"])
     if not ca or not cb:
-        return False
+        return same_words(a, b)
     a_short, b_short = list(a["short"]), list(b["short"])
     matched = 0
     for x, y in ((ca, cb), (cb, ca)):
@@ -251,11 +276,18 @@ def joined_words(core: Sequence[str]) -> list[str]:
 
 
 def name_nodes(base: DataFrame, least: int, share: float, words_of: DataFrame | None = None) -> tuple[DataFrame, frozenset[str]]:
-    """The parsed names of nodes (n, side, code, alias, sigle, place), written to the shared folder, and the known words."""
+    """The parsed names of nodes (n, side, code, alias, sigle, place), written to the shared folder, and the known words.
+
+    A word is known if it has its share of all names and also of those outside the municipality that has it most: a district's or
+    patron's name in a large municipality, or an organisation of many spellings, stays an own word.
+    """
     source = base if words_of is None else words_of
-    words = source.select(F.explode(F.array_distinct(F.split("alias", " "))).alias("w")).groupBy("w").agg(F.count("*").alias("k"))
+    here = F.coalesce("code", F.lit("?")).alias("here")
+    local = source.select(here, F.explode(F.array_distinct(F.split("alias", " "))).alias("w")).groupBy("w", "here").agg(F.count("*").alias("k"))
+    words = local.groupBy("w").agg(F.sum("k").alias("k"), F.max(F.struct("k", "here")).alias("most"))
     total = source.count()
-    known = frozenset(r.w for r in words.where(F.col("k") >= F.lit(max(least, share * total))).toLocalIterator())
+    often = words.where(F.col("k") >= F.lit(max(least, share * total))).join(source.groupBy(here).agg(F.count("*").alias("size")), F.col("most.here") == F.col("here"))
+    known = frozenset(r.w for r in often.where(F.col("k") - F.col("most.k") >= F.lit(share) * (F.lit(total) - F.col("size"))).toLocalIterator())
     return parse_names(base, known), known
 
 
@@ -275,23 +307,33 @@ def segment_keys(names: DataFrame) -> DataFrame:
 
     The key holds the municipality: a name that knows its own is looked up there; a name that knows none among all ('*'), for longer
     units as well as shorter ones, so that nothing needs to be looked up among the names that know none. Joined words are only entries,
-    found by the single word of another name.
+    found by the single word of another name. A name without own words is found by all its words, sorted, by others like it, and looks
+    up its words and two of them written as one among the own words of others: these may be mistyped.
     """
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # a name has about a hundred keys: they are passed on for a few hundred names at a time
         for b in (whole.iloc[i : i + 500] for whole in batches for i in range(0, len(whole), 500)):
             out = []
-            for n, side, code, core in zip(b["n"], b["side"], b["code"], b["core"], strict=True):
+            for n, side, code, core, *others in zip(*(b[c] for c in ("n", "side", "code", "core", "known", "short", "sig")), strict=True):
                 here = code if isinstance(code, str) else "*"
+                if not len(core):
+                    words = sorted(w for o in others for w in o)
+                    if words:
+                        unit = " ".join(words)
+                        out += [(n, side, unit, False, f"{c}|={unit}") for c in {here, "*"}] + [(n, side, unit, True, f"{here}|={unit}")]
+                    for u in {*words, *joined_words(words)}:
+                        # own words of the municipality, and of names that know none
+                        out += [(n, side, u, True, f"{c}|{key}") for key in (asked_keys(u, True) if len(u) >= 4 else ()) for c in {here, "?" if here != "*" else "*"}]
+                    continue
                 words, joined = set(core), set(joined_words(core))
                 for u in words | joined:
-                    out += [(n, side, u, False, f"{c}|{key}") for key in unit_keys(u) for c in {here, "*"}]
+                    out += [(n, side, u, False, f"{c}|{key}") for key in unit_keys(u) for c in {here, "*", "?" if here == "*" else here}]
                 for u in words | joined if here == "*" else words:
                     out += [(n, side, u, True, f"{here}|{key}") for key in asked_keys(u, here == "*" or len(core) == 1)]
             yield pd.DataFrame(out, columns=["n", "side", "unit", "probe", "key"])
 
-    keys = names.select("n", "side", "code", "core").mapInPandas(keyed, "n long, side int, unit string, probe boolean, key string")
+    keys = names.select("n", "side", "code", "core", "known", "short", "sig").mapInPandas(keyed, "n long, side int, unit string, probe boolean, key string")
     return materialise(keys.withColumn("key", F.xxhash64("key")), "segments")
 
 
@@ -361,14 +403,14 @@ def link_variants(records: DataFrame, *, least: int = 8, share: float = 0.007) -
     records: id, code, name, alt_name, sigle, place (the municipality's name). An id may have several rows.
 
     Names are normalised, and equal names of one municipality are one node, so copies cost nothing. Words found in at least
-    `least` names and a share of them (at most words-per-name / share words: the bound of their broadcast) are known
+    `least` names and a share of them (at most words-per-name / share words: the bound of their broadcast), also outside their first municipality, are known
     words, of activities and first names; the others are a name's own. The own words, singly and written together, are cut into
     k + 1 segments, k being the edits that the verification grants; an inverted index of segments meets the position-shifted substrings of the other
     names, within one municipality, and across all for names without one. What shares a segment is verified
     by edit distance in a band, first in the JVM, then with the rest of the name. Linked names and the several names
     of one id form the organisations as connected components.
 
-    Null or blank names have no node; a name without own words links to equal names only. Ties and repeated rows
+    Null or blank names have no node; a name without own words links to names of the same words only. Ties and repeated rows
     change nothing. Empty table: no rows.
     """
     owners = name_owners(records)

@@ -117,6 +117,30 @@ def test_variants_of_nothing(spark):
     assert variants.link_variants(none).count() == 0
 
 
+def linked_pairs(spark, rows, **how):
+    df = spark.createDataFrame(rows, "id long, code string, name string").select("*", F.lit(None).cast("string").alias("sigle"), F.col("name").alias("alt_name"), F.lit(None).cast("string").alias("place"))
+    return {(r.id_a, r.id_b) for r in variants.variant_pairs(variants.link_variants(df, **how)).collect()}
+
+
+def test_variants_without_own_words(spark):
+    rows = [(100 + i, f"C{i}", f"{a} {b}") for i in range(12) for a, b in [("Judo", "danse"), ("Peinture", "loto")]]
+    rows = [(i + 100 * k, c, n) for k, (i, c, n) in enumerate(rows)]
+    # other order, another commune, mistyped, written together, another activity, one commune unknown
+    rows += [(1, "X", "Judo danse"), (2, "X", "Danse et judo"), (3, "Y", "Danse judo"), (4, "X", "Dansse judo"), (5, "X", "Judodanse"), (6, "X", "Judo loto"), (7, "Z", "Peinture loto"), (8, None, "Loto peintuer"), (9, "Z", "Ludo peinture")]
+    got = {p for p in linked_pairs(spark, rows) if max(p) < 10}
+    assert got == {(1, 2), (1, 4), (1, 5), (2, 4), (2, 5), (4, 5), (7, 8)}
+
+
+def test_a_word_of_one_large_commune_stays_own(spark):
+    rows = [(i, "A", f"Judo Kelvonars {'bcdfghjklm'[i % 10] * 5}{'npqrstvwxz'[i // 10] * 5}") for i in range(30)] + [(100 + i, f"C{i % 30}", f"Judo {'bcdfghjklm'[i % 10] * 6}{'npqrstvwxz'[i // 10] * 6}") for i in range(60)]
+    owners = variants.name_owners(spark.createDataFrame(rows, "id long, code string, name string").select("*", F.col("name").alias("alt_name"), F.lit(None).cast("string").alias("sigle"), F.lit(None).cast("string").alias("place")))
+    assert variants.name_nodes(variants.owner_nodes(owners), 8, 0.007)[1] == {"judo"}
+    # the spellings of one organisation are more than the share of all names
+    many = [(i, "A", f"Judo Kelvonars {x}") for i, x in enumerate(("Bafutrel", "Bafutrl", "Bafutrle", "Bafutrell", "Bafutre", "Baftrel", "Bfautrel", "Bafutral"))]
+    got = linked_pairs(spark, many + [(50, "A", "Judo Kelvonasr Bafutrel")] + rows[30:])
+    assert (0, 50) in got and (0, 7) in got
+
+
 # --- p4: matching -------------------------------------------------------------------------------------------------
 
 
