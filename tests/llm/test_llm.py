@@ -183,6 +183,19 @@ def test_matching(spark):
     assert matching.match_entities(left, right.limit(0), lc, rc)[0].count() == 0
 
 
+def test_matching_of_equal_names_without_own_words(spark):
+    schema = "id long, name string, sigle string, place string, code string, region string"
+    # the register's name ends in its municipality's; some entries know no code or no municipality
+    right = spark.createDataFrame([(1, "Judo club Bourg", None, "Bourg", "35001", "35"), (2, "Judo club", None, "Ville", "35002", "35"), (3, "Loto", None, "Ville", "35002", "35")], schema).withColumn("alt_name", F.col("name"))
+    left = spark.createDataFrame([(10, "Judo Club (Bourg)", None, "Bourg", None, "35"), (11, "Judo club", None, "Ville", "35002", "35"), (12, "Moto", None, "Ville", "35002", "35"), (13, None, None, "Ville", "35002", "35"), (14, "Loto", None, None, None, None), (15, "Judo club Bourg", None, None, None, None)], schema).withColumn("activity", F.lit(None).cast("string"))
+    none = spark.createDataFrame([], "id long, contact string")
+    matches, linked = matching.match_entities(left, right, none, none)
+    ids = {r.organisation: r.id for r in linked.collect()}
+    pairs = {(r.l, ids[r.r]): r.p for r in matches.collect()}
+    assert {k for k, p in pairs.items() if p >= 0.5} == {(10, 1), (11, 2)}
+    assert {(14, 3), (15, 1)} <= pairs.keys() and not {k for k in pairs if k[0] in (12, 13)}
+
+
 # --- p5: main bodies ----------------------------------------------------------------------------------------------
 
 PAGE = "Actualités | Contact | Urbanisme | Annuaire\nAccueil > Contact > {t}\n{t}\nMis à jour le 01/02/2025 par la rédaction\n{p}\n\nPublicité\nProgramme\n{q}\nMoto club Veplurat\t02 99 00 00 00\nPartager cette page\nÀ lire aussi\nUn loto\nUn concert à Ici\nMairie de Bourg\n12, rue du Four\n© 2024 - Tous droits réservés"
