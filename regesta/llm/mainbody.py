@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -148,7 +149,7 @@ def read_page(text: str, nav: frozenset[str], headings: frozenset[str]) -> list[
         zone = "h" if title < 0 or i < title else "b" if i < tail else "t"
         if c in ("heading", "title", "teasers") or c in TEXT or c in TAIL:
             opener = c
-        out.append((i + 1, f"{zone}/{opener}/{before}>{c}", _fold(lines[i])[:200], scores.get(i, 0.0)))
+        out.append((i + 1, f"{zone}/{opener}/{before}>{c}", hashlib.blake2b(_fold(lines[i]).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest(), scores.get(i, 0.0)))
         if c not in ("advert", "share"):
             before = c
     return out

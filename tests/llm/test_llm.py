@@ -213,6 +213,13 @@ def test_main_body(spark):
     assert mainbody.main_body(df.limit(0)).count() == 0
 
 
+def test_long_lines_that_only_begin_alike_are_not_worn(spark):
+    start = "Les habitants du quartier se retrouveront devant l'école pour la fête avec les membres du bureau " * 3
+    pages = [(f"c{i}", "h.example", PAGE.format(t=f"Une fête numéro {i}", p=f"{start}et ceux du groupe {i}.", q=f"Le bureau de {i} membres prépare déjà la prochaine saison des rencontres.")) for i in range(12)]
+    got = {(r.cache_path, r.ligne) for r in mainbody.main_body(spark.createDataFrame(pages, "cache_path string, domaine string, texte string")).collect()}
+    assert {(f"c{i}", 5) for i in range(12)} <= got
+
+
 @pytest.mark.parametrize(
     "line,cls",
     [("", ""), ("Accueil > Agenda > Un loto du soir", "crumb"), ("© 2020 - Tous droits réservés", "legal"), ("Lundi : 8 h - 12 h", "hours"), ("- une gourde", "item"), ("Tennis club\t02 99 00 00 00", "contact"), ("Le club cherche des volontaires.", "prose"), ("Infos pratiques", "short"), ("Num&eacute;ros utiles", "widget")],
