@@ -8,14 +8,15 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regesta.functions.contacts import contact_key, email_key, phone_key
 from regesta.functions.keys import canonical_url, code_insee, instant, trimmed
 from regesta.functions.text import normalise_name
+from regesta.functions.times import iso_text
+from regesta.llm.keys import contact_key, email_key, phone_key
 from regesta.llm.leakage import leaks
 from regesta.llm.mainbody import main_body
 from regesta.llm.matching import match_entities
 from regesta.llm.mixing import count_tokens, mix, source_key
-from regesta.llm.survivor import survivors, undisputed
+from regesta.llm.survivor import survivors
 from regesta.llm.variants import link_variants, variant_pairs
 from regesta.llm.truncation import truncated, truncation_by_source
 from regesta.session import materialise, table
@@ -96,16 +97,18 @@ _GROUP = ["association_id", "code_insee_h", "kind", "cle"]
 
 
 def contact_records(spark: SparkSession, folder: str) -> DataFrame:
-    """One row for each contact id in a group of two or more, with its group's key and what it is judged by."""
+    """One row for each contact id in a group of two or more, with its group's key and what it is judged by; of an id delivered twice the later row."""
     contact = table(spark, folder, "contact").where("id is not null")
     filled = sum((F.col(c).isNotNull().cast("int") for c in contact.columns), F.lit(0))
     rank = F.when(F.col("review_statut") == "corrige", 3).when(F.col("review_statut") == "valide", 2).when(F.col("review_statut") == "a_revoir", 1).when(F.col("review_statut") == "rejete", 0)
     code = code_insee(F.col("code_insee"))
-    keyed = contact.select(
-        "id", "association_id", F.when(F.col("association_id").isNull(), code).alias("code_insee_h"), "kind", contact_key(F.col("kind"), F.coalesce("valeur_normalisee", "valeur")).alias("cle"),
-        rank.alias("rang_revue"), "confiance", instant(F.col("collected_at")).alias("recueilli"), filled.alias("remplis"), canonical_url(F.col("source_url")).alias("source_url"),
+    columns = [
+        instant(F.col("collected_at")).alias("recueilli"), "confiance", filled.alias("remplis"), "association_id", F.when(F.col("association_id").isNull(), code).alias("code_insee_h"), "kind",
+        contact_key(F.col("kind"), F.coalesce("valeur_normalisee", "valeur")).alias("cle"), rank.alias("rang_revue"), canonical_url(F.col("source_url")).alias("source_url"),
         "valeur", "is_generique", "methode_extraction", "review_statut", "review_note", "valeur_corrigee", "score", "score_version",
-    ).where("cle is not null and kind is not null and (association_id is not null or code_insee_h is not null)").dropDuplicates(["id"])
+    ]
+    once = contact.groupBy("id").agg(F.max(F.struct(*columns)).alias("r")).select("id", "r.*")
+    keyed = once.where("cle is not null and kind is not null and (association_id is not null or code_insee_h is not null)")
     several = keyed.groupBy(*_GROUP).agg(F.count("*").alias("_n")).where("_n > 1")
     same = F.lit(True)
     for g in _GROUP:
@@ -115,23 +118,23 @@ def contact_records(spark: SparkSession, folder: str) -> DataFrame:
     return mine.join(pages, "source_url", "left").withColumn("en_page", F.coalesce("en_page", F.lit(0))).withColumn("recueilli_us", F.unix_micros("recueilli"))
 
 
+_CRITERIA = ["rang_revue", "confiance", "recueilli_us", "remplis", "en_page"]
 _TRUST = ["rang_revue", "confiance", "remplis", "en_page"]
-_FIELDS = ["valeur", "source_url", "methode_extraction", "confiance", "review_statut", "review_note", "valeur_corrigee", "is_generique", "score", "score_version", "recueilli"]
-
-
-def _elected(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    records = materialise(contact_records(spark, folder), "contacts")
-    return records, survivors(records, _GROUP, "id", _FIELDS, _TRUST, "recueilli")
+_FIELDS = ["valeur", "source_url", "methode_extraction", "confiance", "review_statut", "review_note", "valeur_corrigee", "is_generique", "score", "score_version", "collected_at"]
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    records, elected = _elected(spark, folder)
-    return undisputed(records, elected, _GROUP, "id", ["rang_revue", "confiance", "recueilli_us", "remplis", "en_page"]).select(F.col("id").alias("contact_id"))
+    elected = survivors(contact_records(spark, folder), _GROUP, "id", [], _TRUST, "recueilli", criteria=_CRITERIA)
+    id_type = table(spark, folder, "contact").schema["id"].dataType
+    return elected.where("sans_conteste").select(F.col("elu").cast(id_type).alias("contact_id"))
 
 
 def p6_survivors(spark: SparkSession, folder: str) -> DataFrame:
-    _, elected = _elected(spark, folder)
-    return elected.select(*_GROUP, "n", "elu", *(F.col(f).alias(f"{f}_retenu") for f in _FIELDS))
+    """The surviving record of every group: each field's winning value, and the id that represents it."""
+    records = contact_records(spark, folder).withColumn("collected_at", iso_text(F.col("recueilli")))
+    same = {"valeur": contact_key(F.col("kind"), F.col("valeur")), "valeur_corrigee": contact_key(F.col("kind"), F.col("valeur_corrigee")), "review_note": F.lower(trimmed(F.col("review_note")))}
+    elected = survivors(records, _GROUP, "id", _FIELDS, _TRUST, "recueilli", criteria=_CRITERIA, same=same)
+    return elected.select(*_GROUP, "n", "elu", *(F.col(f).alias(f"{f}_retenu") for f in _FIELDS), "sans_conteste")
 
 
 def _eval_parts(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,72 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The day from which ages are counted; only the ratio of two votes matters, and that does not depend on it.
+_DAY = 20454.0
 
-def survivors(records: DataFrame, group: list[str], identity: str, fields: list[str], trust: list[str], recency: str, *, half_life_days: float = 365.0, salts: int = 16) -> DataFrame:
+
+def survivors(
+    records: DataFrame, group: list[str], identity: str, fields: list[str], trust: list[str], recency: str, *, criteria: list[str] | None = None, same: dict[str, Column] | None = None, half_life_days: float = 365.0
+) -> DataFrame:
     """Build the surviving record of each group, field by field, and elect the record that represents it.
 
-    records has one row for each identity. Each named field is unpivoted to long rows of a value and a vote; the vote is the
-    source trust (the product of the trust columns, each a rank of 0 or more, made 1 + rank) times the decay of its
-    age, 0.5 ** (age / half life). The votes of equal values are summed, the value with the greatest sum wins by max_by (ties: the
-    greatest value as text), and the winners are pivoted back to one row. Null values have no vote.
-    The identity is unpivoted like a field: its vote is the record's own, so its winner is the record of most
-    trust and recency. Votes are counted in two stages (per group, value and salt, then per group and value), so
-    a group of a third of all rows is never in one task.
+    records has one row for each identity. Everything is unpivoted to long rows of a field, a value and a vote. The vote is the source trust (the
+    product of the trust columns, each a rank of 0 or more, made 1 + rank) times the decay of its age, 0.5 ** (age / half life).
+    The votes of equal values are summed, the winner of each field is chosen by max_by, and the winners are pivoted back to one row.
+
+    * fields: the value with the greatest sum of votes wins. Values are equal as their normalised form in `same` says (by default as text);
+      what is written is the form of the strongest single vote. Ties go to the greatest normalised value.
+    * the identity: its vote is the record's own. Equal votes are decided by the criteria in their order, then by the identity.
+    * criteria: columns where more is better and null is least. Here the rank of a value outweighs any sum of votes, so that the winner is the best
+      value that anyone in the group has. All criteria of a record together are one more field, whose votes tell how many records share them.
+
+    Votes are summed per group, field and value, and then per group; both sums are combined before their shuffle, so a group of a third of all
+    rows is in no single task, and no list of records is made.
 
-    Result: group columns, n (records in the group), elu (the winning identity) and the fields' winning values as
-    text. A group of one record is its own survivor. An empty table gives no row. Rows whose group key is null in
-    every column are no group and are left out. Unreadable recency counts as the oldest.
+    Result: group columns, n (records in the group), elu (the winning identity), the fields' winning values as text, and
+    sans_conteste: the elected record has the winning value of every criterion, and no other record has all of them too. A vote never falls as a
+    criterion rises, so a record at least as good as all others is elected, or one equal to it; hence this test needs nothing but the winners.
+    A group of one record is its own survivor. An empty table gives no row. Rows whose group key is null in every column are no group and are
+    left out. Unreadable recency counts as the oldest; null values of a field have no vote.
     """
+    criteria, same = criteria or [], same or {}
     at = F.coalesce(F.unix_micros(F.col(recency)).cast("double") / 86400e6, F.lit(-1e6))
-    # ages count from a fixed day: only the ratio of two votes matters, and that does not depend on it
-    vote = F.pow(F.lit(0.5), (F.lit(20454.0) - at) / F.lit(half_life_days))
+    vote = F.pow(F.lit(0.5), (F.lit(_DAY) - at) / F.lit(half_life_days))
     for t in trust:
         vote = vote * (F.lit(1.0) + F.coalesce(F.col(t).cast("double"), F.lit(0.0)))
-    names = [f"f{i}" for i in range(len(fields))]
-    pairs = [F.struct(F.lit("_id").alias("field"), F.col(identity).cast("string").alias("value"))]
-    pairs += [F.struct(F.lit(n).alias("field"), F.col(f).cast("string").alias("value")) for n, f in zip(names, fields, strict=True)]
-    known = [F.col(g).isNotNull() for g in group]
-    any_known: Column = known[0]
-    for k in known[1:]:
-        any_known = any_known | k
-    long = records.where(any_known).select(*group, vote.alias("vote"), F.pmod(F.xxhash64(identity), F.lit(salts)).alias("salt"), F.explode(F.array(*pairs)).alias("p"))
-    long = long.select(*group, "vote", "salt", "p.field", "p.value").where("value is not null")
-    by_value = long.groupBy(*group, "field", "value", "salt").agg(F.sum("vote").alias("vote"), F.count("*").alias("n")).groupBy(*group, "field", "value").agg(F.sum("vote").alias("vote"), F.sum("n").alias("n"))
-
-    def winner(name: str) -> Column:
-        return F.max_by(F.when(F.col("field") == name, F.col("value")), F.when(F.col("field") == name, F.struct("vote", "value")))
+    marks = [F.coalesce(F.col(c).cast("double"), F.lit(float("-inf"))) for c in criteria]
 
-    return by_value.groupBy(*group).agg(
-        F.sum(F.when(F.col("field") == "_id", F.col("n"))).alias("n"), winner("_id").alias("elu"), *(winner(n).alias(f) for n, f in zip(names, fields, strict=True))
-    )
+    def ballot(field: str, value: Column, form: Column, rank: list[Column]) -> Column:
+        ranks = F.array(*rank) if rank else F.array().cast("array<double>")
+        return F.struct(F.lit(field).alias("field"), value.cast("string").alias("value"), form.cast("string").alias("form"), ranks.alias("rank"))
 
+    names = [f"f{i}" for i in range(len(fields))]
+    ballots = [ballot("_id", F.col(identity), F.col(identity), marks)]
+    ballots += [ballot(n, F.col(f), same.get(f, F.col(f)), []) for n, f in zip(names, fields, strict=True)]
+    ballots += [ballot(f"_c{i}", m, m, [m]) for i, m in enumerate(marks)]
+    ballots += [ballot("_all", F.lit(""), F.array_join(F.array(*(m.cast("string") for m in marks)), " "), marks)] if marks else []
+    any_known = F.coalesce(*(F.col(g).cast("string") for g in group)).isNotNull()
+    long = records.where(any_known).select(*group, vote.alias("vote"), F.explode(F.array(*ballots)).alias("b")).select(*group, "vote", "b.*").where("form is not null")
+    by_value = long.groupBy(*group, "field", "form").agg(F.sum("vote").alias("vote"), F.count("*").alias("n"), F.max("rank").alias("rank"), F.max_by("value", F.struct("vote", "value")).alias("value"))
 
-def undisputed(records: DataFrame, elected: DataFrame, group: list[str], identity: str, criteria: list[str]) -> DataFrame:
-    """The exact check: of the elected records, those at least as good as every other of their group on all criteria.
-
-    criteria are columns where more is better and null is least. A group of one, and one where two records are equally good on
-    everything, gives none. Per group only the greatest of each criterion and the number of records that reach all
-    of them are needed; both are combined before the shuffle.
-    Result: group columns and the identity, which has its own type.
-    """
-    low = [F.coalesce(F.col(c).cast("double"), F.lit(float("-inf"))).alias(f"_c{i}") for i, c in enumerate(criteria)]
-    scored = records.select(*group, F.col(identity).alias("_identity"), *low)
-    best = scored.groupBy(*group).agg(*(F.max(f"_c{i}").alias(f"_m{i}") for i in range(len(criteria))), F.count("*").alias("_n"))
-    e = elected.select(*(F.col(g).alias(f"_e_{g}") for g in group), "elu")
-
-    def same(left: DataFrame, right: DataFrame, prefix: str) -> Column:
-        out = F.lit(True)
-        for g in group:
-            out = out & left[g].eqNullSafe(right[f"{prefix}{g}"])
-        return out
+    def winner(field: str, what: Column, *order: str) -> Column:
+        own = F.col("field") == field
+        return F.max_by(F.when(own, what), F.when(own, F.struct(*order)))
 
-    b = best.select(*(F.col(g).alias(f"_b_{g}") for g in group), "_n", *(f"_m{i}" for i in range(len(criteria)))).where("_n > 1")
-    top = F.lit(True)
-    for i in range(len(criteria)):
-        top = top & (F.col(f"_c{i}") == F.col(f"_m{i}"))
-    reach = scored.join(b, same(scored, b, "_b_")).where(top)
-    alone = reach.groupBy(*(F.col(g) for g in group)).agg(F.count("*").alias("_k"), F.min("_identity").alias("_identity")).where("_k = 1")
-    return alone.join(e, same(alone, e, "_e_") & (alone["_identity"].cast("string") == e["elu"])).select(*group, F.col("_identity").alias(identity))
+    # order of an identity: its vote, its criteria; of a field: the votes, the value; of a criterion and of all of them together: the rank first
+    won = by_value.groupBy(*group).agg(
+        F.sum(F.when(F.col("field") == "_id", F.col("n"))).alias("n"), winner("_id", F.struct("value", "rank"), "vote", "rank", "value").alias("_elu"), *(winner(n, F.col("value"), "vote", "form").alias(f) for n, f in zip(names, fields, strict=True)),
+        *(winner(f"_c{i}", F.col("rank"), "rank", "vote").alias(f"_c{i}") for i in range(len(criteria))), *([winner("_all", F.col("n"), "rank", "vote").alias("_alike")] if criteria else []),
+    )
+    best = F.flatten(F.array(*(F.col(f"_c{i}") for i in range(len(criteria))))) if criteria else None
+    undisputed = (F.col("n") > 1) & (F.col("_elu.rank") == best) & (F.col("_alike") == 1) if criteria else F.lit(False)
+    return won.select(*group, "n", F.col("_elu.value").alias("elu"), *fields, undisputed.alias("sans_conteste"))

@@ -236,11 +236,13 @@ def test_survivors(spark):
     old = datetime(2020, 1, 1, tzinfo=UTC)
     data = [("g", None, 1, "a", 3, 0.9, t), ("g", None, 2, "b", 1, 0.5, old), ("g", None, 3, "b", 1, 0.5, old), ("h", "x", 4, None, 1, 0.9, t), ("h", "x", 5, "c", 2, 0.1, t), ("i", None, 6, "d", 1, 1.0, None), ("i", None, 7, "d", 1, 1.0, None), (None, None, 8, "z", 1, 1.0, t), ("j", None, 9, "q", None, None, t)]
     df = spark.createDataFrame(data, "g1 string, g2 string, id long, v string, rank int, conf double, at timestamp").withColumn("us", F.unix_micros("at")).withColumn("vote", F.lit("clash")).withColumn("n", F.lit(0))
-    elected = survivor.survivors(df, ["g1", "g2"], "id", ["v"], ["rank", "conf"], "at")
+    elected = survivor.survivors(df, ["g1", "g2"], "id", ["v"], ["rank", "conf"], "at", criteria=["rank", "conf", "us"])
     got = {r.g1: (r.n, r.elu, r.v) for r in elected.collect()}
     assert got["g"] == (3, "1", "a") and got["h"][0] == 2 and got["h"][2] == "c" and got["i"][2] == "d" and got["j"] == (1, "9", "q") and None not in got
-    best = survivor.undisputed(df, elected, ["g1", "g2"], "id", ["rank", "conf", "us"])
-    assert [(r.g1, r.id) for r in best.collect()] == [("g", 1)]
+    assert [(r.g1, r.elu) for r in elected.where("sans_conteste").collect()] == [("g", "1")]
+    spelled = spark.createDataFrame([("g", 1, "A ", 1, t), ("g", 2, "a", 1, t), ("g", 3, "b", 2, t)], "g string, id long, v string, rank int, at timestamp")
+    assert survivor.survivors(spelled, ["g"], "id", ["v"], ["rank"], "at", same={"v": F.lower(F.trim("v"))}).first().v in ("A ", "a")
+    assert survivor.survivors(spelled, ["g"], "id", ["v"], ["rank"], "at").first().v == "b"
     assert survivor.survivors(df.limit(0), ["g1", "g2"], "id", ["v"], ["rank"], "at").count() == 0
 
 
@@ -249,8 +251,8 @@ def test_survivors(spark):
 def test_undisputed_equals_brute_force(spark, rows):
     data = [(g, i, a, b, datetime(2026, 1, 1 + c, tzinfo=UTC)) for i, (g, a, b, c) in enumerate(rows)]
     df = spark.createDataFrame(data, "g string, id long, a int, b int, at timestamp").withColumn("us", F.unix_micros("at"))
-    elected = survivor.survivors(df, ["g"], "id", [], ["a", "b"], "at")
-    got = {r.id for r in survivor.undisputed(df, elected, ["g"], "id", ["a", "b", "us"]).collect()}
+    elected = survivor.survivors(df, ["g"], "id", [], ["a", "b"], "at", criteria=["a", "b", "us"])
+    got = {int(r.elu) for r in elected.where("sans_conteste").collect()}
     want = set()
     for g in {d[0] for d in data}:
         own = [d for d in data if d[0] == g]
