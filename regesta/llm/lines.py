@@ -1,48 +1,47 @@
-"""What kind of line a line of page text is: the classes that stand in for the tags and classes of markup."""
+"""Lines of page text: their shape and their template, which stand in for the tags and classes of markup.
+
+Nothing here knows a phrase of any language: what a line is by its words is learnt from the pages (see mainbody).
+"""
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from typing import NamedTuple
 
-_TAGS = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
-_SPACE = re.compile(r"[\s  ​]+")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _SEPARATOR = re.compile(r"\s+[|·•›»>/–—]\s+|\s*[|·•›»]\s*|\s{2,}|\t+")
+_CRUMB = re.compile(r"\s*(?:»|>|/|›|::)\s+")
+_LEAD = re.compile(r"^(.*?\S)(?:\s*[:.!?|·•›»>]|\s+[/–—]|\s{2,}|\t)\s*\S")
 _NUMBER = re.compile(r"\d+")
-_NAME = re.compile(r"\b[A-ZÀ-ÖØ-Þ][\w’'-]*")
-
-# The phrases by which town-hall pages mark what is not their own subject, in the order in which they are tried.
-PHRASES: list[tuple[str, re.Pattern[str]]] = [
-    (name, re.compile(pattern, re.IGNORECASE))
-    for name, pattern in (
-        ("cookie", r"cookies?\b.*(accepter|refuser|compris|pour moi|savoir plus|personnaliser|fréquentation)|témoins de connexion|traceurs|services tiers|préférences de confidentialité|vie privée|^(tout (accepter|refuser)|continuer sans accepter|personnaliser|j'ai compris|ok pour moi|en savoir plus)$"),
-        ("update", r"^(mis(e)? à jour|dernière (mise à jour|modification)|modifié(e)?|publié(e)?|posté|rédigé)\s+(le\b|par\b|:)|\blu \d+ fois"),
-        ("more", r"(…|\.\.\.)\s*\[?(lire la suite|en savoir plus|voir plus|suite)\]?\s*$|^(lire la suite|en savoir plus|voir (tout|toutes|plus)\b.*)$"),
-        ("teasers", r"^(à lire (aussi|également)|dans la même rubrique|en ce moment|accès (rapides|directs)|les plus (consultés|lus)|prochains rendez-vous|articles? (liés|similaires)|voir aussi|à la une|sur le même (sujet|thème)|nos autres pages|derniers articles|vous aimerez aussi)\s*:?$"),
-        ("teased", r"^(à lire (aussi|également)|dans la même rubrique|en ce moment|accès (rapides|directs)|les plus (consultés|lus)|prochains rendez-vous|voir aussi|à la une)\s*:\s*\S"),
-        ("widget", r"^(sondage|êtes-vous satisfait.*\?|voter|voir les résultats|météo.*|ciel .*\d+ ?°c|vent (faible|fort|modéré)|.*\d+ ?°c$|\d+ visiteurs? en ligne|identifiant|mot de passe.*|créer un compte|numéros utiles|pompiers \d+|urgences \d+|samu \d+|police \d+|secrétariat poste \d+|français \| english.*|.*\bespañol\b.*)$"),
-        ("share", r"^(partager( cette page| sur.*)?|envoyer (par courriel|à un ami)|imprimer( cette page)?|agrandir le texte|réduire le texte|écouter( le texte| cette page)?|ajouter aux favoris|suivez-nous.*|version (contrastée|imprimable|mobile).*|a\+ ?a-|télécharger en pdf|tweeter|facebook|twitter)$"),
-        ("advert", r"^(publicité|annonce|sponsorisé|contenu sponsorisé)$"),
-        ("tool", r"^(aller au (contenu|menu).*|menu( principal)?|rechercher( sur le site)?|recherche|retour( en haut( de page)?)?|haut de page|alerte\s*:.*|nous écrire|nous contacter|formulaire de contact)$"),
-        ("news", r"lettre d'information|newsletter|infolettre|saisissez votre adresse|abonnez-vous"),
-        ("legal", r"tous droits réservés|^©|mentions légales|accessibilité\s*:|plan du site|reproduction, même partielle|à titre indicatif|droit d'accès et de rectification|conformément à la réglementation|^réalisation\s*:|^(conception|hébergement)\s*:|politique de confidentialité"),
-        ("welcome", r"\bvous accueille\s*:|^bienvenue sur le site|^le site de .* évolue|tout dysfonctionnement"),
-        ("address", r"^(mairie|commune|ville|hôtel de ville)\b( d[eu']| -|\s*$).{0,80}$|^\d+\s*(bis|ter)?,?\s+(rue|place|avenue|boulevard|chemin|impasse|allée|route)\b"),
-    )
-]
-_HOURS = re.compile(r"^(lundi|mardi|mercredi|jeudi|vendredi|samedi|dimanche)\s*:?\s*\d+\s*h", re.IGNORECASE)
-_SWITCHBOARD = re.compile(r"^(standard|tél(éphone)?\.?|accueil|secrétariat)\s*:?\s*[+(\d]", re.IGNORECASE)
+_NAME = re.compile(r"(?<=[\s’'(-])[A-ZÀ-ÖØ-Þ][\w’'-]*")
 _CONTACT = re.compile(r"@|\[\s*at\s*\]|(\+33|\b0)[\s.(\-]*\d([\s.)\-]*\d){7,}|\b00 ?33\d{9}", re.IGNORECASE)
-_CRUMB = re.compile(r"^(accueil|home)\s*(»|>|/|›|::|\|)\s+\S", re.IGNORECASE)
 _SENTENCE = re.compile(r"[.!?…:;]\s*[»)]?$")
 _ITEM = re.compile(r"^[-*•–·]\s+\S|^\d+[.)]\s+\S")
+#: A mark of omission with words after it that do not go on with the sentence: the label of a link.
+_CLIPPED = re.compile(r"(?:…|\.\.\.)\s*[\[(]?[^\W\d_][^.!?…]*$")
+
+#: Shapes of lines with text of their own.
+TEXT = frozenset({"prose", "item", "contact", "table"})
+
+
+class Line(NamedTuple):
+    number: int  # from 1, over all lines split at LF
+    shape: str
+    frame: int  # hash of its template: what two lines have in common that differ in numbers and names only
+    whole: int  # hash of all its words
+    last: int  # hash of its last part, where it has several
+    lead: int  # hash (a series of its own) of the template of its first part or sentence, where it has several, else 0
+    figures: bool  # its template has a number
+    fixed: bool  # its template has neither number nor name
 
 
 def clean(line: str) -> str:
     if "&" in line:
         line = html.unescape(line)
     if "<" in line:
-        line = _TAGS.sub(" ", line)
+        line = _TAG.sub(" ", line)
     return line.strip(" \t\r\n ​")
 
 
@@ -50,37 +49,59 @@ def segments(line: str) -> list[str]:
     return [s.strip() for s in _SEPARATOR.split(line) if s.strip()]
 
 
-def shape(line: str) -> str:
-    """A line with its numbers and its names taken out: what two pages of a kind have in common."""
-    first = _SPACE.sub(" ", line)
-    return _NUMBER.sub("0", first[:1] + _NAME.sub("N", first[1:]))[:160]
+def template(line: str) -> str:
+    """A line with its numbers and its names (words within it with a capital) taken out, in lower case."""
+    return _NUMBER.sub("0", _NAME.sub("\x01", " ".join(line.split())).lower())
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def line_class(line: str) -> str:
-    """The class of a cleaned line; '' for an empty one."""
+def as_lead(frame: int) -> int:
+    """The hash under which a template is counted as the beginning of a longer line."""
+    return frame ^ 0x5BD1E995
+
+
+def shape(line: str) -> str:
+    """The shape of a cleaned line: clip, item, menu, figures, contact, table, prose or short; '' for an empty one."""
     if not line:
         return ""
-    flat = _SPACE.sub(" ", line)
-    if _CRUMB.match(line) and 2 <= len(segments(line)) <= 5 and len(flat) < 200:
-        parts = segments(line)
-        if len(parts) < 4 or len(parts[-1].split()) >= 3:
-            return "crumb"
-    for name, pattern in PHRASES:
-        if pattern.search(flat):
-            return name
-    if _HOURS.match(flat):
-        return "hours"
-    if _SWITCHBOARD.match(flat):
-        return "switchboard"
+    flat = " ".join(line.split())
+    if _CLIPPED.search(flat):
+        return "clip"
     if _ITEM.match(flat):
         return "item"
-    if _CONTACT.search(flat):
-        return "contact"
     parts = segments(line)
-    if len(parts) >= 3 and all(len(p.split()) <= 4 and not _SENTENCE.search(p) for p in parts):
+    contact = _CONTACT.search(flat)
+    if len(parts) >= 3 and not contact and all(len(p.split()) <= 4 and not _SENTENCE.search(p) for p in parts):
         return "menu"
+    if contact:
+        return "contact"
+    if sum(c.isdigit() for c in flat) * 8 >= len(flat):
+        return "figures"
     if len(parts) >= 2 and not _SENTENCE.search(flat):
         return "table"
     if len(flat) >= 60 or _SENTENCE.search(flat):
         return "prose"
     return "short"
+
+
+def read_lines(text: str) -> list[Line]:
+    """Every line of a text that is not empty."""
+    out = []
+    for number, raw in enumerate(text.split("\n"), 1):
+        line = clean(raw)
+        kind = shape(line)
+        if not kind:
+            continue
+        parts = _CRUMB.split(" ".join(line.split())) if kind in ("menu", "table", "short", "prose", "clip") else []
+        frame = template(line)
+        lead = _LEAD.match(line)
+        out.append(
+            Line(
+                number, kind, _hash(frame), _hash(" ".join(line.lower().split())), _hash(parts[-1].lower()) if len(parts) > 1 else 0, as_lead(_hash(template(lead.group(1)))) if lead else 0,
+                "0" in frame, "0" not in frame and "\x01" not in frame,
+            )
+        )
+    return out

@@ -1,214 +1,270 @@
-"""The main body of page texts, by the consensus of a host's pages on the paths of their containers."""
+"""The main body of page texts, by the consensus of the pages on their frames and of a host's pages on the paths of their containers."""
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections import ChainMap
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regesta.llm.lines import clean, line_class, segments
-from regesta.session import materialise
-
-#: Classes of lines with text of their own; all others but 'short' are known as not being the page's subject.
-TEXT = frozenset({"prose", "item", "contact", "table"})
-OPEN = frozenset({"short", "heading", "hours", "switchboard", "place"})
-#: What a heading may announce: when and where one is received.
-RECEPTION = frozenset({"hours", "switchboard", "place"})
-#: Classes that begin what follows the main body.
-TAIL = frozenset({"news", "address", "legal"})
-
-
-def _fold(text: str) -> str:
-    return " ".join(text.lower().split())
-
-
-def menu_words(texts: pd.Series) -> list[list[str]]:
-    """Per text the items of its one-line menus; what is short and found in many of them is a menu word anywhere."""
-    out = []
-    for t in texts:
-        found: set[str] = set()
-        for raw in (t or "").split("\n"):
-            line = clean(raw)
-            parts = segments(line) if 8 < len(line) < 400 else []
-            if len(parts) >= 4 and line_class(line) in ("menu", "legal") and all(len(p.split()) <= 4 for p in parts):
-                found.update(_fold(p) for p in parts)
-        out.append(sorted(found))
-    return out
-
-
-def head_words(texts: pd.Series) -> list[list[tuple[str, int]]]:
-    """Per text its short lines, each with 1 where it stands as a title (the end of a trail, or teased), else 0."""
-    out = []
-    for t in texts:
-        rows: list[tuple[str, int]] = []
-        teased = False
-        for raw in (t or "").split("\n"):
-            line = clean(raw)
-            cls = line_class(line)
-            if cls == "crumb":
-                rows.append((_fold(segments(line)[-1]), 1))
-            elif cls == "teasers":
-                teased = True
-            elif cls == "short":
-                rows.append((_fold(line), int(teased)))
-            elif cls:
-                teased = False
-        out.append([r for r in rows if len(r[0]) <= 40])
-    return out
-
-
-def read_page(text: str, nav: frozenset[str], headings: frozenset[str]) -> list[tuple[int, str, str, float]]:
-    """(number, path, line, container score) of every line that is not empty.
-
-    The path of a line is its zone (before the title, body, after the body), its class, and the classes of the line
-    before it and of what opened the run it stands in. A container is a run of open lines between lines of a known other
-    kind; its score is the share of its text that stands in lines with text of their own.
+from regesta.llm.lines import TEXT, Line, as_lead, read_lines
+from regesta.session import materialise_with
+
+#: What pages tell of a frame (a template that many hosts, or many pages of a host, have): the shares of its places inside a page's container, right before text or figures,
+#: and right before the container. None: nothing yet.
+Frame = tuple[float, float, float]
+#: Rounds in which containers and frames are found from each other.
+ROUNDS = 3
+#: What a line with text of its own is worth to the container that holds it, by its shape.
+WORTH = {"prose": 3.0, "item": 2.0, "contact": 2.0, "table": 2.0, "short": 1.0, "figures": 0.25}
+#: A frame is worth nothing at this share of places inside containers; below it counts against a container, above it for it.
+EVEN, STEEP = 0.25, 4.0
+#: The share from which a frame counts as standing in containers only, and the one below which it counts as standing outside.
+INSIDE, OUTSIDE = 0.85, 0.05
+#: What is taken to hold for a frame with and without text of its own, before pages tell, and the number of places that this weighs.
+PRIOR = {True: (1.0, 0.5, 0.0), False: (0.1, 0.3, 0.1)}
+DOUBT = 4.0
+#: The same for a template that only one host repeats: repetition itself speaks against it.
+LOCAL_DOUBT = 1.0
+_SHAPES = ("prose", "item", "contact", "table", "short", "figures", "menu", "clip")
+
+
+def _own(told: Frame) -> float:
+    """How much of a frame's places belong to a container: inside it, or right before it."""
+    return told[0] + told[2]
+
+
+def _heads(line: Line, told: Frame) -> bool:
+    """A line that is the same everywhere and announces what follows: it hardly ever stands elsewhere, or hardly ever before anything else."""
+    return line.fixed and (_own(told) >= INSIDE and told[1] >= 0.8 or _own(told) >= 0.3 and told[1] >= 0.85)
+
+
+def _foreign(line: Line, frames: Mapping[int, Frame | None]) -> bool:
+    """Does a line begin with what elsewhere stands, alone or as a beginning, outside containers?"""
+    if not line.lead or line.shape in ("contact", "figures"):
+        return False
+    return any((told := frames.get(h)) is not None and _own(told) < OUTSIDE for h in (line.lead, as_lead(line.lead)))
+
+
+def trail(lines: list[Line], k: int) -> bool:
+    """Does the last part of a line name one of the lines right after it? Then it is the trail to that title."""
+    return lines[k].last != 0 and any(x.whole == lines[k].last for x in lines[k + 1 : k + 4])
+
+
+def line_worth(lines: list[Line], k: int, frames: Mapping[int, Frame | None]) -> float:
+    """How much a line speaks for the container that holds it. Lines with text of their own do, menus, trails and clipped lines do not; a frame does as the pages say."""
+    line = lines[k]
+    if line.shape in ("menu", "clip") or trail(lines, k) or _foreign(line, frames):
+        return -3.0
+    base = WORTH[line.shape]
+    if line.frame not in frames:
+        return base if line.shape in TEXT else -0.25
+    told = frames[line.frame]
+    if told is None:
+        return {"prose": -1.0, "short": -0.5}.get(line.shape, 0.0)
+    if _heads(line, told):
+        return base
+    if line.figures and line.shape in ("short", "figures") and _own(told) < 0.5:
+        return 0.0
+    return base * max(-1.0, min(1.0, (told[0] - EVEN) * STEEP))
+
+
+def container(lines: list[Line], frames: Mapping[int, Frame | None]) -> tuple[int, int]:
+    """First and last place of the run of lines of greatest worth; (0, -1) if none is worth anything."""
+    best, span = 0.0, (0, -1)
+    total, start = 0.0, 0
+    for k in range(len(lines)):
+        if total <= 0:
+            total, start = 0.0, k
+        total += line_worth(lines, k, frames)
+        if total > best:
+            best, span = total, (start, k)
+    return span
+
+
+def seen_frames(lines: list[Line], frames: Mapping[int, Frame | None]) -> Iterator[tuple[int, bool, int, int, int]]:
+    """For every frame on a page: its hash, whether it has text, and whether it stands inside the container, before text or figures, and right before the container (figures between them aside)."""
+    first, last = container(lines, frames)
+    for k, line in enumerate(lines):
+        known = [h for h in (line.frame, line.lead) if h in frames]
+        if known:
+            after = lines[k + 1] if k + 1 < len(lines) else None
+            announces = after is not None and (after.figures and after.shape != "prose" or after.shape in TEXT and first <= k + 1 <= last)
+            begin = k + 1
+            while begin < first and lines[begin].figures:
+                begin += 1
+            for h in known:
+                yield h, h == line.frame and line.shape in TEXT, int(first <= k <= last), int(announces), int(begin == first <= last and k < first)
+
+
+def host_votes(lines: list[Line], frames: Mapping[int, Frame | None]) -> dict[int, tuple[bool, int, int, int]]:
+    """What a page tells of each of its templates. One that is no frame of many hosts has to stand inside the container without its own worth."""
+    told = {h: tuple(x) for h, *x in seen_frames(lines, frames)}
+    for line in lines:
+        for h in (line.frame, line.lead):
+            if h and h not in told:
+                told.update((g, tuple(x)) for g, *x in seen_frames(lines, {**frames, h: None}) if g == h)
+    return told
+
+
+def line_kind(lines: list[Line], k: int, frames: Mapping[int, Frame | None]) -> str:
+    """text, heading, title (a short line as titles are), entry (of a list), figures (a frame around numbers), label (one that goes with a page's text), aside or frame."""
+    line = lines[k]
+    if line.shape in ("menu", "clip") or trail(lines, k) or _foreign(line, frames):
+        return "frame"
+    told = frames.get(line.frame)
+    if told is None:
+        return "text" if line.shape in TEXT else "figures" if line.shape == "figures" else "entry"
+    if line.shape in TEXT and told[0] >= EVEN:
+        return "text"
+    if line.figures and line.shape != "prose":
+        if _own(told) >= 0.5:
+            return "label"
+        return "title" if line.shape == "short" and told[2] >= 0.1 and told[1] < 0.6 else "figures"
+    if line.shape in TEXT:
+        return "frame"
+    if _heads(line, told):
+        return "heading"
+    if told[0] >= 0.5:
+        return "aside" if line.fixed else "entry"
+    return "title" if told[2] >= 0.1 and told[1] >= 0.2 else "frame"
+
+
+def body_lines(lines: list[Line], frames: Mapping[int, Frame | None]) -> list[int]:
+    """The numbers of the lines of the main body.
+
+    That is the container with the title before it and the entries after it: its text, headings and title, figures that a heading announces, and short lines
+    that stand in a list. Frames, labels and asides within it are not.
     """
-    lines = [clean(x) for x in text.split("\n")]
-    kinds = []
-    for x in lines:
-        c = line_class(x)
-        if c == "short":
-            f = _fold(x)
-            c = "nav" if f in nav else "heading" if f in headings else "short"
-        kinds.append(c)
-    full = [i for i, c in enumerate(kinds) if c]
-
-    # short lines after the head of a box are what it teases
-    boxed = False
-    for i in full:
-        if kinds[i] == "teasers":
-            boxed = True
-        elif boxed and kinds[i] == "short":
-            kinds[i] = "boxed"
-        elif boxed and kinds[i] not in ("more", "update"):
-            boxed = False
-
-    # an address that closes what a heading announces is the page's own; any other belongs to the foot
-    announced: set[int] = set()
-    under = opened = False
-    for i in full:
-        if kinds[i] == "heading":
-            under, opened = True, False
-        elif under and kinds[i] in ("hours", "switchboard"):
-            opened = True
-        elif under and opened and kinds[i] == "address":
-            kinds[i] = "place"
-        elif kinds[i] not in ("advert", "share", "update", "teased"):
-            under = False
-        if under:
-            announced.add(i)
-        if kinds[i] == "place":
-            under = False
-
-    crumbs = [i for i in full if kinds[i] == "crumb"]
+    first, last = container(lines, frames)
+    if first > last:
+        return []
+    kinds = [line_kind(lines, k, frames) for k in range(len(lines))]
     title = -1
-    if crumbs:
-        name = _fold(segments(lines[crumbs[0]])[-1])
-        title = next((i for i in full if i > crumbs[0] and kinds[i] in ("short", "boxed", "nav", "prose", "heading", "table", "contact") and _fold(lines[i]) == name), -1)
-    if title < 0:
-        start = crumbs[0] if crumbs else -1
-        body = next((i for i in full if i > start and (kinds[i] in TEXT or kinds[i] == "heading")), len(lines))
-        title = next((i for i in reversed(full) if start < i < body and kinds[i] in ("short", "boxed")), -1)
-        # a title stands right before its body, with nothing but marks between
-        if title >= 0 and any(kinds[i] in ("menu", "nav", "cookie", "crumb") for i in full if title < i < body):
-            title = -1
-        if title < 0:
-            title = body if body < len(lines) else -1
-    tail = next((i for i in full if title >= 0 and i > title and kinds[i] in TAIL), len(lines))
-    if title >= 0 and kinds[title] in ("short", "boxed", "heading", "nav", "table", "contact") or title >= 0 and crumbs:
-        kinds[title] = "title"
-
-    out: list[tuple[int, str, str, float]] = []
-    run: list[int] = []
-    scores: dict[int, float] = {}
-
-    def close() -> None:
-        size = sum(len(lines[i]) for i in run)
-        own = sum(len(lines[i]) for i in run if kinds[i] in TEXT or kinds[i] == "title")
-        titled = any(kinds[i] in ("title", "heading") for i in run)
-        for i in run:
-            # opening hours belong to the body where a heading announces them; elsewhere they are the site's own
-            scores[i] = float(i in announced) if kinds[i] in RECEPTION else min(1.0, own / max(size, 1) + (0.5 if titled else 0.0))
-        run.clear()
-
-    for i in full:
-        inside = title >= 0 and title <= i < tail
-        if inside and (kinds[i] in TEXT or kinds[i] in OPEN or kinds[i] == "title"):
-            run.append(i)
-        elif kinds[i] not in ("advert", "share", "update"):
-            close()
-    close()
-
-    before, opener = "^", "^"
-    for i in full:
-        c = kinds[i]
-        zone = "h" if title < 0 or i < title else "b" if i < tail else "t"
-        if c in ("heading", "title", "teasers") or c in TEXT or c in TAIL:
-            opener = c
-        out.append((i + 1, f"{zone}/{opener}/{before}>{c}", hashlib.blake2b(_fold(lines[i]).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest(), scores.get(i, 0.0)))
-        if c not in ("advert", "share"):
-            before = c
-    return out
-
-
-def main_body(pages: DataFrame, *, weight: float = 5.0, repeated: float = 0.5, broadcast_rows: int = 500_000) -> DataFrame:
+    named = next((k for k in range(first, -1, -1) if trail(lines, k)), -1)
+    if named >= 0:
+        title = next(k for k in range(named + 1, len(lines)) if lines[k].whole == lines[named].last)
+    else:
+        k = first
+        if kinds[k] not in ("title", "entry"):
+            k -= 1
+            while k >= 0 and kinds[k] in ("figures", "label", "aside"):
+                k -= 1
+        if k >= 0 and kinds[k] in ("title", "entry"):
+            title = k
+    if title >= 0:
+        first = min(first, title)
+    headed = kinds[last] == "heading"
+    while last + 1 < len(lines) and (kinds[last + 1] in ("entry", "text") or headed and kinds[last + 1] == "figures"):
+        last += 1
+    kept = []
+    announced = False
+    for k in range(first, last + 1):
+        kind = "title" if k == title else kinds[k]
+        announced = kind == "heading" or announced and kind in ("figures", "label", "aside", "frame")
+        own = kind in ("text", "heading") or k == title or kind == "figures" and announced
+        if kind == "entry":
+            own = any(0 <= s < len(lines) and (lines[s].shape in ("contact", "table", "item") or kinds[s] == "entry") for s in (k - 1, k + 1))
+        if own:
+            kept.append(lines[k].number)
+    return kept
+
+
+def leaned(told: tuple[bool, int, int, int, int], common: Frame | None, weight: float) -> Frame:
+    """What pages (text or not, places, and the three counts) tell of a frame, leaning with a weight on what all hosts tell, or on the prior."""
+    text, n, *counts = told
+    base, w = common or PRIOR[bool(text)], weight
+    return tuple((c + w * b) / (n + w) for c, b in zip(counts, base, strict=True))
+
+
+_PAGE = "cache_path string, host string, number array<int>, shape array<tinyint>, frame array<long>, whole array<long>, last array<long>, lead array<long>, figures array<boolean>, fixed array<boolean>"
+_TOLD = "h long, text boolean, n long, a long, b long, c long"
+
+
+def _lines(row: tuple) -> list[Line]:
+    return [Line(int(n), _SHAPES[s], int(f), int(w), int(la), int(le), bool(fi), bool(fx)) for n, s, f, w, la, le, fi, fx in zip(*row, strict=True)]
+
+
+def _pages(batch: pd.DataFrame) -> Iterator[list[Line]]:
+    return map(_lines, zip(*(batch[c] for c in ("number", "shape", "frame", "whole", "last", "lead", "figures", "fixed")), strict=True))
+
+
+def main_body(pages: DataFrame, *, weight: float | None = 20.0, hosts_share: float = 0.01, pages_share: float = 5e-4, least: int = 3) -> DataFrame:
     """cache_path, ligne: the numbers (from 1, over all lines split at LF) of the lines of each page's main body.
 
-    pages: cache_path (unique), domaine, texte. Page texts have no tags, so a line's class (what kind of line it is) stands for
-    them, and its path is built of its zone, the opener of its run, and the classes before it.
-
-    1. Items of one-line menus are counted over all pages: those of many pages are menu words. Short lines are
-       counted as well: those of many pages that hardly ever stand as a title are headings. Both lists are
-       bounded by the shares they ask for, and broadcast.
-    2. Each page is cut into containers, each line gets its path and its container's score.
-    3. The scores are votes: per path over all pages, and per host and path, where the host's mean leans on the
-       common one with a weight, so that a host of few pages follows the others. The same line on most pages of
-       a host (three or more of them, outside headings) counts against it.
-    4. The lines are joined with the votes of their host's paths, and those on winning paths are the main body.
-
-    Votes are combined before they are shuffled, so a host of a third of all pages costs one row per path and task.
-    They are counted and broadcast up to broadcast_rows; beyond, the lines are shuffled by host and path. A page without
-    title or text has no main body; a null host is a host of its own; null texts give no line; empty table: no rows.
+    pages: cache_path (unique), domaine, texte. The texts have no tags, so a line's template (the line without its numbers and names) and its shape stand for
+    tag and class. No phrase of any language is known beforehand:
+
+    1. Templates that many hosts have (a share of them, and of the pages: so at most lines-per-page / pages_share, the bound of their broadcast) are frames.
+    2. Each page's container is the run of lines of greatest worth: lines with text of their own count for it, menus, trails, clipped lines and frames
+       against it. Over all pages each frame gets three votes: how often it stands inside a container, heads text, or stands right before a container. With
+       these the containers are found again, ROUNDS times.
+    3. The same votes are taken per host and template, on `least` pages of the host or more, leaning on the votes of all hosts with a weight, so
+       that a host of few pages follows the others while what only one host repeats is judged by its own pages (weight None: no votes of hosts).
+    4. The pages are read again with the votes of their hosts: container, title, headings, entries.
+
+    Votes are combined before they are shuffled, so a host of a third of all pages costs one row per template and task; they reach the pages by a join on
+    host and template that AQE may split. A page without text of its own has no main body; a null host is a host of its own; null texts give no
+    line; an empty table gives no rows. Lines of any length are read whole.
     """
     spark = pages.sparkSession
     base = pages.where("texte is not null and cache_path is not null").select("cache_path", F.coalesce("domaine", F.lit("")).alias("host"), "texte")
-    total = base.count()
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [("m", w, 0) for ws in menu_words(b["texte"]) for w in ws] + [("h", w, k) for ws in head_words(b["texte"]) for w, k in ws]
-            yield pd.DataFrame(rows, columns=["kind", "word", "titled"])
+            got = [read_lines(t) for t in b["texte"]]
+            out = {c: [[getattr(x, c) for x in ls] for ls in got] for c in ("number", "frame", "whole", "last", "lead", "figures", "fixed")}
+            yield pd.DataFrame({"cache_path": b["cache_path"], "host": b["host"], **out, "shape": [[_SHAPES.index(x.shape) for x in ls] for ls in got]})
 
-    words = base.select("texte").mapInPandas(counted, "kind string, word string, titled int").groupBy("kind", "word").agg(F.count("*").alias("n"), F.avg("titled").alias("titled"))
-    often = words.where((F.col("n") >= F.lit(max(3.0, 0.004 * total))) & ((F.col("kind") == "m") | (F.col("titled") < 0.35))).toLocalIterator()
-    lists: dict[str, set[str]] = {"m": set(), "h": set()}
-    for r in often:
-        lists[r.kind].add(r.word)
-    nav = frozenset(lists["m"])
-    vocabulary = spark.sparkContext.broadcast((nav, frozenset(lists["h"] - nav)))
+    own, seen = materialise_with(base.mapInPandas(read, _PAGE), "page-lines", pages=F.count(F.lit(1)))
+    total = seen["pages"] or 0
+    templates = F.array_distinct(F.filter(F.concat("frame", "lead"), lambda h: h != 0))
+    by_host = own.select("host", F.explode(templates).alias("h")).groupBy("h", "host").agg(F.count("*").alias("n"))
+    hosts = own.select("host").distinct().count()
+    often = by_host.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("hosts")).where((F.col("hosts") >= F.lit(max(3.0, hosts_share * hosts))) & (F.col("n") >= F.lit(pages_share * total)))
+    frames: dict[int, Frame | None] = {r.h: None for r in often.select("h").toLocalIterator()}
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for _ in range(ROUNDS):
+        known = spark.sparkContext.broadcast(frames)
+
+        def vote(batches: Iterator[pd.DataFrame], known=known) -> Iterator[pd.DataFrame]:
+            votes: dict[int, list[int]] = {}
+            for b in batches:
+                for ls in _pages(b):
+                    for h, text, *told in seen_frames(ls, known.value):
+                        v = votes.setdefault(h, [0, 0, 0, 0, 0])
+                        v[0], v[1] = v[0] | text, v[1] + 1
+                        v[2:] = [x + y for x, y in zip(v[2:], told, strict=True)]
+            yield pd.DataFrame([(h, bool(v[0]), *v[1:]) for h, v in votes.items()], columns=["h", "text", "n", "a", "b", "c"])
+
+        told = own.mapInPandas(vote, _TOLD).groupBy("h").agg(F.bool_or("text").alias("text"), *(F.sum(x).alias(x) for x in "nabc"))
+        frames = {r.h: leaned((r.text, r.n, r.a, r.b, r.c), None, DOUBT) for r in told.toLocalIterator()}
+
+    known = spark.sparkContext.broadcast(frames)
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(c, h, *r) for c, h, t in zip(b["cache_path"], b["host"], b["texte"], strict=True) for r in read_page(t, *vocabulary.value)]
-            yield pd.DataFrame(rows, columns=["cache_path", "host", "ligne", "path", "line", "score"])
-
-    lines = base.mapInPandas(read, "cache_path string, host string, ligne long, path string, line string, score double")
-    lines = materialise(lines.select("cache_path", "host", "ligne", "path", F.xxhash64("line").alias("line"), "score"), "page-lines")
-    own = lines.groupBy("host", "path").agg(F.sum("score").alias("s"), F.count("*").alias("n"))
-    common = own.groupBy("path").agg((F.sum("s") / F.sum("n")).alias("p"))
-    winning = own.join(F.broadcast(common), "path").select("host", "path", ((F.col("s") + F.lit(weight) * F.col("p")) / (F.col("n") + F.lit(weight))).alias("vote"))
-    winning = materialise(winning.where("vote >= 0.5").select("host", "path"), "winning-paths")
-    side: Column | DataFrame = F.broadcast(winning) if winning.count() <= broadcast_rows else winning
-    chosen = lines.join(side, ["host", "path"], "left_semi")
-
-    free = F.element_at(F.split("path", ">"), -1).isin("prose", "short", "table", "item")
-    sizes = lines.groupBy("host").agg(F.count_distinct("cache_path").alias("pages")).where("pages >= 3")
-    common_lines = lines.where(free).groupBy("host", "line").agg(F.count_distinct("cache_path").alias("k")).where("k >= 3")
-    worn = materialise(common_lines.join(sizes, "host").where(F.col("k") >= F.lit(repeated) * F.col("pages")).select("host", "line"), "worn-lines")
-    worn_side = F.broadcast(worn) if worn.count() <= broadcast_rows else worn
-    kept = chosen.where(free).join(worn_side, ["host", "line"], "left_anti").unionByName(chosen.where(~free))
-    return kept.select("cache_path", "ligne")
+            votes: dict[tuple[str, int], list[int]] = {}
+            for host, ls in zip(b["host"], _pages(b), strict=True):
+                for h, (text, *told) in host_votes(ls, known.value).items():
+                    v = votes.setdefault((host, h), [0, 0, 0, 0, 0])
+                    v[0], v[1] = v[0] | text, v[1] + 1
+                    v[2:] = [x + y for x, y in zip(v[2:], told, strict=True)]
+            yield pd.DataFrame([(host, h, bool(v[0]), *v[1:]) for (host, h), v in votes.items()], columns=["host", "h", "text", "n", "a", "b", "c"])
+
+    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, votes, ls in zip(b["cache_path"], b["votes"], _pages(b), strict=True):
+                mine = {v["h"]: leaned((v["text"], v["n"], v["a"], v["b"], v["c"]), known.value.get(v["h"]), weight if v["h"] in known.value else LOCAL_DOUBT) for v in votes} if votes is not None else {}
+                rows += [(path, k) for k in body_lines(ls, ChainMap(mine, known.value) if mine else known.value)]
+            yield pd.DataFrame(rows, columns=["cache_path", "ligne"])
+
+    if weight is None:
+        return own.withColumn("votes", F.lit(None).cast(f"array<struct<{_TOLD.replace(' ', ':').replace(',:', ',')}>>")).mapInPandas(extract, "cache_path string, ligne long")
+    host_told = own.mapInPandas(local, f"host string, {_TOLD}").groupBy("host", "h").agg(F.bool_or("text").alias("text"), *(F.sum(x).alias(x) for x in "nabc")).where(F.col("n") >= least)
+    page = [F.xxhash64("cache_path").alias("p1"), F.hash("cache_path").alias("p2")]
+    votes = own.select(*page, "host", F.explode(templates).alias("h")).join(host_told, ["host", "h"]).groupBy("p1", "p2").agg(F.collect_list(F.struct("h", "text", "n", "a", "b", "c")).alias("votes"))
+    return own.select("*", *page).join(votes, ["p1", "p2"], "left").drop("p1", "p2").mapInPandas(extract, "cache_path string, ligne long")
