@@ -17,7 +17,7 @@ from regesta.llm.mainbody import main_body
 from regesta.llm.matching import match_entities
 from regesta.llm.mixing import count_tokens, mix, source_key
 from regesta.llm.survivor import survivors
-from regesta.llm.variants import link_variants, variant_pairs
+from regesta.llm.variants import link_variants, linked_and_loose, variant_pairs
 from regesta.llm.truncation import truncated, truncation_by_source
 from regesta.session import materialise, table
 
@@ -33,7 +33,7 @@ def association_names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return variant_pairs(link_variants(association_names(spark, folder)))
+    return variant_pairs(*linked_and_loose(association_names(spark, folder)))
 
 
 def p2_organisations(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,7 +63,7 @@ def matched_entries(spark: SparkSession, folder: str) -> DataFrame:
     sites = table(spark, folder, "association").select("id", F.concat(F.lit("//"), _site(F.col("site_web"))).alias("contact"))
     matches, linked = match_entities(entries, register, entry_contacts, reached.unionByName(sites))
     likely = matches.where("p >= 0.5")
-    return likely.join(linked.select(F.col("organisation").alias("r"), F.col("id").alias("association_id")), "r").select(F.col("l").alias("fiche_id"), F.col("r").alias("organisation"), "association_id", F.col("p").alias("confiance"))
+    return likely.join(linked.select(F.col("organisation").alias("r"), F.col("id").alias("association_id")).distinct(), "r").select(F.col("l").alias("fiche_id"), F.col("r").alias("organisation"), "association_id", F.col("p").alias("confiance"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from itertools import permutations
@@ -20,13 +19,8 @@ SMALL = frozenset("de du des d la le les l et en au aux".split())
 #: Words that any organisation may put before or into its name.
 GENERIC = frozenset("association assoc asso ass club".split())
 
-# Other words for an activity, and a first name's short form that does not begin like it.
-SYNONYMS = {
-    "3e age": "aines", "troisieme age": "aines", "ensemble vocal": "chorale", "ens vocal": "chorale", "petanque": "boule", "boulistes": "boule", "motards": "moto", "motard": "moto",
-    "cycliste": "cyclo", "cyclistes": "cyclo", "alsh": "centre loisirs", "solidarite": "secours solidaire", "lecteurs": "lecture", "rando": "randonneurs", "randonnee": "randonneurs", "genealogie": "genealogique",
-    "babeth": "elisabeth",
-}
-_SYNONYM = re.compile(r"\b(" + "|".join(sorted(SYNONYMS, key=len, reverse=True)) + r")\b")
+#: The edits of a whole name, over its aligned tokens.
+EDITS = 3
 
 PARSED = "n long, side int, code string, alias string, sigle string, place string, core array<string>, known array<string>, short array<string>, sig array<string>"
 
@@ -37,7 +31,7 @@ def letters(text: str | None) -> str:
 
 def parse(alias: str, sigle: str, place: str, known: frozenset[str]) -> tuple[list[str], list[str], list[str], list[str]]:
     """A normalised name's own words, its words known from many names, its short words and its initials."""
-    tokens = _SYNONYM.sub(lambda m: SYNONYMS[m.group()], alias).split()
+    tokens = alias.split()
     tail = place.split()
     if tail and len(tokens) > len(tail) + 1 and tokens[-len(tail) :] == tail:
         tokens = tokens[: -len(tail)]
@@ -120,12 +114,17 @@ def _initials(sig: str, words: Sequence[str]) -> bool:
     return bool(heads) and _subsequence("".join(w[0] for w in heads[:2]), sig)
 
 
+def other_words(a: Sequence[str], b: Sequence[str]) -> tuple[list[str], list[str], bool]:
+    """The telling words of two activities that have no counterpart in the other one, and whether some have one."""
+    ta, tb = _telling(a), _telling(b)
+    ua = {x for x in ta if not any(_like(x, y) for y in b)}
+    ub = {y for y in tb if not any(_like(x, y) for x in a)}
+    return sorted(ua), sorted(ub), bool(ta - ua and tb - ub)
+
+
 def same_activity(a: Sequence[str], a_short: Sequence[str], a_sig: Sequence[str], b: Sequence[str], b_short: Sequence[str], b_sig: Sequence[str]) -> bool:
-    fa, fb = [*a, *a_short], [*b, *b_short]
-    ta, tb = _telling(fa), _telling(fb)
-    ua = {x for x in ta if not any(_like(x, y) for y in fb)}
-    ub = {y for y in tb if not any(_like(x, y) for x in fa)}
-    if ta - ua and tb - ub and not (ua and ub):
+    ua, ub, some = other_words([*a, *a_short], [*b, *b_short])
+    if some and not (ua and ub):
         return True
     for sig in [*a_sig, *a_short]:
         if _initials(sig, [w for w in b if w not in ("association",)] or b) or _initials(sig, b) or sig in b_sig:
@@ -147,75 +146,83 @@ def same_words(a: dict, b: dict) -> bool:
             return True
     own = {*a["core"], *b["core"]}
     only_a, only_b = list((Counter(wa) - Counter(wb)).elements()), list((Counter(wb) - Counter(wa)).elements())
-    if len(only_a) != len(only_b) or len(only_a) > 3:
+    if len(only_a) != len(only_b) or len(only_a) > EDITS:  # each differing word costs an edit
         return False
 
     def cost(x: str, y: str) -> int:
-        return banded(x, y, 2) if (x in own or y in own) and banded(x, y, 2) <= reach(min(len(x), len(y))) else 4
+        return banded(x, y, 2) if (x in own or y in own) and banded(x, y, 2) <= reach(min(len(x), len(y))) else EDITS + 1
 
-    return any(sum(cost(x, y) for x, y in zip(only_a, order, strict=True)) <= 3 for order in permutations(only_b))
+    return any(sum(cost(x, y) for x, y in zip(only_a, order, strict=True)) <= EDITS for order in permutations(only_b))
 
 
-def same_body(a: dict, b: dict) -> bool:
-    """Do two parsed names name one organisation? All their own words agree within edits, and their activities do not differ.
+def own_distance(a: dict, b: dict) -> tuple[int, list[list[str]], list[list[str]]]:
+    """The banded edit distance of two names' own words, aligned in any order; what is left over on either side; and what of it is another word for a known one.
 
-    A word of one's own may be missing on one side if that side's initials have its first letter; a word may be cut
-    short, two may be written as one, the municipality or a first name may be added. Where a name has no own word, all words have to be the same.
+    Two words are aligned within the edits that their length grants, one word with two written as one likewise; EDITS + 1 where none is. A word cut short, or
+    one that begins like a known word of the other name (a first name and its short form), or for which only the other name's initials
+    stand, costs one edit; one that names the municipality none; any other is left over.
     """
-    if a["alias"] == b["alias"]:
-        return True
     ca, cb = list(a["core"]), list(b["core"])
-    if not ca or not cb:
-        return same_words(a, b)
-    a_short, b_short = list(a["short"]), list(b["short"])
-    matched = 0
-    for x, y in ((ca, cb), (cb, ca)):
-        if matched == 0 and len(x) == 1 and len(y) == 2 and len(x[0]) >= 10 and min(banded(x[0], y[0] + y[1], 2), banded(x[0], y[1] + y[0], 2)) <= 2:
-            matched = 2
-    if matched:
-        ua: list[str] = []
-        ub: list[str] = []
-    else:
-        close = sorted((d, i, j) for i, x in enumerate(ca) for j, y in enumerate(cb) if (d := banded(x, y, 2)) <= (2 if min(len(x), len(y)) >= 6 else 1))
-        used_a, used_b, cost = set(), set(), 0
-        for d, i, j in close:
-            if i not in used_a and j not in used_b and cost + d <= 3:
-                used_a.add(i)
-                used_b.add(j)
-                cost += d
-        matched = len(used_a)
-        ua = [x for i, x in enumerate(ca) if i not in used_a]
-        ub = [y for j, y in enumerate(cb) if j not in used_b]
-    if not matched:
-        return False
-
-    def explained(left: list[str], own_short: list[str], other: dict, other_core: list[str], other_short: list[str]) -> list[str]:
-        rest = []
-        for w in left:
-            stem = next((s for s in [*other_short, *other_core] if len(s) >= 3 and (w.startswith(s) or s.startswith(w) or (len(s) >= 4 and banded(s, w[: len(s)], 1) <= 1))), None)
+    ways = [(d, (i,), (j,)) for i, x in enumerate(ca) for j, y in enumerate(cb) if (d := banded(x, y, 2)) <= reach(min(len(x), len(y)))]
+    for left, right, turned in ((ca, cb, False), (cb, ca, True)):
+        for i, x in enumerate(left):
+            for j, y in enumerate(right):
+                for m, z in enumerate(right):
+                    if j != m and len(x) >= 10 and (d := banded(x, y + z, 2)) <= 2:
+                        ways.append((d, (j, m), (i,)) if turned else (d, (i,), (j, m)))
+    used: tuple[set[int], set[int]] = (set(), set())
+    total = 0
+    for d, i, j in sorted(ways, key=lambda w: (w[0] - len(w[1]) - len(w[2]), w)):
+        if used[0].isdisjoint(i) and used[1].isdisjoint(j) and total + d <= EDITS:
+            used[0].update(i)
+            used[1].update(j)
+            total += d
+    over = [[x for i, x in enumerate(own) if i not in seen] for own, seen in zip((ca, cb), used, strict=True)]
+    turned_words: list[list[str]] = [[], []]
+    if not used[0]:
+        return EDITS + 1, over, turned_words
+    bare = [list(a["short"]), list(b["short"])]
+    rest: list[list[str]] = [[], []]
+    for side, other in ((0, b), (1, a)):
+        signs = [*other["sig"], *([other["sigle"]] if other["sigle"] and other["sig"] else [])]
+        for w in over[side]:
             if w in other["place"].split():
                 continue
+            pool = next((p for p in (bare[1 - side], over[1 - side]) if any(_cut(w, t) for t in p)), None)
             if any(len(k) > 3 and k[:3] == w[:3] for k in other["known"]):
-                own_short.append(w)  # a nickname, or another word for the activity
-                continue
-            if stem is not None:
-                if stem in other_short:
-                    other_short.remove(stem)
-                if stem in other_core:
-                    other_core.remove(stem)
+                turned_words[side].append(w)
+            elif pool is not None:
+                pool.remove(next(t for t in pool if _cut(w, t)))
+            elif not any(w[0] in s[1:] for s in signs):
+                rest[side].append(w)
                 continue
-            rest.append(w)
-        return rest
+            total += 1
+    return total, rest, turned_words
+
+
+def _cut(w: str, t: str) -> bool:
+    """Is one of two words the other cut short, save for an edit?"""
+    return len(t) >= 3 and (w.startswith(t) or t.startswith(w) or (len(t) >= 4 and banded(t, w[: len(t)], 1) <= 1))
 
-    ua = explained(ua, a_short, b, ub, b_short)
-    ub = explained(ub, b_short, a, ua, a_short)
-    if ua and ub:
-        return False
-    for left, less in ((ua, b), (ub, a)):
-        signs = [*less["sig"], *([less["sigle"]] if less["sigle"] and less["sig"] else [])]
-        if left and not any(all(w[0] in s[1:] for w in left) for s in signs):
-            return False
-    return same_activity(a["known"], a_short, a["sig"], b["known"], b_short, b["sig"])
+
+def compare(a: dict, b: dict) -> tuple[bool, list[str], list[str]]:
+    """Do two parsed names name one organisation: are their own words within EDITS and do their activities agree? Else, where all own words of one of them agree: the words in which they differ."""
+    if a["alias"] == b["alias"]:
+        return True, [], []
+    if not len(a["core"]) or not len(b["core"]):
+        return same_words(a, b), [], []
+    total, rest, turned = own_distance(a, b)
+    if total > EDITS or rest[0] and rest[1]:
+        return False, [], []
+    words = [[*x["short"], *t] for x, t in zip((a, b), turned, strict=True)]
+    if not rest[0] and not rest[1] and same_activity(a["known"], words[0], a["sig"], b["known"], words[1], b["sig"]):
+        return True, [], []
+    ua, ub, _ = other_words([*a["known"], *words[0]], [*b["known"], *words[1]])
+    return False, sorted([*ua, *rest[0]]), sorted([*ub, *rest[1]])
+
+
+def same_body(a: dict, b: dict) -> bool:
+    return compare(a, b)[0]
 
 
 def _lists(row: dict) -> dict:
@@ -271,8 +278,8 @@ def asked_keys(unit: str, longer: bool) -> set[str]:
 
 
 def joined_words(core: Sequence[str]) -> list[str]:
-    """Two own words written as one, in either order: what the single word of another name may be."""
-    return [core[0] + core[1], core[1] + core[0]] if len(core) == 2 else []
+    """Any two words written as one, in either order: what a single word of another name may be."""
+    return [x + y for i, x in enumerate(core) for j, y in enumerate(core) if i != j]
 
 
 def name_nodes(base: DataFrame, least: int, share: float, words_of: DataFrame | None = None) -> tuple[DataFrame, frozenset[str]]:
@@ -342,19 +349,19 @@ def _sorted(unit: str) -> Column:
 
 
 def near_pairs(keys: DataFrame) -> DataFrame:
-    """a, b, entry: nodes with units near each other, found by a common segment and checked by a banded distance.
+    """a, b, sides: nodes with units near each other, found by a common segment and checked by a banded distance.
 
     The distance of the JVM counts two letters that change places as two edits, so what is further by it but has nearly the same letters stays
-    for same_body. Nodes of side 1 (a register) meet each other, a < b; a node of side 0 (an entry, then a, with entry true) meets those of side 1 only.
+    for the verification of the name. sides is 2 for two nodes of a register (a < b), 1 for an entry (then a) and a node of the register, 0 for two entries (a < b).
     """
     p = keys.where("probe").select("key", F.col("n").alias("x"), F.col("side").alias("sx"), F.col("unit").alias("ux"))
     i = keys.where("not probe").select("key", F.col("n").alias("y"), F.col("side").alias("sy"), F.col("unit").alias("uy"))
-    met = p.join(i, "key").where((F.col("x") != F.col("y")) & (F.col("sx") + F.col("sy") > 0))
+    met = p.join(i, "key").where(F.col("x") != F.col("y"))
     one = (F.levenshtein("ux", "uy", 1) >= 0) | ((F.levenshtein("ux", "uy", 2) >= 0) & (_sorted("ux") == _sorted("uy")))
     two = (F.levenshtein("ux", "uy", 2) >= 0) | ((F.levenshtein("ux", "uy", 4) >= 0) & (F.levenshtein(_sorted("ux"), _sorted("uy"), 2) >= 0))
     close = met.where(F.when(F.least(F.length("ux"), F.length("uy")) < 6, one).otherwise(two))
     first = (F.col("sx") < F.col("sy")) | ((F.col("sx") == F.col("sy")) & (F.col("x") < F.col("y")))
-    return close.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"), (F.col("sx") != F.col("sy")).alias("entry")).distinct()
+    return close.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"), (F.col("sx") + F.col("sy")).alias("sides")).distinct()
 
 
 def with_names(pairs: DataFrame, a_names: DataFrame, b_names: DataFrame) -> DataFrame:
@@ -378,27 +385,68 @@ def owner_nodes(owners: DataFrame) -> DataFrame:
     return materialise(owners.groupBy("n").agg(*(F.max(c).alias(c) for c in ("code", "alias", "sigle", "place"))).withColumn("side", F.lit(1)), "nodes")
 
 
-def link_nodes(owners: DataFrame, names: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id, organisation, code of the owners' ids: near pairs are verified on the whole name, then linked names and the names of one id are components."""
-    full = with_names(pairs.where("not entry").select("a", "b"), names, names)
+def verified_pairs(pairs: DataFrame, names: DataFrame, *, least: int = 2, share: float = 0.3) -> DataFrame:
+    """a, b, sides of near pairs whose names name one body.
 
-    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ok = [same_body(_lists(x), _lists(y)) for x, y in zip(b["a_name"], b["b_name"], strict=True)]
-            yield b.loc[ok, ["a", "b"]]
+    Other words for one activity are mined: where names agree but for some words on either side, it is counted in how many municipalities these stand for each other. They
+    mean the same if that is so in `least` of them and in a share of the names that have the rarer of the two at all: names with a mere other
+    word for something mostly have a partner with the usual one, while two different activities seldom share the rest of their names.
+    """
+    full = with_names(pairs, names, names)
 
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for i, j, k, x, y in zip(b["a"], b["b"], b["sides"], b["a_name"], b["b_name"], strict=True):
+                p, q = _lists(x), _lists(y)
+                same, only_p, only_q = compare(p, q)
+                if same:
+                    rows.append((i, j, k, None, None))
+                elif only_p and only_q:
+                    rows.append((i, j, k, *sorted((" ".join(only_p), " ".join(only_q)))))
+            yield pd.DataFrame(rows, columns=["a", "b", "sides", "u", "v"])
+
+    judged = materialise(full.mapInPandas(verify, "a long, b long, sides int, u string, v string"), "judged")
+    unlike = judged.where("u is not null")
+    place = names.select("n", "code")
+    placed = unlike.join(place.toDF("a", "ca"), "a").join(place.toDF("b", "cb"), "b").withColumn("here", F.coalesce("ca", "cb"))
+    both = materialise(placed.groupBy("u", "v").agg(F.count_distinct("here").alias("k")).where(F.col("k") >= least), "exchanged")
+    terms = both.select(F.col("u").alias("t")).unionByName(both.select(F.col("v").alias("t"))).distinct()
+    # names with a term: at most as many as with the rarest of its words
+    words = names.where("side = 1").select(F.explode(F.array_distinct(F.split("alias", " "))).alias("w"))
+    held = terms.select("t", F.explode(F.split("t", " ")).alias("w")).join(words.groupBy("w").agg(F.count("*").alias("n")), "w").groupBy("t").agg(F.min("n").alias("n"))
+    mined = both.join(held.toDF("u", "nu"), "u").join(held.toDF("v", "nv"), "v").where(F.col("k") >= F.lit(share) * F.least("nu", "nv"))
+    return judged.where("u is null").select("a", "b", "sides").unionByName(unlike.join(mined.select("u", "v"), ["u", "v"]).select("a", "b", "sides"))
+
+
+def link_nodes(owners: DataFrame, names: DataFrame, verified: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, organisation, code of the owners' ids; loose, organisation: names of unknown municipality that fit several organisations).
+
+    Linked names, and the several names of one id, are components within a municipality, so no organisation spans two. Names without municipality are
+    components among themselves; one that fits the names of a single organisation joins it, one that fits several stays on its own and is listed.
+    """
+    nodes = names.where("side = 1").select(F.col("n").alias("node"), "code", "alias")
     # equal names, also without own words: one municipality known, the other not
-    nodes = names.where("side = 1")
-    alike = nodes.where("code is null").select(F.col("n").alias("a"), "alias").join(nodes.where("code is not null").select(F.col("n").alias("b"), "alias"), "alias").select("a", "b")
+    alike = nodes.where("code is null").select(F.col("node").alias("a"), "alias").join(nodes.where("code is not null").select(F.col("node").alias("b"), "alias"), "alias").select("a", "b")
     several = owners.groupBy("id").agg(F.min("n").alias("first"), F.count("*").alias("k")).where("k > 1")
     bridges = owners.join(several, "id").where("n <> first").select(F.col("first").alias("a"), F.col("n").alias("b"))
-    linked = components(full.mapInPandas(verified, "a long, b long").unionByName(alike).unionByName(bridges))
-    joined = owners.join(linked, owners["n"] == linked["node"], "left")
-    return joined.groupBy("id").agg(F.min(F.coalesce("component", "n")).alias("organisation"), F.max("code").alias("code"))
+    links = verified.where("sides = 2").select("a", "b").unionByName(alike).unionByName(bridges)
+    places = nodes.select("node", "code")
+    edges = links.join(places.select(F.col("node").alias("a"), F.col("code").alias("ca")), "a").join(places.select(F.col("node").alias("b"), F.col("code").alias("cb")), "b")
+    edges = materialise(edges.select("a", "b", "ca", "cb"), "links")
+    inner = components(edges.where(F.col("ca").eqNullSafe(F.col("cb"))).select("a", "b"))
+    placed = places.join(inner, "node", "left").select("node", "code", F.coalesce("component", "node").alias("component"))
+    outer = edges.where(F.col("ca").isNull() != F.col("cb").isNull()).select(F.when(F.col("ca").isNull(), F.col("a")).otherwise(F.col("b")).alias("l"), F.when(F.col("ca").isNull(), F.col("b")).otherwise(F.col("a")).alias("r"))
+    group = placed.select("node", "component")
+    fits = materialise(outer.join(group.toDF("l", "loose"), "l").join(group.toDF("r", "organisation"), "r").select("loose", "organisation").distinct(), "fits")
+    single = fits.groupBy("loose").agg(F.count("*").alias("k"), F.min("organisation").alias("to")).where("k = 1").select("loose", "to")
+    joined = owners.join(placed.select(F.col("node").alias("n"), "component"), "n").join(single, F.col("component") == F.col("loose"), "left")
+    linked = joined.groupBy("id").agg(F.min(F.coalesce("to", "component")).alias("organisation"), F.max("code").alias("code"))
+    return linked, fits.join(single.select("loose"), "loose", "left_anti")
 
 
 def link_variants(records: DataFrame, *, least: int = 8, share: float = 0.007) -> DataFrame:
-    """id, organisation (the same for all ids of one organisation), code (null: unknown).
+    """id, organisation (the same for all ids of one organisation, which lies in one municipality), code (null: unknown).
 
     records: id, code, name, alt_name, sigle, place (the municipality's name). An id may have several rows.
 
@@ -407,19 +455,28 @@ def link_variants(records: DataFrame, *, least: int = 8, share: float = 0.007) -
     words, of activities and first names; the others are a name's own. The own words, singly and written together, are cut into
     k + 1 segments, k being the edits that the verification grants; an inverted index of segments meets the position-shifted substrings of the other
     names, within one municipality, and across all for names without one. What shares a segment is verified
-    by edit distance in a band, first in the JVM, then with the rest of the name. Linked names and the several names
-    of one id form the organisations as connected components.
+    by edit distance in a band, first of the words in the JVM, then of the names' aligned tokens; other words for an activity are mined from
+    the pairs that differ in nothing else. Linked names and the several names of one id form the organisations as connected components.
 
     Null or blank names have no node; a name without own words links to names of the same words only. Ties and repeated rows
     change nothing. Empty table: no rows.
     """
+    linked, _ = linked_and_loose(records, least=least, share=share)
+    return linked
+
+
+def linked_and_loose(records: DataFrame, *, least: int = 8, share: float = 0.007) -> tuple[DataFrame, DataFrame]:
+    """link_variants, and loose, organisation: bodies of unknown municipality that fit several organisations."""
     owners = name_owners(records)
     names, _ = name_nodes(owner_nodes(owners), least, share)
-    return link_nodes(owners, names, near_pairs(segment_keys(names)))
+    linked, loose = link_nodes(owners, names, verified_pairs(near_pairs(segment_keys(names)), names))
+    return materialise(linked, "organisations"), loose
 
 
-def variant_pairs(linked: DataFrame) -> DataFrame:
-    """id_a < id_b of one organisation and one municipality, an unknown one fitting any."""
-    a, b = (linked.select(F.col("id").alias(f"id_{s}"), "organisation", F.col("code").alias(f"code_{s}")) for s in ("a", "b"))
-    same = F.coalesce(F.col("code_a") == F.col("code_b"), F.lit(True))
-    return a.join(b, "organisation").where((F.col("id_a") < F.col("id_b")) & same).select("id_a", "id_b")
+def variant_pairs(linked: DataFrame, loose: DataFrame) -> DataFrame:
+    """id_a < id_b of one organisation; an id of unknown municipality that fits several organisations is paired with the ids of each."""
+    sides = [linked.select(F.col("id").alias(f"id_{s}"), "organisation") for s in ("a", "b")]
+    inside = sides[0].join(sides[1], "organisation").where("id_a < id_b").select("id_a", "id_b")
+    ids = linked.select("id", "organisation")
+    across = loose.join(ids.select(F.col("organisation").alias("loose"), F.col("id").alias("x")), "loose").join(ids.select("organisation", F.col("id").alias("y")), "organisation").where("x <> y")
+    return inside.unionByName(across.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))).distinct()

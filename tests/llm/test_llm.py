@@ -86,10 +86,29 @@ def test_variants_across_lengths_and_cuts(spark):
     pairs = [("Bravitolu", "Bravitolus"), ("Dramsiku", "Dramisku"), ("Fropgal", "Frupgil"), ("Glimbetu", "Gilmbteu"), ("Kelvonarst", "Kelvonars")]
     rows = [(10 * i + j, None if known and j else f"M{i}", f"{w} {f}", None) for i, (p, f) in enumerate([(p, f) for p in pairs for f in ("moto", "ligue")]) for j, w in enumerate(p) for known in [f == "ligue"]]
     df = spark.createDataFrame(rows, "id long, code string, name string, sigle string").select("*", F.col("name").alias("alt_name"), F.lit(None).cast("string").alias("place"))
-    got = {(r.id_a, r.id_b) for r in variants.variant_pairs(variants.link_variants(df, least=5)).collect()}
+    got = {(r.id_a, r.id_b) for r in variants.variant_pairs(*variants.linked_and_loose(df, least=5)).collect()}
     assert got >= {(10 * i, 10 * i + 1) for i in range(10)}
 
 
+def test_organisations_stay_in_their_municipality(spark):
+    rows = [(i + 1, f"M{i}", "Comité des fêtes Bravitolu") for i in range(3)] + [(4, None, "Comité des fêtes Bravitolu")] + [(100 + i, f"C{i}", f"Comité des fêtes {w}") for i, w in enumerate(("Fosetuc", "Cadilur", "Jopetal", "Dagrimon", "Nabrelol", "Drunavec"))]
+    df = spark.createDataFrame(rows, "id long, code string, name string").select("*", F.lit(None).cast("string").alias("sigle"), F.col("name").alias("alt_name"), F.lit(None).cast("string").alias("place"))
+    linked, loose = variants.linked_and_loose(df, least=5)
+    own = {r.id: r.organisation for r in linked.collect() if r.id < 100}
+    assert len(set(own.values())) == 4 and {(r.loose, r.organisation) for r in loose.collect()} == {(own[4], own[i]) for i in (1, 2, 3)}
+    assert {(r.id_a, r.id_b) for r in variants.variant_pairs(linked, loose).collect()} == {(1, 4), (2, 4), (3, 4)}
+
+
+def test_other_words_for_an_activity_are_mined(spark):
+    rng = random.Random(5)
+    own = ["".join(rng.choices("bdfglmnprt", k=4)) + "".join(rng.choices("aeiou", k=2)) + "".join(rng.choices("bdfglmnprt", k=3)) for _ in range(60)]
+    rows = [(i, f"M{i}", f"Chorale {own[2 * i]} {own[2 * i + 1]}") for i in range(15)] + [(15 + i, f"M{15 + i}", f"Boule {own[30 + 2 * i]} {own[31 + 2 * i]}") for i in range(15)]
+    rows += [(100 + i, f"M{i}", f"{own[2 * i + 1]} {own[2 * i]}, ensemble vocal") for i in range(4)]
+    # two bodies of two activities with the same own words
+    rows += [(200 + i, f"M{i}", f"Boule {own[2 * i]} {own[2 * i + 1]}") for i in range(8, 11)]
+    assert linked_pairs(spark, rows, least=8) == {(i, 100 + i) for i in range(4)}
+
+
 NAMES = [
     (1, "A", "Moto club des Trujafolle Plémubosse", "MCTP"), (2, "A", "MOTO-CLUB DES TRUJAFOOLLE PLEMUBOSSE", None), (3, "A", "Trujafolleplemubosse (Moto club)", None), (4, None, "Les motards Plemubosse Trujafolle", None),
     (5, "B", "Moto club des Trujafolle Plémubosse", None), (6, "A", "Judo club des Trujafolle Plémubosse", None), (7, "A", "Moto club des Trujafolle Gratibune", None), (8, "A", "M.C.T.P. Trujafolle", "MCTP"),
@@ -104,8 +123,7 @@ def name_frame(spark):
 
 
 def test_variants(spark):
-    linked = variants.link_variants(name_frame(spark), least=10)
-    got = {(r.id_a, r.id_b) for r in variants.variant_pairs(linked).collect() if r.id_a < 100 and r.id_b < 100}
+    got = {(r.id_a, r.id_b) for r in variants.variant_pairs(*variants.linked_and_loose(name_frame(spark), least=10)).collect() if r.id_a < 100 and r.id_b < 100}
     same = [1, 2, 3, 8, 11]
     assert got == {(a, b) for a in same for b in same if a < b} | {(min(a, 4), max(a, 4)) for a in [*same, 5]}
 
@@ -119,7 +137,7 @@ def test_variants_of_nothing(spark):
 
 def linked_pairs(spark, rows, **how):
     df = spark.createDataFrame(rows, "id long, code string, name string").select("*", F.lit(None).cast("string").alias("sigle"), F.col("name").alias("alt_name"), F.lit(None).cast("string").alias("place"))
-    return {(r.id_a, r.id_b) for r in variants.variant_pairs(variants.link_variants(df, **how)).collect()}
+    return {(r.id_a, r.id_b) for r in variants.variant_pairs(*variants.linked_and_loose(df, **how)).collect()}
 
 
 def test_variants_without_own_words(spark):
@@ -144,15 +162,16 @@ def test_a_word_of_one_large_commune_stays_own(spark):
 # --- p4: matching -------------------------------------------------------------------------------------------------
 
 
-def marginals(pairs, slack):
-    """Exact marginals by going through every assignment."""
+def marginals(pairs):
+    """Exact marginals of one-to-one matchings by going through every assignment."""
     z, m = 0.0, dict.fromkeys(((p[0], p[1]) for p in pairs), 0.0)
     for bits in range(2 ** len(pairs)):
         on = [p for i, p in enumerate(pairs) if bits >> i & 1]
         if max(Counter(p[0] for p in on).values(), default=0) > 1:
             continue
-        extra = sum(k * (k - 1) / 2 for k in Counter(p[1] for p in on).values())
-        w = math.exp(sum(p[2] for p in on) + slack * extra)
+        if max(Counter(p[1] for p in on).values(), default=0) > 1:
+            continue
+        w = math.exp(sum(p[2] for p in on))
         z += w
         for p in on:
             m[p[0], p[1]] += w
@@ -161,13 +180,44 @@ def marginals(pairs, slack):
 
 def test_propagation_is_near_exact_marginals(spark):
     pairs = [(1, 1, 3.0), (1, 2, 1.0), (2, 2, 2.5), (2, 1, -1.0), (3, 3, 0.5), (4, 4, -9.0)]
-    want = marginals(pairs, -2.0)
-    got = {(r.l, r.r): r.p for r in matching.propagate(spark.createDataFrame(pairs, "l int, r int, theta double")).collect()}
+    want = marginals(pairs)
+    report = {}
+    got = {(r.l, r.r): r.p for r in matching.propagate(spark.createDataFrame(pairs, "l int, r int, theta double"), report=report).collect()}
     assert got.keys() == want.keys()
-    assert max(abs(got[k] - want[k]) for k in want) < 0.1
+    assert max(abs(got[k] - want[k]) for k in want) < 0.1 and report["swing"] < 1e-2 and report["tied"] == 4
+    # two that claim the same body, and a ring that has no fixed order: settled all the same
+    ring = [(i, j % 6, 2.0 + (i * 7 + j * 3) % 5 / 10) for i in range(6) for j in (i, i + 1)]
+    around = matching.propagate(spark.createDataFrame([*ring, (10, 10, 60.0), (11, 10, 59.0)], "l int, r int, theta double"), report=report)
+    got = {(r.l, r.r): r.p for r in around.collect()}
+    assert report["swing"] < 1e-2 and got[10, 10] > 0.5 > got[11, 10] and max(abs(got[k] - v) for k, v in marginals(ring).items()) < 0.2
     assert matching.propagate(spark.createDataFrame([], "l int, r int, theta double")).count() == 0
 
 
+def test_estimated_odds_find_what_levels_say():
+    rng = np.random.default_rng(1)
+    true = rng.random(20_000) < 0.6
+    shares = {"name": ([0.05, 0.15, 0.8], [0.7, 0.2, 0.1]), "place": ([0.05, 0.2, 0.05, 0.7], [0.6, 0.2, 0.1, 0.1]), "region": ([0.05, 0.2, 0.75], [0.5, 0.2, 0.3]), "contact": ([0.6, 0.05, 0.1, 0.25], [0.85, 0.1, 0.04, 0.01]), "activity": ([0.1, 0.5, 0.4], [0.4, 0.5, 0.1])}
+    columns = [np.where(true, rng.choice(len(a), len(true), p=a), rng.choice(len(b), len(true), p=b)) for a, b in shares.values()]
+    patterns, counts = np.unique(np.array(columns).T, axis=0, return_counts=True)
+    base, odds = matching.estimated_odds(patterns, counts.astype(float))
+    theta = base + sum(o[c] for o, c in zip(odds, columns, strict=True))
+    best = np.log(0.6 / 0.4) + sum(np.log(np.array(a) / np.array(b))[c] for (a, b), c in zip(shares.values(), columns, strict=True))
+    assert ((theta > 0) == true).mean() > ((best > 0) == true).mean() - 0.01
+    assert all(o[i] == 0 for f, o in zip(shares, odds, strict=True) for i, level in enumerate(matching.LEVELS[f]) if level == "unknown")
+    none = matching.estimated_odds(np.zeros((0, 5), dtype=int), np.zeros(0))
+    assert none[0] == 0 and none[1][0][0] < 0 < none[1][0][-1]
+
+
+def test_entries_of_one_body_share_its_organisation(spark):
+    schema = "id long, name string, sigle string, place string, code string, region string"
+    right = spark.createDataFrame([(1, "Moto club Trujafolle Plemubosse", None, "Bourg", "35001", "35")] + [(20 + i, f"{'Moto' if i % 2 else 'Judo'} club {w}", None, "Bourg", "35001", "35") for i, w in enumerate(("Verobal Dagrimon", "Fosetuc Nabrelol", "Cadilur Mosebrin", "Jopetal Drunavec"))], schema).withColumn("alt_name", F.col("name"))
+    left = spark.createDataFrame([(10, "Moto club Trujafolle Plemubosse", None, "Bourg", "35001", "35"), (11, "MOTO CLUB TRUJAFOLE PLEMUBOSSE", None, "Bourg", "35001", "35"), (12, "Judo club Verobal Dagrimon", None, "Bourg", "35001", "35")], schema).withColumn("activity", F.lit(None).cast("string"))
+    none = spark.createDataFrame([], "id long, contact string")
+    matches, linked = matching.match_entities(left, right, none, none, least=3, share=0.3)
+    ids = {r.organisation: r.id for r in linked.collect()}
+    assert {(r.l, ids[r.r]) for r in matches.collect() if r.p >= 0.5} == {(10, 1), (11, 1), (12, 20)}
+
+
 def test_matching(spark):
     schema = "id long, name string, sigle string, place string, code string, region string, activity string"
     right = spark.createDataFrame([(1, "Moto club Trujafolle Plemubosse", "MCTP", "Bourg", "35001", "35", None), (2, "Judo club Trujafolle Plemubosse", None, "Bourg", "35001", "35", None), (3, "Moto club Gratibune Solafert", None, "Ville", "35002", "35", None)] + [(20 + i, f"{'Moto' if i % 2 else 'Judo'} club {w}", None, "Loin", "29001", "29", None) for i, w in enumerate(("Verobal Dagrimon", "Fosetuc Nabrelol", "Cadilur Mosebrin", "Jopetal Drunavec"))], schema)
