@@ -196,7 +196,7 @@ def test_propagation_is_near_exact_marginals(spark):
 def test_estimated_odds_find_what_levels_say():
     rng = np.random.default_rng(1)
     true = rng.random(20_000) < 0.6
-    shares = {"name": ([0.05, 0.15, 0.8], [0.7, 0.2, 0.1]), "place": ([0.05, 0.2, 0.05, 0.7], [0.6, 0.2, 0.1, 0.1]), "region": ([0.05, 0.2, 0.75], [0.5, 0.2, 0.3]), "contact": ([0.6, 0.05, 0.1, 0.25], [0.85, 0.1, 0.04, 0.01]), "activity": ([0.1, 0.5, 0.4], [0.4, 0.5, 0.1])}
+    shares = {"name": ([0.03, 0.02, 0.15, 0.8], [0.6, 0.1, 0.2, 0.1]), "place": ([0.05, 0.2, 0.05, 0.7], [0.6, 0.2, 0.1, 0.1]), "region": ([0.05, 0.2, 0.75], [0.5, 0.2, 0.3]), "contact": ([0.3, 0.3, 0.05, 0.1, 0.25], [0.55, 0.3, 0.1, 0.04, 0.01]), "activity": ([0.1, 0.5, 0.4], [0.4, 0.5, 0.1])}
     columns = [np.where(true, rng.choice(len(a), len(true), p=a), rng.choice(len(b), len(true), p=b)) for a, b in shares.values()]
     patterns, counts = np.unique(np.array(columns).T, axis=0, return_counts=True)
     base, odds = matching.estimated_odds(patterns, counts.astype(float))
