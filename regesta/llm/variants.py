@@ -309,8 +309,16 @@ def parse_names(base: DataFrame, known: frozenset[str]) -> DataFrame:
     return materialise(base.select("n", "side", "code", "alias", "sigle", "place").mapInPandas(parsed, PARSED), "names")
 
 
+def letter_mask(unit: str) -> int:
+    """A bit for each letter that stands an odd number of times: an edit changes two bits at most, two letters changing places none."""
+    mask = 0
+    for c in unit:
+        mask ^= 1 << (ord(c) % 63)
+    return mask
+
+
 def segment_keys(names: DataFrame) -> DataFrame:
-    """n, side, unit, probe, key: the entries of the inverted index (not probe), and what is looked up in it (probe).
+    """n, side, unit, mask, probe, key: the entries of the inverted index (not probe), and what is looked up in it (probe).
 
     The key holds the municipality: a name that knows its own is looked up there; a name that knows none among all ('*'), for longer
     units as well as shorter ones, so that nothing needs to be looked up among the names that know none. Joined words are only entries,
@@ -338,9 +346,10 @@ def segment_keys(names: DataFrame) -> DataFrame:
                     out += [(n, side, u, False, f"{c}|{key}") for key in unit_keys(u) for c in {here, "*", "?" if here == "*" else here}]
                 for u in words | joined if here == "*" else words:
                     out += [(n, side, u, True, f"{here}|{key}") for key in asked_keys(u, here == "*" or len(core) == 1)]
-            yield pd.DataFrame(out, columns=["n", "side", "unit", "probe", "key"])
+            keys = pd.DataFrame(out, columns=["n", "side", "unit", "probe", "key"])
+            yield keys.assign(mask=keys["unit"].map({u: letter_mask(u) for u in keys["unit"].unique()}).astype("int64"))
 
-    keys = names.select("n", "side", "code", "core", "known", "short", "sig").mapInPandas(keyed, "n long, side int, unit string, probe boolean, key string")
+    keys = names.select("n", "side", "code", "core", "known", "short", "sig").mapInPandas(keyed, "n long, side int, unit string, probe boolean, key string, mask long")
     return materialise(keys.withColumn("key", F.xxhash64("key")), "segments")
 
 
@@ -354,12 +363,15 @@ def near_pairs(keys: DataFrame) -> DataFrame:
     The distance of the JVM counts two letters that change places as two edits, so what is further by it but has nearly the same letters stays
     for the verification of the name. sides is 2 for two nodes of a register (a < b), 1 for an entry (then a) and a node of the register, 0 for two entries (a < b).
     """
-    p = keys.where("probe").select("key", F.col("n").alias("x"), F.col("side").alias("sx"), F.col("unit").alias("ux"))
-    i = keys.where("not probe").select("key", F.col("n").alias("y"), F.col("side").alias("sy"), F.col("unit").alias("uy"))
-    met = p.join(i, "key").where(F.col("x") != F.col("y"))
+    p = keys.where("probe").select("key", F.col("n").alias("x"), F.col("side").alias("sx"), F.col("unit").alias("ux"), F.col("mask").alias("mx"))
+    i = keys.where("not probe").select("key", F.col("n").alias("y"), F.col("side").alias("sy"), F.col("unit").alias("uy"), F.col("mask").alias("my"))
+    short = F.least(F.length("ux"), F.length("uy")) < 6
+    # letters first: an edit changes two bits of the masks at most
+    bits = F.bit_count(F.col("mx").bitwiseXOR(F.col("my")))
+    met = p.join(i, "key").where((F.col("x") != F.col("y")) & (bits <= F.when(short, 2).otherwise(4)))
     one = (F.levenshtein("ux", "uy", 1) >= 0) | ((F.levenshtein("ux", "uy", 2) >= 0) & (_sorted("ux") == _sorted("uy")))
     two = (F.levenshtein("ux", "uy", 2) >= 0) | ((F.levenshtein("ux", "uy", 4) >= 0) & (F.levenshtein(_sorted("ux"), _sorted("uy"), 2) >= 0))
-    close = met.where(F.when(F.least(F.length("ux"), F.length("uy")) < 6, one).otherwise(two))
+    close = met.where(F.when(short, one).otherwise(two))
     first = (F.col("sx") < F.col("sy")) | ((F.col("sx") == F.col("sy")) & (F.col("x") < F.col("y")))
     return close.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"), (F.col("sx") + F.col("sy")).alias("sides")).distinct()
 
