@@ -14,8 +14,9 @@ from regesta.session import materialise
 
 #: Words of a window, and of a shingle within it.
 WINDOW, SHINGLE = 12, 3
-#: Words of a window that may differ; each breaks at most SHINGLE of its shingles.
-EDITS = 2
+#: Changed words are isolated if at least SHINGLE words stand unchanged between two of them: each such run has an unbroken shingle, so the best window of
+#: WINDOW words keeps this many of its shingles at least, and a whole span of WINDOW words or more this many and one.
+KEPT = WINDOW // (SHINGLE + 1)
 
 
 def _word_lists(values: pd.Series) -> pd.Series:
@@ -25,10 +26,10 @@ def _word_lists(values: pd.Series) -> pd.Series:
 word_list = F.pandas_udf(_word_lists, ArrayType(StringType()))
 
 
-def shingled(w: Column) -> Column:
+def shingled(w: Column, size: int = SHINGLE) -> Column:
     """at and s (a hash) of every shingle of a list of words."""
-    last = F.size(w) - SHINGLE
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(i.alias("at"), F.xxhash64(*(F.get(w, i + k) for k in range(SHINGLE))).alias("s"))))
+    last = F.size(w) - size
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(i.alias("at"), F.xxhash64(*(F.get(w, i + k) for k in range(size))).alias("s"))))
 
 
 def aligned_span(doc: list[str], item: list[str], hits: list[tuple[int, int]], whole: int) -> bool:
@@ -82,54 +83,50 @@ def aligned_span(doc: list[str], item: list[str], hits: list[tuple[int, int]], w
     return False
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, broadcast_rows: int = 2_000_000) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Which texts give away which items: doc_id, item_id, partie (each once).
 
     docs: doc_id, text. items: item_id, partie, texte. A text holds a part if it has all its words, or WINDOW successive ones, up to
-    isolated words changed, dropped or added; case, accents, punctuation, spacing and escapes do not count.
-
-    A prefix-filtered set join. The set of a window of WINDOW words is its WINDOW - SHINGLE + 1 shingles; with EDITS words
-    changed at least that number less SHINGLE x EDITS of them remain, so any text that holds the window has one of
-    the rarest SHINGLE x EDITS + 1. Shingles of the items are ordered by how many places of the whole corpus have them,
-    and only those in the prefix of some window are kept. Their number is counted: up to broadcast_rows they go to
-    the texts by broadcast, beyond that both sides are shuffled by shingle. Bounds: a hit on a shingle places the item
-    in the text, and hits of one pair must lie within WINDOW + EDITS diagonals of each other, and be at least as many
-    as the set bound of the window asks. What passes is verified on the words, over windows of the item's size.
-
-    Null texts and items of no words give nothing; an item shorter than SHINGLE words is searched for by its own size only
-    if it has SHINGLE words or more (shorter ones would be found everywhere). Repeated rows come out once. Empty tables: no rows.
+    isolated words changed, dropped or added (see KEPT); case, accents, punctuation, spacing and escapes do not count.
+
+    A prefix-filtered set join. The set of a window of WINDOW words is its WINDOW - SHINGLE + 1 shingles, of which KEPT at least are left in a text that holds
+    it. So any such text has one of the rarest: all but KEPT - 1 of them.
+
+    1. The places of the items' shingles in the texts are found in one pass over the corpus and written, as (shingle, text, place).
+    2. Shingles are ordered by their number of places in the whole corpus; those in the prefix of some window are the index.
+    3. Places and index are joined. Positional bound: a hit places the item in the text, and hits of one window lie within WINDOW diagonals of each other.
+    4. Set bound: text and item share KEPT + 1 shingles at least (an item of fewer words: all but those that one changed word breaks).
+    5. What passes is verified on the words, over windows of the item's size.
+
+    Which side of a join is broadcast is left to the planner, by the measured sizes of the tables written. Null texts and items of no words give nothing; items of
+    fewer than SHINGLE words are looked for as they are. Repeated rows come out once. Empty tables: no rows.
     """
     tokens = materialise(docs.where("text is not null and doc_id is not null").select("doc_id", word_list("text").alias("w")), "doc-words")
-    parts = materialise(items.where("texte is not null and item_id is not null").select("item_id", "partie", word_list("texte").alias("v")).where(F.size("v") >= SHINGLE).dropDuplicates(), "item-words")
+    parts = materialise(items.where("texte is not null and item_id is not null").select("item_id", "partie", word_list("texte").alias("v")).where("size(v) > 0").dropDuplicates(), "item-words")
     part_shingles = parts.select("item_id", "partie", F.size("v").alias("size"), F.explode(shingled(F.col("v"))).alias("x")).select("item_id", "partie", "size", "x.at", "x.s")
-    wanted = part_shingles.select("s").distinct()
-    few = wanted.count() <= broadcast_rows
+    wanted = materialise(part_shingles.select("s").distinct(), "wanted-shingles")
     places = tokens.select("doc_id", F.explode(shingled(F.col("w"))).alias("x")).select("doc_id", F.col("x.at").alias("d"), F.col("x.s").alias("s"))
-    side = F.broadcast if few else (lambda x: x)
-    rarity = places.select("s").join(side(wanted), "s", "left_semi").groupBy("s").agg(F.count("*").alias("n"))
+    places = materialise(places.join(wanted, "s", "left_semi").select("s", "doc_id", "d"), "places")
+    rarity = places.groupBy("s").agg(F.count("*").alias("n"))
 
-    keep = SHINGLE * EDITS + 1
     per = WINDOW - SHINGLE + 1
-    ranked = part_shingles.join(side(rarity), "s", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    ranked = part_shingles.join(rarity, "s", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     # the windows that a shingle is in, as the window's first word; an item shorter than a window is one window
     last_window = F.greatest(F.col("size") - WINDOW, F.lit(0))
     windows = ranked.withColumn("win", F.explode(F.sequence(F.greatest(F.col("at") - per + 1, F.lit(0)), F.least("at", last_window))))
-    prefix = windows.groupBy("item_id", "partie", "win").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "s", "at"))), 1, keep).alias("p"))
+    prefix = windows.groupBy("item_id", "partie", "win").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "s", "at"))), 1, per - KEPT + 1).alias("p"))
     index = materialise(prefix.select("item_id", "partie", F.explode("p").alias("p")).select("item_id", "partie", F.col("p.s").alias("s"), F.col("p.at").alias("i")).distinct(), "prefix-index")
 
-    hits = places.join(side(index) if index.count() <= broadcast_rows else index, "s")
-    band = WINDOW + EDITS
-    diagonal = F.col("d") - F.col("i")
-    cells = hits.withColumn("cell", F.explode(F.array(F.floor(diagonal / band), F.floor((diagonal + band // 2) / band) * 2 + 1_000_000_000)))
-    # an unbroken window has per shingles of which keep are in the prefix; each edit breaks up to SHINGLE
-    least = F.lit(max(1, keep - SHINGLE * EDITS))
-    pairs = cells.groupBy("doc_id", "item_id", "partie", "cell").agg(F.collect_set(F.struct("d", "i")).alias("h")).where(F.size("h") >= least)
-    pairs = pairs.groupBy("doc_id", "item_id", "partie").agg(F.array_distinct(F.flatten(F.collect_list("h"))).alias("h"))
-    pairs = materialise(pairs, "pairs")
-    # only texts with a pair move, where their ids are few enough to be told to every task
-    ids = pairs.select("doc_id").distinct()
-    suspects = tokens.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= broadcast_rows else tokens
-    joined = suspects.join(pairs, "doc_id").join(F.broadcast(parts) if few else parts, ["item_id", "partie"])
+    # a shingle that a text or an item repeats meets in many ways, but what is kept of a pair is bounded by the diagonals of text and item
+    hits = places.join(index, "s").groupBy("doc_id", "item_id", "partie", (F.col("d") - F.col("i")).alias("diagonal")).agg(F.min(F.struct("d", "i")).alias("h"), F.count("*").alias("n"))
+    pairs = materialise(hits.groupBy("doc_id", "item_id", "partie").agg(F.collect_list("h").alias("h")), "pairs")
+
+    def hashes(w: str) -> Column:
+        return F.array_distinct(F.transform(shingled(F.col(w)), lambda x: x["s"]))
+
+    shared = F.size(F.array_intersect(hashes("w"), hashes("v")))
+    enough = F.least(F.lit(KEPT + 1), F.greatest(F.size("v") - (2 * SHINGLE - 1), F.lit(1)))
+    joined = pairs.join(tokens, "doc_id").join(parts, ["item_id", "partie"]).where(shared >= enough)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -137,4 +134,9 @@ def leaks(docs: DataFrame, items: DataFrame, *, broadcast_rows: int = 2_000_000)
             yield b.loc[ok, ["doc_id", "item_id", "partie"]]
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return joined.select("doc_id", "item_id", "partie", "w", "v", "h").mapInPandas(verify, f"doc_id {id_type}, item_id string, partie string").distinct()
+    found = joined.select("doc_id", "item_id", "partie", "w", "v", "h").mapInPandas(verify, f"doc_id {id_type}, item_id string, partie string")
+    for size in range(1, SHINGLE):
+        short = parts.where(F.size("v") == size).select("item_id", "partie", F.xxhash64(*(F.get("v", k) for k in range(size))).alias("s"))
+        if not short.isEmpty():
+            found = found.unionByName(tokens.select("doc_id", F.explode(shingled(F.col("w"), size)).alias("x")).select("doc_id", F.col("x.s").alias("s")).join(short, "s").select("doc_id", "item_id", "partie"))
+    return found.distinct()
