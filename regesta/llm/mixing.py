@@ -14,7 +14,7 @@ from pyspark.sql.types import LongType
 
 from regesta.session import materialise
 
-#: Bins of the hash-seeded uniform number, for the calibration of the rates: sources x BINS rows reach the driver.
+#: Bins of the hash-seeded uniform number, for the calibration of the rates: BINS rows for each source of the targets reach the driver.
 BINS = 4096
 
 
@@ -54,23 +54,24 @@ def capped_poisson(u: Column, rate: Column, cap: Column) -> Column:
 
     An infinite rate gives cap. The terms are summed in a fold, so no cap is too large.
     """
+    # terms by their logarithms, so no rate is too great
     step = F.aggregate(
         F.sequence(F.lit(0), F.greatest(cap - 1, F.lit(0))),
-        F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("n")),
+        F.struct((-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("n")),
         lambda s, k: F.struct(
-            (s["p"] * rate / (k + 1)).alias("p"), (s["c"] + s["p"] * rate / (k + 1)).alias("c"), (s["n"] + F.when((u > s["c"]) & (k < cap), 1).otherwise(0)).alias("n")
+            (s["p"] + F.ln(rate) - F.ln(k + 1)).alias("p"), (s["c"] + F.exp(s["p"] + F.ln(rate) - F.ln(k + 1))).alias("c"), (s["n"] + F.when((u > s["c"]) & (k < cap), 1).otherwise(0)).alias("n")
         ),
     )["n"]
     return F.when(rate == float("inf"), cap).when(rate <= 0, F.lit(0)).otherwise(step)
 
 
 def _copies(u: np.ndarray, rate: float, cap: int) -> np.ndarray:
-    p = c = math.exp(-rate)
+    p, c = -rate, math.exp(-rate)
     n = np.zeros(len(u), dtype=int)
     for k in range(cap):
         n += u > c
-        p *= rate / (k + 1)
-        c += p
+        p += math.log(rate) - math.log(k + 1)
+        c += math.exp(p)
     return n
 
 
@@ -83,7 +84,7 @@ def calibrated_rate(tokens: np.ndarray, wanted: float, cap: int) -> float:
         return math.inf
     u = (np.arange(len(tokens)) + 0.5) / len(tokens)
     low, high = 0.0, 1.0
-    while high < 500 and float((tokens * _copies(u, high, cap)).sum()) < wanted:
+    while float((tokens * _copies(u, high, cap)).sum()) < wanted:
         high *= 2
     for _ in range(60):
         mid = (low + high) / 2
@@ -91,17 +92,17 @@ def calibrated_rate(tokens: np.ndarray, wanted: float, cap: int) -> float:
     return high
 
 
-def mix(docs: DataFrame, targets: DataFrame, *, doc_id: str, text: str, source: str, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, *, doc_id: str, text: str, source: str, size: float | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """Combine docs so that each source of targets (source, poids, repetitions_max) has its share of all tokens.
 
     docs has tokens (see count_tokens). A text that several documents share (its white space aside) is one text: it stands
     for itself once, in the source of its least doc_id among the sources wanted, so no text is used more often than its cap.
-    The whole is as large as the caps allow: T = min(cap x tokens of the source / poids) over the sources with
-    texts; a source without any cannot be served, and the others keep their proportions.
+    The whole has `size` tokens, but no more than the caps allow: min(cap x tokens of the source / poids) over the sources with
+    texts (the source that binds then has each text cap times); a source without any cannot be served, and the others keep their proportions.
 
     Each document gets a number in (0, 1) from a hash of the seed and its id; its copies are the Poisson quantile of that
     number at the source's rate, at most the cap. The rate is the mean target repetition, calibrated: tokens by source and bin
-    of that number (4096 bins, so of a fixed size whatever the corpus) come to the driver, where the rate is found whose
+    of that number (4096 bins for each source of the targets, whatever the corpus) come to the driver, where the rate is found whose
     draws give the wanted tokens. The copies are exploded and the whole is shuffled by a hash of seed, id and copy.
 
     Result: (mixture: doc_id, copie, source, tokens, rang; report: source, poids, part, tokens, textes, copies, max_copies).
@@ -110,7 +111,7 @@ def mix(docs: DataFrame, targets: DataFrame, *, doc_id: str, text: str, source:
     """
     wanted = targets.select(source_key(F.col("source")).alias("source"), F.col("poids").cast("double").alias("poids"), F.greatest(F.col("repetitions_max").cast("int"), F.lit(0)).alias("cap"))
     goals = {}
-    for r in wanted.where("source is not null and poids > 0 and cap is not null").orderBy("source", "poids", "cap").limit(100_000).collect():
+    for r in wanted.where("source is not null and poids > 0 and cap is not null").orderBy("source", "poids", "cap").collect():
         goals.setdefault(r.source, (r.poids, r.cap))
     spark = docs.sparkSession
     schema = "source string, poids double, cap int"
@@ -125,8 +126,10 @@ def mix(docs: DataFrame, targets: DataFrame, *, doc_id: str, text: str, source:
     for r in bins.toLocalIterator():
         table[r.source][r.b] += r.t
     served = {s: t for s, t in table.items() if t.sum() > 0 and goals[s][1] > 0}
-    size = min((goals[s][1] * t.sum() / goals[s][0] for s, t in served.items()), default=0.0)
-    rates = [(s, calibrated_rate(table[s], size * w, c) if s in served else 0.0, c) for s, (w, c) in goals.items()]
+    most = min((goals[s][1] * t.sum() / goals[s][0] for s, t in served.items()), default=0.0)
+    # a size is that of the sources that can be served
+    wanted_size = most if size is None else min(most, size / max(sum(goals[s][0] for s in served), 1e-12))
+    rates = [(s, calibrated_rate(table[s], wanted_size * w, c) if s in served else 0.0, c) for s, (w, c) in goals.items()]
     rate_rows = spark.createDataFrame(rates, "source string, rate double, cap int")
     drawn = single.join(F.broadcast(rate_rows), "source").withColumn("n", capped_poisson(F.col("u"), F.col("rate"), F.col("cap")))
     copies = drawn.where("n > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copie"), "source", "tokens")

@@ -24,6 +24,9 @@ from regesta.session import materialise, table
 #: Where the vocabulary files of public tokenizers lie; a parameter of the installation.
 TOKENIZERS = os.environ.get("REGESTA_TOKENIZERS", "/opt/tokenizers")
 
+# How this vocabulary's tokenizer cuts a text into pieces before it merges bytes.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
 def association_names(spark: SparkSession, folder: str) -> DataFrame:
     """id, code, name, alt_name, sigle and the municipality's name, which is given by its code."""
@@ -153,9 +156,7 @@ def p8_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    import public_tokenizers
-
-    docs = count_tokens(table(spark, folder, "documents"), "text", str(Path(TOKENIZERS) / "byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    docs = count_tokens(table(spark, folder, "documents"), "text", str(Path(TOKENIZERS) / "byte_bpe_50k.tiktoken"), PIECES)
     return mix(docs, table(spark, folder, "mix_target"), doc_id="doc_id", text="text", source="source")
 
 

@@ -28,9 +28,12 @@ SELECT doc_id, i - size AS at_end, last RLIKE '[\\\\p{{L}}\\\\p{{N}}]' AS word_l
        CASE WHEN a = '' THEN '' WHEN va.word IS NOT NULL THEN va.word WHEN a RLIKE '^\\\\p{{Lu}}' THEN '<N>' ELSE '<r>' END AS a,
        CASE WHEN b = '' THEN '' WHEN vb.word IS NOT NULL THEN vb.word WHEN b RLIKE '^\\\\p{{Lu}}' THEN '<N>' ELSE '<r>' END AS b,
        CASE WHEN vc.word IS NOT NULL THEN vc.word WHEN c RLIKE '^\\\\p{{Lu}}' THEN '<N>' ELSE '<r>' END AS c
-FROM (SELECT doc_id, w[size(w) - 1] AS last, size(w) AS size, i + 1 AS i, CASE WHEN i < 2 THEN '' ELSE w[i - 2] END AS a, CASE WHEN i < 1 THEN '' ELSE w[i - 1] END AS b, c FROM {tokens} LATERAL VIEW posexplode(w) AS i, c)
+FROM (SELECT doc_id, w[size(w) - 1] AS last, size(w) AS size, i + 1 AS i, CASE WHEN i < 2 THEN '' ELSE w[i - 2] END AS a, CASE WHEN i < 1 THEN '' ELSE w[i - 1] END AS b, w[i] AS c FROM {tokens} LATERAL VIEW explode(@places) AS i WHERE size(w) > 0)
 LEFT JOIN {vocabulary} AS va ON va.word = lower(a) LEFT JOIN {vocabulary} AS vb ON vb.word = lower(b) LEFT JOIN {vocabulary} AS vc ON vc.word = lower(c)"""
 
+#: All places of a text, and its last two.
+_ALL, _LAST = "sequence(0, greatest(size(w) - 1, 0))", "slice(sequence(greatest(size(w) - 2, 0), greatest(size(w) - 1, 0)), 1, 2)"
+
 _COUNTS = "SELECT a, b, c, count(*) AS n, count_if(at_end = 0) AS t, count_if(at_end = -1 AND word_last) AS p FROM {trigrams} GROUP BY a, b, c"
 _BIGRAMS = "SELECT b, c, sum(n) AS n, sum(t) AS t, sum(p) AS p FROM {counts} GROUP BY b, c"
 _UNIGRAMS = "SELECT c, sum(n) AS n, sum(t) AS t, sum(p) AS p FROM {bigrams} GROUP BY c"
@@ -45,7 +48,7 @@ FROM (
          (t3 - own + @weight * (t2 - own + @weight * (t1 - own + 1e-4) / (n1 - 1 + 1e-2)) / (n2 - 1 + @weight)) / (n3 - 1 + @weight) AS rate,
          (p3 - pen + @weight * (p2 - pen + @weight * (p1 - pen + 1e-4) / (n1 - 1 + 1e-2)) / (n2 - 1 + @weight)) / (n3 - 1 + @weight) AS before_rate
   FROM (SELECT e.doc_id, e.word_last, e.at_end, e.c, CAST(e.at_end = 0 AS INT) AS own, CAST(e.at_end = -1 AND e.word_last AS INT) AS pen, c3.n AS n3, c3.t AS t3, c3.p AS p3, c2.n AS n2, c2.t AS t2, c2.p AS p2, c1.n AS n1, c1.t AS t1, c1.p AS p1
-        FROM (SELECT * FROM {trigrams} WHERE at_end >= -1) AS e
+        FROM {trigrams} AS e
         JOIN {counts} AS c3 ON c3.a = e.a AND c3.b = e.b AND c3.c = e.c JOIN {bigrams} AS c2 ON c2.b = e.b AND c2.c = e.c JOIN {unigrams} AS c1 ON c1.c = e.c))
 GROUP BY doc_id"""
 
@@ -72,11 +75,11 @@ def truncated(docs: DataFrame, *, threshold: float = 0.012, weight: float = 30.0
     spark = docs.sparkSession
     tokens = materialise(spark.sql(_TOKENS.replace("@omission", OMISSION), docs=docs.select("doc_id", "text")), "tokens")
     vocabulary = spark.sql(_VOCABULARY.replace("@least", str(least)).replace("@share", repr(share)), tokens=tokens).hint("broadcast")
-    trigrams = spark.sql(_TRIGRAMS, tokens=tokens, vocabulary=vocabulary)
+    trigrams, finals = (spark.sql(_TRIGRAMS.replace("@places", places), tokens=tokens, vocabulary=vocabulary) for places in (_ALL, _LAST))
     counts = materialise(spark.sql(_COUNTS, trigrams=trigrams), "trigrams")
     bigrams = spark.sql(_BIGRAMS, counts=counts)
     unigrams = spark.sql(_UNIGRAMS, bigrams=bigrams)
-    ends = spark.sql(_ENDS.replace("@weight", repr(weight)), trigrams=trigrams, counts=counts, bigrams=bigrams, unigrams=unigrams)
+    ends = spark.sql(_ENDS.replace("@weight", repr(weight)), trigrams=finals, counts=counts, bigrams=bigrams, unigrams=unigrams)
     verdicts = spark.sql(_VERDICT.replace("@threshold", repr(threshold)), ends=ends)
     firsts = tokens.select(F.col("doc_id").alias("first"), "h1", "h2")
     copies = spark.sql(_COPIES, docs=docs.select("doc_id", "text"))

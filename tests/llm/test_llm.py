@@ -430,6 +430,10 @@ def test_capped_poisson(spark):
     got = [x.n for x in df.select(mixing.capped_poisson(F.col("u"), F.col("r"), F.col("c")).alias("n")).collect()]
     assert got == [poisson_quantile(u, r, c) if r else 0 for u, r, c in data]
     assert df.select(mixing.capped_poisson(F.col("u"), F.lit(float("inf")), F.col("c")).alias("n")).first().n == 1
+    # rates whose first term is no double any more
+    great = spark.range(1).select(*(mixing.capped_poisson(F.lit(u), F.lit(900.0), F.lit(2000)).alias(f"n{i}") for i, u in enumerate((0.001, 0.5, 0.999)))).first()
+    assert 790 < great.n0 < great.n1 < great.n2 < 1010 and abs(great.n1 - 900) < 2
+    assert [int(x) for x in mixing._copies(np.array([0.001, 0.5, 0.999]), 900.0, 2000)] == list(great)
 
 
 def test_calibration():
@@ -438,6 +442,7 @@ def test_calibration():
         rate = mixing.calibrated_rate(tokens, wanted * tokens.sum(), 2)
         u = (np.arange(mixing.BINS) + 0.5) / mixing.BINS
         assert abs((tokens * mixing._copies(u, rate, 2)).sum() / tokens.sum() - wanted) < 0.01
+    assert abs(mixing.calibrated_rate(tokens, 800 * tokens.sum(), 2000) - 800) < 2
     assert mixing.calibrated_rate(tokens, 2 * tokens.sum(), 2) == math.inf and mixing.calibrated_rate(tokens * 0, 5, 2) == 0
 
 
@@ -455,6 +460,8 @@ def test_mix(spark):
     assert all(used[r.doc_id] <= caps[r.source] for r in rows) and not (used[3] and used[2000])
     shares = {r.source: r.part for r in report.collect()}
     assert abs(shares["a"] - 5 / 9) < 0.03 and abs(shares["a_b"] - 4 / 9) < 0.03 and shares["vide"] == 0
+    small = {r.source: r for r in mixing.mix(df, targets, doc_id="doc_id", text="text", source="source", size=900)[1].collect()}
+    assert abs(small["a"].tokens - 500) < 60 and abs(small["a_b"].tokens - 400) < 60
     empty = mixing.mix(df.limit(0), targets, doc_id="doc_id", text="text", source="source")
     assert empty[0].count() == 0 and {r.tokens for r in empty[1].collect()} == {0}
 
