@@ -382,7 +382,7 @@ def test_leaks(spark):
     texts = {
         1: " ".join(noise(50) + item + noise(50)), 2: " ".join(noise(30) + item[10:22] + noise(30)), 3: " ".join(noise(30) + item[10:18] + noise(30)), 4: " ".join(noise(20) + changed + noise(20)),
         5: " ".join(noise(20) + item[3:10] + ["ajout"] + item[10:17] + noise(20)), 6: " ".join(noise(10) + item[3:9] + item[10:17] + noise(10)), 7: "&nbsp;".join(w.upper() + "," for w in other), 8: " ".join(noise(80)), 9: "", 10: None,
-        11: " ".join(noise(9) + item[0:8] + noise(5) + item[8:15]), 12: " ".join(noise(9) + [w if k % 4 else "autre" for k, w in enumerate(item[4:29])] + noise(9)),
+        11: " ".join(noise(9) + item[0:8] + noise(5) + item[8:15]), 12: " ".join(noise(9) + [w if k % 12 else "autre" for k, w in enumerate(item[4:29])] + noise(9)), 13: " ".join(noise(9) + [w if k % 3 else "encore" for k, w in enumerate(item[4:29])] + noise(9)),
     }
     docs = spark.createDataFrame(list(texts.items()) + [(1, texts[1])], "doc_id long, text string").withColumn("w", F.lit("clash")).withColumn("s", F.lit(0))
     items = spark.createDataFrame([("i", "passage", " ".join(item)), ("j", "question", " ".join(other)), ("k", "question", None), ("l", "question", "un"), ("m", "question", "Autre !"), ("n", "question", ", .")], "item_id string, partie string, texte string")
