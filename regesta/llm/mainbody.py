@@ -19,6 +19,8 @@ Frame = tuple[float, float, float]
 ROUNDS = 3
 #: What a line with text of its own is worth to the container that holds it, by its shape.
 WORTH = {"prose": 3.0, "item": 2.0, "contact": 2.0, "table": 2.0, "short": 1.0, "figures": 0.25}
+#: What a frame is worth of which nothing is known yet.
+DOUBTED = {"prose": -1.0, "short": -0.5}
 #: A frame is worth nothing at this share of places inside containers; below it counts against a container, above it for it.
 EVEN, STEEP = 0.25, 4.0
 #: The share from which a frame counts as standing in containers only, and the one below which it counts as standing outside.
@@ -63,7 +65,7 @@ def line_worth(lines: list[Line], k: int, frames: Mapping[int, Frame | None]) ->
         return base if line.shape in TEXT else -0.25
     told = frames[line.frame]
     if told is None:
-        return {"prose": -1.0, "short": -0.5}.get(line.shape, 0.0)
+        return DOUBTED.get(line.shape, 0.0)
     if _heads(line, told):
         return base
     if line.figures and line.shape in ("short", "figures") and _own(told) < 0.5:
@@ -71,42 +73,65 @@ def line_worth(lines: list[Line], k: int, frames: Mapping[int, Frame | None]) ->
     return base * max(-1.0, min(1.0, (told[0] - EVEN) * STEEP))
 
 
-def container(lines: list[Line], frames: Mapping[int, Frame | None]) -> tuple[int, int]:
-    """First and last place of the run of lines of greatest worth; (0, -1) if none is worth anything."""
-    best, span = 0.0, (0, -1)
+def span(worths: list[float]) -> tuple[int, int]:
+    """First and last place of the run of greatest worth; (0, -1) if none is worth anything."""
+    best, found = 0.0, (0, -1)
     total, start = 0.0, 0
-    for k in range(len(lines)):
+    for k, worth in enumerate(worths):
         if total <= 0:
             total, start = 0.0, k
-        total += line_worth(lines, k, frames)
+        total += worth
         if total > best:
-            best, span = total, (start, k)
-    return span
+            best, found = total, (start, k)
+    return found
+
+
+def container(lines: list[Line], frames: Mapping[int, Frame | None]) -> tuple[int, int]:
+    """First and last place of the run of lines of greatest worth; (0, -1) if none is worth anything."""
+    return span([line_worth(lines, k, frames) for k in range(len(lines))])
+
+
+def _told(lines: list[Line], k: int, first: int, last: int) -> tuple[int, int, int]:
+    """Does a line stand inside the container, before text or figures, and right before the container (figures between them aside)?"""
+    after = lines[k + 1] if k + 1 < len(lines) else None
+    announces = after is not None and (after.figures and after.shape != "prose" or after.shape in TEXT and first <= k + 1 <= last)
+    begin = k + 1
+    while begin < first and lines[begin].figures:
+        begin += 1
+    return int(first <= k <= last), int(announces), int(begin == first <= last and k < first)
 
 
 def seen_frames(lines: list[Line], frames: Mapping[int, Frame | None]) -> Iterator[tuple[int, bool, int, int, int]]:
-    """For every frame on a page: its hash, whether it has text, and whether it stands inside the container, before text or figures, and right before the container (figures between them aside)."""
+    """For every frame on a page: its hash, whether it has text, and what the page tells of it."""
     first, last = container(lines, frames)
     for k, line in enumerate(lines):
-        known = [h for h in (line.frame, line.lead) if h in frames]
-        if known:
-            after = lines[k + 1] if k + 1 < len(lines) else None
-            announces = after is not None and (after.figures and after.shape != "prose" or after.shape in TEXT and first <= k + 1 <= last)
-            begin = k + 1
-            while begin < first and lines[begin].figures:
-                begin += 1
-            for h in known:
-                yield h, h == line.frame and line.shape in TEXT, int(first <= k <= last), int(announces), int(begin == first <= last and k < first)
+        for h in (line.frame, line.lead):
+            if h in frames:
+                yield h, h == line.frame and line.shape in TEXT, *_told(lines, k, first, last)
 
 
 def host_votes(lines: list[Line], frames: Mapping[int, Frame | None]) -> dict[int, tuple[bool, int, int, int]]:
     """What a page tells of each of its templates. One that is no frame of many hosts has to stand inside the container without its own worth."""
-    told = {h: tuple(x) for h, *x in seen_frames(lines, frames)}
-    for line in lines:
+    worths = [line_worth(lines, k, frames) for k in range(len(lines))]
+    found = span(worths)
+    places: dict[int, list[int]] = {}
+    for k, line in enumerate(lines):
         for h in (line.frame, line.lead):
-            if h and h not in told:
-                told.update((g, tuple(x)) for g, *x in seen_frames(lines, {**frames, h: None}) if g == h)
-    return told
+            if h:
+                places.setdefault(h, []).append(k)
+    out = {}
+    for h, at in places.items():
+        k = at[-1]
+        text = h == lines[k].frame and lines[k].shape in TEXT
+        if h in frames:
+            out[h] = (text, *_told(lines, k, *found))
+        else:
+            doubted = worths.copy()
+            for i in at:
+                if lines[i].frame == h:
+                    doubted[i] = DOUBTED.get(lines[i].shape, 0.0)
+            out[h] = (text, *_told(lines, k, *(span(doubted) if doubted != worths else found)))
+    return out
 
 
 def line_kind(lines: list[Line], k: int, frames: Mapping[int, Frame | None]) -> str:
