@@ -24,34 +24,37 @@ _POLICY = StructType(
 
 
 def robots_rules(text: str | None, agent: str) -> tuple[list[tuple[bool, str]], int | None]:
-    """The rules and the delay of the group that names the agent, else of the group for all."""
-    chosen: dict[str, tuple[list[tuple[bool, str]], list[int]]] = {}
-    names: list[str] = []
-    fresh = True
+    """The rules and the delay of the first group that names the agent, else of the first for all. A group is a run of agents and what follows it."""
+    groups: list[tuple[set[str], list[tuple[bool, str]], list[int]]] = []
+    naming = False
     for raw in (text or "").splitlines():
         field, colon, value = raw.partition("#")[0].partition(":")
         field, value = field.strip().lower(), value.strip()
         if not colon:
             continue
         if field == "user-agent":
-            names = [value.lower()] if fresh else [*names, value.lower()]
-            fresh = False
-            chosen.setdefault(value.lower(), ([], []))
+            if not naming:
+                groups.append((set(), [], []))
+            groups[-1][0].add(value.lower())
+            naming = True
             continue
-        fresh = True
-        for name in names:
-            rules, delays = chosen[name]
-            if field in ("allow", "disallow") and value:
-                rules.append((field == "allow", value))
-            elif field == "crawl-delay":
-                try:
-                    seconds = float(value.replace(",", "."))
-                except ValueError:
-                    continue
-                if 0 <= seconds < 1e9:
-                    delays.append(int(seconds * 1000))
-    rules, delays = chosen.get(agent.lower()) or chosen.get("*") or ([], [])
-    return rules, delays[-1] if delays else None
+        naming = False
+        if not groups:
+            continue
+        if field in ("allow", "disallow") and value:
+            groups[-1][1].append((field == "allow", value))
+        elif field == "crawl-delay":
+            try:
+                seconds = float(value.replace(",", "."))
+            except ValueError:
+                continue
+            if 0 <= seconds < 1e9:
+                groups[-1][2].append(int(seconds * 1000))
+    for name in (agent.lower(), "*"):
+        for names, rules, delays in groups:
+            if name in names:
+                return rules, delays[-1] if delays else None
+    return [], None
 
 
 def robots_policy(agent: str):

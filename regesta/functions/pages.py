@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 # Elements without text of the page; those that break a line; those kept as blocks of context.
-SKIPPED = frozenset("script style noscript template svg head".split())
+SKIPPED = frozenset(["script", "style", "noscript", "template", "svg", "head"])
 BREAKING = frozenset(
-    "address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table tbody td tfoot th thead tr ul".split()
-)
-BLOCKS = frozenset("td tr li dd p article".split())
+    [
+        "address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "option",
+        "p", "pre", "section", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+    ]
+)
+BLOCKS = frozenset(["td", "tr", "li", "dd", "p", "article"])
 # The named characters that are decoded; others stay as they are written.
 ENTITIES = {
     "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "eacute": "é", "egrave": "è", "ecirc": "ê", "agrave": "à", "ccedil": "ç", "ocirc": "ô",
@@ -126,8 +129,12 @@ class _Reader(HTMLParser):
 
 
 def resolve(href: str, base: str) -> str | None:
+    """The address of a link; null for what leads nowhere: nothing, a place on the page itself, or no address."""
+    href = href.strip()
+    if not href or href.startswith("#"):
+        return None
     try:
-        url = urljoin(base, href.strip())
+        url = urljoin(base, href)
         parts = urlsplit(url)
     except ValueError:
         return None

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regesta.functions.contacts import clean_email, contact_fault, international_phone, is_mobile, mail_domain, office_or_person
-from regesta.functions.scoring import CONTACT_VERSION, contact_score
+from regesta.functions.keys import canonical_url, instant
+from regesta.functions.scoring import CONTACT_VERSION, contact_score, regime
+from regesta.session import materialise
+from regesta.sources.export import EXPORT_COLUMNS
 
 
 def drop_shadowed(contacts: DataFrame) -> DataFrame:
@@ -18,20 +21,20 @@ def drop_shadowed(contacts: DataFrame) -> DataFrame:
 
 
 def latest_verdicts(pages: DataFrame) -> DataFrame:
-    """url, code_insee, verdict of the page's row of the last campaign, even where that row has none."""
-    row = F.max(F.struct("campagne", F.coalesce("fetched_at", F.lit("")).alias("f"), "prefiltre_verdict"))
-    return pages.where("code_insee is not null").groupBy("url", "code_insee").agg(row["prefiltre_verdict"].alias("verdict"))
+    """url (canonical), code_insee, verdict of the page's row of the last campaign, even where that row has none."""
+    row = F.max(F.struct("campagne", instant(F.col("fetched_at")).alias("f"), "prefiltre_verdict"))
+    return pages.where("code_insee is not null").groupBy(canonical_url(F.col("url")).alias("url"), "code_insee").agg(row["prefiltre_verdict"].alias("verdict"))
 
 
 def score_contacts(contacts: DataFrame, pages: DataFrame, domains: DataFrame) -> DataFrame:
     """id and the score of every contact, with the factors that made it.
 
-    The page's last verdict comes by a shuffle join on address and municipality, the mail verdict by domain (the part after the last @).
+    The page's last verdict comes by a shuffle join on canonical address and municipality, the mail verdict by domain (the part after the last @).
     """
-    verdicts = latest_verdicts(pages).select(F.col("url").alias("source_url"), "code_insee", "verdict")
+    verdicts = latest_verdicts(pages).select(F.col("url").alias("_page"), "code_insee", "verdict")
     mx = domains.groupBy(F.lower("domaine").alias("d")).agg(F.max(F.struct("verifie_at", "mx"))["mx"].alias("mx"))
     value = F.coalesce("valeur_corrigee", "valeur_normalisee")
-    rows = contacts.withColumn("v", value).withColumn("d", F.when(F.col("kind") == "email", mail_domain(F.col("v")))).join(verdicts, ["source_url", "code_insee"], "left").join(mx, "d", "left")
+    rows = contacts.withColumn("v", value).withColumn("_page", canonical_url(F.col("source_url"))).withColumn("d", F.when(F.col("kind") == "email", mail_domain(F.col("v")))).join(verdicts, ["_page", "code_insee"], "left").join(mx, "d", "left")
     fault = contact_fault(F.col("kind"), F.col("v"))
     score = contact_score(F.col("kind"), F.col("confiance"), F.col("valeur_corrigee").isNotNull(), fault.isNull(), F.col("mx"), F.col("is_generique"), F.col("association_id").isNotNull(), F.col("verdict"))
     return rows.select("id", "kind", fault.alias("faute"), score.alias("s")).select("id", "kind", "faute", "s.score", "s.base", F.array_join(F.transform("s.signaux", lambda x: x["signal"]), ",").alias("signaux"), F.lit(CONTACT_VERSION).alias("score_version"))
@@ -74,8 +77,8 @@ def apply_reviews(contacts: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def retained(df: DataFrame, at: Column, cutoff: str) -> DataFrame:
-    """Rows not older than the cutoff (ISO text in UTC); without a date they stay."""
-    return df.where(at.isNull() | (at >= F.lit(cutoff)))
+    """Rows not older than the cutoff (both ISO texts, compared as instants); without a date they stay."""
+    return df.where(at.isNull() | (instant(at) >= instant(F.lit(cutoff))))
 
 
 def top_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
@@ -84,18 +87,22 @@ def top_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
 
 
 def export_lines(contacts: DataFrame, associations: DataFrame, communes: DataFrame, *, least_score: float | None = None, rejected: bool = False) -> DataFrame:
-    """The rows of the public file, by municipality, association, kind and value, each with its place (rang)."""
-    from regesta.functions.scoring import regime
+    """The rows of the public file, by municipality, association, kind and value, each with its place in its district's file (rang).
 
+    The whole is sorted by range, so a district with most of the rows is many tasks; a row's place is its place in its range and what the ranges before it
+    hold of its district.
+    """
     kept = contacts if rejected else contacts.where("review_statut <> 'rejete'")
     if least_score is not None:
         kept = kept.where(F.col("score") >= least_score)
     names = associations.select(F.col("id").alias("association_id"), "rna_id", F.col("nom").alias("association"), "type")
-    rows = kept.join(F.broadcast(communes.select("code_insee", F.col("nom").alias("commune"), "departement")) if "departement" in communes.columns else communes, "code_insee").join(names, "association_id", "left")
-    columns = [
-        "code_insee", "commune", "rna_id", "association", "type", "kind", "valeur", "valeur_corrigee", F.coalesce("valeur_corrigee", "valeur").alias("valeur_publiable"),
-        regime(F.col("kind"), F.col("is_generique")).alias("regime"), F.format_string("%.2f", "score").alias("score"), F.format_string("%.2f", "confiance").alias("confiance"), "methode_extraction", "source_url",
-        "collected_at", "review_statut",
-    ]
-    w = Window.partitionBy("departement").orderBy(F.col("commune").asc_nulls_first(), F.col("association").asc_nulls_first(), "kind", "valeur", "id")
-    return rows.withColumn("rang", F.row_number().over(w)).select("departement", "rang", "id", *columns)
+    rows = kept.join(communes.select("code_insee", F.col("nom").alias("commune"), "departement"), "code_insee").join(names, "association_id", "left")
+    two = {c: F.format_string("%.2f", c).alias(c) for c in ("score", "confiance")}
+    made = {"valeur_publiable": F.coalesce("valeur_corrigee", "valeur").alias("valeur_publiable"), "regime": regime(F.col("kind"), F.col("is_generique")).alias("regime"), **two}
+    order = [F.col("departement"), F.col("commune").asc_nulls_first(), F.col("association").asc_nulls_first(), F.col("kind"), F.col("valeur"), F.col("id")]
+    lines = materialise(rows.select("departement", "id", *(made.get(c, F.col(c)) for c in EXPORT_COLUMNS)).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()), "export")
+    w = Window.partitionBy("_range", "departement").orderBy(*order)
+    sizes = lines.groupBy("departement", "_range").agg(F.count("*").alias("_size"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.partitionBy("departement").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = lines.withColumn("_at", F.row_number().over(w)).join(before.select("departement", "_range", "_before"), ["departement", "_range"])
+    return placed.withColumn("rang", (F.col("_before") + F.col("_at")).cast("int")).select("departement", "rang", "id", *EXPORT_COLUMNS)

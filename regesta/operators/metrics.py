@@ -51,9 +51,9 @@ def page_verdicts(pages: DataFrame, communes: DataFrame) -> DataFrame:
     )
 
 
-def histogram(df: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
-    """Rows per bin, the bin being value cut to a whole number (towards zero)."""
-    return df.where(value.isNotNull()).groupBy(*by, value.cast("int").alias("borne")).agg(F.count("*").alias(name))
+def histogram(df: DataFrame, by: list[str], value: Column, name: str, width: int = 1) -> DataFrame:
+    """Rows per bin of a width; a bin is named by its bound nearer to zero."""
+    return df.where(value.isNotNull()).groupBy(*by, ((value / width).cast("int") * width).alias("borne")).agg(F.count("*").alias(name))
 
 
 def mail_verdicts(contacts: DataFrame, communes: DataFrame, domains: DataFrame) -> DataFrame:
@@ -81,6 +81,14 @@ def review_counts(contacts: DataFrame, communes: DataFrame, version: int) -> Dat
     return counted.withColumn("arbitres", settled).withColumn("taux_correction", share(F.col("corrige"), settled))
 
 
+def normalisation_counts(associations: DataFrame, contacts: DataFrame, communes: DataFrame) -> DataFrame:
+    """Per district: living associations, contacts, those with a score, and those found invalid."""
+    place = communes.select("code_insee", "departement")
+    live = associations.where("date_dissolution is null").join(place, "code_insee").groupBy("departement").agg(F.count("*").alias("associations"))
+    counted = contacts.join(place, "code_insee").groupBy("departement").agg(F.count("*").alias("contacts"), F.count("score").alias("notes"), F.count_if(F.col("score") == 0).alias("invalides"))
+    return communes.select("departement").distinct().join(live, "departement", "left").join(counted, "departement", "left").fillna(0, ["associations", "contacts", "notes", "invalides"])
+
+
 def counters(deltas: DataFrame) -> DataFrame:
     """etape, nom, valeur: sums of counted events."""
     return deltas.groupBy("etape", "nom").agg(F.sum("valeur").alias("valeur"))

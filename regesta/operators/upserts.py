@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regesta.functions.keys import instant
 
-def latest(df: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
-    """One row for each key: that of the greatest version, ties by the greatest row. Map-side combined, so copies of a hot key do not pile up.
+
+def latest(df: DataFrame, keys: list[str], version: list[str], instants: bool = False) -> DataFrame:
+    """One row for each key: that of the greatest version (ISO texts compared as instants, if so told), ties by the greatest row. Map-side combined, so copies of a hot key do not pile up.
 
     Null keys are left out. An empty table stays empty.
     """
     rest = [c for c in df.columns if c not in keys]
-    pick = F.max(F.struct(*version, *(c for c in rest if c not in version)))
+    first = [(instant(F.col(c)) if instants else F.col(c)).alias(f"_v{i}") for i, c in enumerate(version)]
+    pick = F.max(F.struct(*first, *version, *(c for c in rest if c not in version)))
     return df.dropna(subset=keys).groupBy(*keys).agg(pick.alias("_row")).select(*keys, *(F.col("_row")[c].alias(c) for c in rest)).select(*df.columns)
 
 
@@ -36,14 +39,14 @@ def minimal_communes(codes: DataFrame, communes: DataFrame) -> DataFrame:
     return communes.unionByName(added, allowMissingColumns=True)
 
 
-def upsert_contacts(readings: DataFrame, order: list[str]) -> DataFrame:
+def upsert_contacts(readings: DataFrame, order: list[Column]) -> DataFrame:
     """One row for each contact of a holder: the reading of greatest confidence, the earliest among equals; id and review stay those of the first.
 
     The holder is the association, or the municipality where there is none: two keys that never meet.
     """
     key = [F.col("association_id"), F.when(F.col("association_id").isNull(), F.col("code_insee")).alias("commune_seule"), F.col("kind"), F.col("valeur_normalisee")]
-    first = F.struct(*(F.col(c).alias(f"_{c}") for c in order), "id", "review_statut")
-    best = F.min(F.struct((-F.col("confiance")).alias("rang"), *(F.col(c).alias(f"_{c}") for c in order), "id", "valeur", "source_url", "methode_extraction", "confiance", "collected_at"))
+    first = F.struct(*(c.alias(f"_o{i}") for i, c in enumerate(order)), "id", "review_statut")
+    best = F.min(F.struct((-F.col("confiance")).alias("rang"), *(c.alias(f"_o{i}") for i, c in enumerate(order)), "id", "valeur", "source_url", "methode_extraction", "confiance", "collected_at"))
     held = readings.where("association_id is not null or code_insee is not null")
     folded = held.groupBy(*key).agg(F.min(first).alias("_f"), best.alias("_b"), F.max("code_insee").alias("code_insee"))
     return folded.select("_f.id", "association_id", "commune_seule", "kind", "valeur_normalisee", "_b.valeur", "_b.source_url", "_b.methode_extraction", "_b.confiance", "_b.collected_at", "_f.review_statut")

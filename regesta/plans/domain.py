@@ -9,7 +9,7 @@ from regesta.functions import contacts as fc
 from regesta.functions import links as fl
 from regesta.functions import net, places, times
 from regesta.functions.classify import association_type
-from regesta.functions.keys import canonical_url, code_insee, trimmed
+from regesta.functions.keys import canonical_url, code_insee, digest, instant, trimmed
 from regesta.functions.pages import parse_page
 from regesta.functions.scoring import CONTACT_VERSION
 from regesta.functions.text import normalise_name
@@ -30,33 +30,33 @@ SINCE = "2021-03-20"
 
 def communes(spark: SparkSession, folder: str) -> DataFrame:
     df = table(spark, folder, "commune")
-    return latest(df.withColumn("code_insee", code_insee(F.col("code_insee"))), ["code_insee"], ["updated_at"])
+    return latest(df.withColumn("code_insee", code_insee(F.col("code_insee"))), ["code_insee"], ["updated_at"], instants=True)
 
 
 def associations(spark: SparkSession, folder: str) -> DataFrame:
     df = table(spark, folder, "association")
-    return latest(df.withColumn("code_insee", code_insee(F.col("code_insee"))), ["id"], ["updated_at"])
+    return latest(df.withColumn("code_insee", code_insee(F.col("code_insee"))), ["id"], ["updated_at"], instants=True)
 
 
 def contacts(spark: SparkSession, folder: str) -> DataFrame:
-    return latest(table(spark, folder, "contact"), ["id"], ["collected_at"])
+    return latest(table(spark, folder, "contact"), ["id"], ["collected_at"], instants=True)
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     df = table(spark, folder, "page")
-    return latest(df.withColumn("code_insee", code_insee(F.col("code_insee"))), ["url_hash"], ["fetched_at"])
+    return latest(df.withColumn("code_insee", code_insee(F.col("code_insee"))), ["url_hash"], ["fetched_at"], instants=True)
 
 
 def domains(spark: SparkSession, folder: str) -> DataFrame:
-    return latest(table(spark, folder, "domaine_mail"), ["domaine"], ["verifie_at"])
+    return latest(table(spark, folder, "domaine_mail"), ["domaine"], ["verifie_at"], instants=True)
 
 
 _CLEAN = f"""
-c AS (SELECT * FROM commune QUALIFY row_number() OVER (PARTITION BY code_insee ORDER BY updated_at DESC) = 1),
-a AS (SELECT * EXCLUDE (code_insee), {sql_code('code_insee')} AS code_insee FROM association QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1),
-ct AS (SELECT * FROM contact QUALIFY row_number() OVER (PARTITION BY id ORDER BY collected_at DESC) = 1),
-p AS (SELECT * EXCLUDE (code_insee), {sql_code('code_insee')} AS code_insee FROM page QUALIFY row_number() OVER (PARTITION BY url_hash ORDER BY fetched_at DESC NULLS LAST, content_hash DESC NULLS LAST) = 1),
-d AS (SELECT * FROM domaine_mail QUALIFY row_number() OVER (PARTITION BY domaine ORDER BY verifie_at DESC) = 1)"""
+c AS (SELECT * FROM commune QUALIFY row_number() OVER (PARTITION BY code_insee ORDER BY CAST(updated_at AS TIMESTAMPTZ) DESC) = 1),
+a AS (SELECT * EXCLUDE (code_insee), {sql_code('code_insee')} AS code_insee FROM association QUALIFY row_number() OVER (PARTITION BY id ORDER BY CAST(updated_at AS TIMESTAMPTZ) DESC) = 1),
+ct AS (SELECT * FROM contact QUALIFY row_number() OVER (PARTITION BY id ORDER BY CAST(collected_at AS TIMESTAMPTZ) DESC) = 1),
+p AS (SELECT * EXCLUDE (code_insee), {sql_code('code_insee')} AS code_insee FROM page QUALIFY row_number() OVER (PARTITION BY url_hash ORDER BY CAST(fetched_at AS TIMESTAMPTZ) DESC NULLS LAST, content_hash DESC NULLS LAST) = 1),
+d AS (SELECT * FROM domaine_mail QUALIFY row_number() OVER (PARTITION BY domaine ORDER BY CAST(verifie_at AS TIMESTAMPTZ) DESC) = 1)"""
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -105,7 +105,7 @@ def a4(spark, folder):
     return om.coverage(associations(spark, folder).where(F.col("date_declaration") >= SINCE), communes(spark, folder), contacts(spark, folder), domains(spark, folder))
 
 
-@query("a5_joignables", "SELECT c.departement, count(DISTINCT a.id) AS joignables FROM a JOIN c USING (code_insee) JOIN ct ON ct.association_id = a.id AND ct.kind = 'email' JOIN d ON d.domaine = substr(ct.valeur_normalisee, instr(ct.valeur_normalisee, '@') + 1) WHERE d.mx = 1 AND a.date_dissolution IS NULL GROUP BY 1")
+@query("a5_joignables", "SELECT departement, count(*) AS joignables FROM a SEMI JOIN (SELECT association_id AS id FROM ct WHERE kind = 'email' AND split_part(valeur_normalisee, '@', 2) IN (SELECT domaine FROM d WHERE mx = 1)) m USING (id) JOIN c USING (code_insee) WHERE date_dissolution IS NULL GROUP BY departement")
 def a5(spark, folder):
     mail = contacts(spark, folder).where("kind = 'email' and association_id is not null").select(F.col("association_id").alias("id"), F.regexp_replace("valeur_normalisee", "^[^@]*@", "").alias("domaine"))
     reached = mail.join(domains(spark, folder).where("mx = 1").select("domaine"), "domaine", "left_semi").select("id").distinct()
@@ -118,7 +118,7 @@ def a6(spark, folder):
     return om.dormancy(associations(spark, folder), communes(spark, folder), SINCE)
 
 
-@query("a7_declarations_par_annee", "SELECT c.departement, substr(date_declaration, 1, 4) AS annee, count(*) AS associations FROM a JOIN c USING (code_insee) WHERE date_dissolution IS NULL AND date_declaration IS NOT NULL GROUP BY 1, 2")
+@query("a7_declarations_par_annee", "SELECT departement, split_part(date_declaration, '-', 1) AS annee, sum(1)::BIGINT AS associations FROM (SELECT * FROM a WHERE date_declaration > '' AND date_dissolution IS NULL) SEMI JOIN (SELECT code_insee FROM c) k USING (code_insee) LEFT JOIN (SELECT code_insee, departement FROM c) x USING (code_insee) GROUP BY ALL")
 def a7(spark, folder):
     return om.declarations_by_year(associations(spark, folder), communes(spark, folder))
 
@@ -134,9 +134,9 @@ def a9(spark, folder):
     return seen.groupBy("campagne", F.col("prefiltre_motif").alias("motif")).agg(F.count("*").alias("pages"))
 
 
-@query("a10_histogramme_pages", "SELECT campagne, CAST(trunc(prefiltre_score / 4) AS INTEGER) AS borne, count(*) AS pages FROM p WHERE statut = 'visitee' AND prefiltre_score IS NOT NULL GROUP BY 1, 2")
+@query("a10_histogramme_pages", "SELECT campagne, 4 * CAST(sign(prefiltre_score) * floor(abs(prefiltre_score) / 4) AS INTEGER) AS borne, count(*) AS pages FROM p WHERE statut = 'visitee' AND prefiltre_score IS NOT NULL GROUP BY 1, 2")
 def a10(spark, folder):
-    return om.histogram(pages(spark, folder).where("statut = 'visitee'"), ["campagne"], F.col("prefiltre_score") / 4, "pages")
+    return om.histogram(pages(spark, folder).where("statut = 'visitee'"), ["campagne"], F.col("prefiltre_score"), "pages", width=4)
 
 
 _FAMILY = "substr(CASE WHEN length(trim(code_objet_social)) < 6 THEN lpad(trim(code_objet_social), 6, '0') ELSE trim(code_objet_social) END, 1, 3)"
@@ -165,13 +165,12 @@ def f12s(spark, folder):
     return typed.groupBy("source").agg(F.count("*").alias("associations"))
 
 
-@query("a11_normalisation", "SELECT c.departement, count(*) AS contacts, count(score) AS notes, count(*) FILTER (WHERE score = 0) AS invalides FROM ct JOIN c USING (code_insee) GROUP BY 1")
+@query("a11_normalisation", "SELECT departement, coalesce(n, 0) AS associations, coalesce(contacts, 0) AS contacts, coalesce(notes, 0) AS notes, coalesce(invalides, 0) AS invalides FROM (SELECT DISTINCT departement FROM c) LEFT JOIN (SELECT departement, count(*) AS n FROM a JOIN c USING (code_insee) WHERE date_dissolution IS NULL GROUP BY 1) USING (departement) LEFT JOIN (SELECT departement, count(*) AS contacts, count(score) AS notes, count(*) FILTER (WHERE score = 0) AS invalides FROM ct JOIN c USING (code_insee) GROUP BY 1) USING (departement)")
 def a11(spark, folder):
-    rows = contacts(spark, folder).join(communes(spark, folder).select("code_insee", "departement"), "code_insee")
-    return rows.groupBy("departement").agg(F.count("*").alias("contacts"), F.count("score").alias("notes"), F.count_if(F.col("score") == 0).alias("invalides"))
+    return om.normalisation_counts(associations(spark, folder), contacts(spark, folder), communes(spark, folder))
 
 
-@query("a13_mx", "SELECT c.departement, count(*) FILTER (WHERE d.mx = 1) AS avec_mx, count(*) FILTER (WHERE d.mx = 0) AS sans_mx, count(*) FILTER (WHERE d.mx IS NULL) AS mx_inconnu FROM ct JOIN c USING (code_insee) LEFT JOIN d ON d.domaine = substr(valeur_normalisee, instr(valeur_normalisee, '@') + 1) WHERE kind = 'email' AND coalesce(score, 1) > 0 GROUP BY 1")
+@query("a13_mx", "SELECT departement, sum((v = 1)::INT)::BIGINT AS avec_mx, sum((v = 0)::INT)::BIGINT AS sans_mx, sum((v = -1)::INT)::BIGINT AS mx_inconnu FROM (SELECT code_insee, coalesce((SELECT max(mx) FROM d WHERE domaine = split_part(valeur_normalisee, '@', 2)), -1) AS v FROM ct WHERE kind = 'email' AND NOT coalesce(score <= 0, false)) m JOIN c USING (code_insee) GROUP BY departement")
 def a13(spark, folder):
     return om.mail_verdicts(contacts(spark, folder), communes(spark, folder), domains(spark, folder))
 
@@ -253,7 +252,7 @@ def f1(spark, folder):
     return associations(spark, folder).select("id", normalise_name(F.col("nom")).alias("nom_cle"))
 
 
-@query("f3_regime_adresses", f"SELECT id, CASE WHEN regexp_matches(regexp_replace(split_part(lower(valeur), '@', 1), '[^a-z0-9]', '', 'g'), '{'|'.join(fc.OFFICE_ROOTS)}') THEN 1 WHEN regexp_full_match(split_part(lower(valeur), '@', 1), '[a-z]+[._-][a-z]{{2,}}') THEN 0 END AS regime FROM ct WHERE kind = 'email'")
+@query("f3_regime_adresses", "SELECT id, CASE WHEN regexp_matches(regexp_replace(split_part(lower(valeur), '@', 1), '[^a-z0-9]', '', 'g'), 'abuse|accueil|administration|associ|bureau|cantine|club|commun|contact|courrier|culture|direction|ecole|hoteldeville|info|inscription|jeunesse|mairie|nepasrepondre|noreply|postmaster|president|reservation|secreta|service|sport|tresorier|ville|webmaster') THEN 1 WHEN regexp_full_match(split_part(lower(valeur), '@', 1), '[a-z]+[._-][a-z]{2,}') THEN 0 END AS regime FROM ct WHERE kind = 'email'")
 def f3(spark, folder):
     return contacts(spark, folder).where("kind = 'email'").select("id", fc.office_or_person(F.col("valeur")).alias("regime"))
 
@@ -345,17 +344,17 @@ def d1(spark, folder):
     return oc.drop_shadowed(contacts(spark, folder)).select("id")
 
 
-@query("j8_derniers_verdicts", "SELECT url, code_insee, prefiltre_verdict AS verdict FROM p WHERE code_insee IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url, code_insee ORDER BY campagne DESC, coalesce(fetched_at, '') DESC, prefiltre_verdict DESC NULLS LAST) = 1")
+@query("j8_derniers_verdicts", f"SELECT {sql_url('url')} AS url, code_insee, prefiltre_verdict AS verdict FROM p WHERE code_insee IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {sql_url('url')}, code_insee ORDER BY campagne DESC, CAST(fetched_at AS TIMESTAMPTZ) DESC NULLS LAST, prefiltre_verdict DESC NULLS LAST) = 1")
 def j8(spark, folder):
     return oc.latest_verdicts(pages(spark, folder))
 
 
 _V = "coalesce(valeur_corrigee, valeur_normalisee)"
 _SCORE = f"""
-, v AS (SELECT url, code_insee, prefiltre_verdict AS verdict FROM p WHERE code_insee IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url, code_insee ORDER BY campagne DESC, coalesce(fetched_at, '') DESC, prefiltre_verdict DESC NULLS LAST) = 1),
+, v AS (SELECT {sql_url('url')} AS url, code_insee, prefiltre_verdict AS verdict FROM p WHERE code_insee IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {sql_url('url')}, code_insee ORDER BY campagne DESC, CAST(fetched_at AS TIMESTAMPTZ) DESC NULLS LAST, prefiltre_verdict DESC NULLS LAST) = 1),
 r AS (SELECT ct.*, v.verdict, d.mx, CASE WHEN kind = 'email' THEN {_valid_sql(_V)} WHEN NOT regexp_full_match({_V}, '[+]33[1-9][0-9]{{8}}') THEN 'forme' END AS faute,
         CASE WHEN valeur_corrigee IS NOT NULL THEN 0.95::DOUBLE ELSE greatest(0::DOUBLE, least(1::DOUBLE, coalesce(confiance, 0))) END AS base
-      FROM ct LEFT JOIN v ON v.url = ct.source_url AND v.code_insee = ct.code_insee LEFT JOIN d ON kind = 'email' AND d.domaine = CASE WHEN contains(regexp_extract({_V}, '@([^@]*)$', 1), '.') THEN lower(regexp_extract({_V}, '@([^@]*)$', 1)) END)
+      FROM ct LEFT JOIN v ON v.url = {sql_url('ct.source_url')} AND v.code_insee = ct.code_insee LEFT JOIN d ON kind = 'email' AND d.domaine = CASE WHEN contains(regexp_extract({_V}, '@([^@]*)$', 1), '.') THEN lower(regexp_extract({_V}, '@([^@]*)$', 1)) END)
 SELECT id, faute, CASE WHEN faute IS NOT NULL THEN 0 ELSE floor(greatest(0::DOUBLE, least(1::DOUBLE,
    base * CASE WHEN kind <> 'email' THEN 1 WHEN mx = 0 THEN 0.3 WHEN mx IS NULL THEN 0.9 ELSE 1 END::DOUBLE * CASE WHEN kind <> 'email' THEN 1 WHEN is_generique = 0 THEN 0.8 WHEN is_generique IS NULL THEN 0.95 ELSE 1 END::DOUBLE
    * CASE WHEN association_id IS NULL THEN 0.85 ELSE 1 END::DOUBLE * CASE WHEN verdict = 'ecartee' THEN 0.9 WHEN verdict IS NULL THEN 0.95 ELSE 1 END::DOUBLE)) * 100 + 0.5) / 100.0::DOUBLE END AS score FROM r"""
@@ -513,10 +512,10 @@ def u3(spark, folder):
 
 @query("u4_contacts", """
 , r AS (SELECT *, CASE WHEN association_id IS NULL THEN code_insee END AS seule FROM ct WHERE association_id IS NOT NULL OR code_insee IS NOT NULL),
-f AS (SELECT *, first(id) OVER w1 AS id1, first(review_statut) OVER w1 AS statut1, row_number() OVER w2 AS rn FROM r WINDOW w1 AS (PARTITION BY association_id, seule, kind, valeur_normalisee ORDER BY collected_at, id), w2 AS (PARTITION BY association_id, seule, kind, valeur_normalisee ORDER BY confiance DESC, collected_at, id))
+f AS (SELECT *, first(id) OVER w1 AS id1, first(review_statut) OVER w1 AS statut1, row_number() OVER w2 AS rn FROM r WINDOW w1 AS (PARTITION BY association_id, seule, kind, valeur_normalisee ORDER BY CAST(collected_at AS TIMESTAMPTZ), id), w2 AS (PARTITION BY association_id, seule, kind, valeur_normalisee ORDER BY confiance DESC, CAST(collected_at AS TIMESTAMPTZ), id))
 SELECT id1 AS id, valeur_normalisee, confiance, statut1 AS review_statut FROM f WHERE rn = 1""")
 def u4(spark, folder):
-    return upsert_contacts(contacts(spark, folder), ["collected_at"]).select("id", "valeur_normalisee", "confiance", "review_statut")
+    return upsert_contacts(contacts(spark, folder), [instant(F.col("collected_at"))]).select("id", "valeur_normalisee", "confiance", "review_statut")
 
 
 @query("u5_pages", f"SELECT url_hash FROM p QUALIFY row_number() OVER (PARTITION BY campagne, code_insee, {sql_url('url')} ORDER BY planifiee_at, url_hash) = 1")
@@ -532,7 +531,7 @@ def u6(spark, folder):
 _CUT = "2025-09-01T00:00:00.000Z"
 
 
-@query("d2_conservation", f"SELECT 'contact' AS nom_table, count(*) AS lignes FROM ct WHERE collected_at >= '{_CUT}' UNION ALL SELECT 'page', count(*) FROM p WHERE coalesce(fetched_at, planifiee_at) >= '{_CUT}' UNION ALL SELECT 'domaine_mail', count(*) FROM d WHERE verifie_at >= '{_CUT}'")
+@query("d2_conservation", f"SELECT 'contact' AS nom_table, count(*) AS lignes FROM ct WHERE CAST(collected_at AS TIMESTAMPTZ) >= '{_CUT}' UNION ALL SELECT 'page', count(*) FROM p WHERE CAST(coalesce(fetched_at, planifiee_at) AS TIMESTAMPTZ) >= '{_CUT}' UNION ALL SELECT 'domaine_mail', count(*) FROM d WHERE CAST(verifie_at AS TIMESTAMPTZ) >= '{_CUT}'")
 def d2(spark, folder):
     kept = (("contact", oc.retained(contacts(spark, folder), F.col("collected_at"), _CUT)), ("page", oc.retained(pages(spark, folder), F.coalesce("fetched_at", "planifiee_at"), _CUT)), ("domaine_mail", oc.retained(domains(spark, folder), F.col("verifie_at"), _CUT)))
     parts = [df.agg(F.count("*").alias("lignes")).select(F.lit(n).alias("nom_table"), "lignes") for n, df in kept]

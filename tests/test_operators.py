@@ -153,11 +153,12 @@ def contact(i, a, c, v, conf=0.9, at="2025", status="a_revoir", kind="email", sc
 def test_contacts(spark):
     data = [contact(1, 7, "A", "x@y.fr", 0.6, "1"), contact(2, 7, "A", "x@y.fr", 0.9, "2"), contact(3, 7, "A", "x@y.fr", 0.9, "3"), contact(4, None, "A", "x@y.fr"), contact(5, None, "B", "x@y.fr"), contact(6, None, None, "z@y.fr")]
     df = spark.createDataFrame(data, CONTACT)
-    got = {(r.id, r.confiance, r.collected_at) for r in upsert_contacts(df, ["collected_at"]).collect()}
+    got = {(r.id, r.confiance, r.collected_at) for r in upsert_contacts(df, [F.col("collected_at")]).collect()}
     assert got == {(1, 0.9, "2"), (4, 0.9, "2025"), (5, 0.9, "2025")}
     once = oc.drop_shadowed(df)
     assert {r.id for r in once.collect()} == {1, 2, 3, 5, 6} == {r.id for r in oc.drop_shadowed(once).collect()}
-    assert {r.id for r in oc.retained(df, F.col("collected_at"), "2").collect()} == {2, 3, 4, 5, 6}
+    dated = spark.createDataFrame([(1, "2026-01-01T00:30:00+02:00"), (2, "2026-01-01T00:00:00.000Z"), (3, None)], "id int, at string")
+    assert {r.id for r in oc.retained(dated, F.col("at"), "2026-01-01T00:00:00.000Z").collect()} == {2, 3}
 
 
 def test_review(spark):
