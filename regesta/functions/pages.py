@@ -158,6 +158,9 @@ def _documents(html: pd.Series, base: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_html(h, b) for h, b in zip(html, base, strict=True)], columns=["texte", "liens", "blocs"])
 
 
+decode_text = F.pandas_udf(lambda texts: texts.map(lambda t: None if t is None else decode_entities(t)), StringType())
+tidy_text = F.pandas_udf(lambda texts: texts.map(lambda t: None if t is None else tidy(t)), StringType())
+
 #: (html, address) to a struct of text, links and blocks; one call for a page, batches over Arrow.
 parse_page = F.pandas_udf(_documents, DOCUMENT)
 

@@ -55,6 +55,20 @@ def settle(jobs: DataFrame, events: DataFrame, now: str) -> DataFrame:
     return rows.select(*(F.col(c) for c in jobs.columns if c not in ("state", "attempts", "available_at", "lease_expires_at")), state.alias("state"), attempts.cast("int").alias("attempts"), at.alias("available_at"), until.alias("lease_expires_at")).select(jobs.columns)
 
 
+def resume_points(progress: DataFrame, remote: DataFrame) -> DataFrame:
+    """Where the reading of each source goes on: source, depart (byte), suite ('debut', 'reprise' or 'redemarrage').
+
+    progress: source, lus (bytes consumed), entete, etag, modifie, taille; remote: source, etag, modifie, taille, partiel (the rest alone was sent). A
+    reading goes on only where its header is known, the rest was sent, and the fingerprint (etag, modifie, taille; missing values are equal) has not changed; else it begins again.
+    """
+    known = progress.select("source", "lus", "entete", *(F.col(c).alias(f"_{c}") for c in ("etag", "modifie", "taille")))
+    rows = known.join(remote, "source")
+    same = F.col("etag").eqNullSafe(F.col("_etag")) & F.col("modifie").eqNullSafe(F.col("_modifie")) & F.col("taille").eqNullSafe(F.col("_taille"))
+    fresh = F.col("entete").isNull() | (F.col("lus") <= 0)
+    step = F.when(fresh, "debut").when(F.col("partiel") & same, "reprise").otherwise("redemarrage")
+    return rows.select("source", F.when(step == "reprise", F.col("lus")).otherwise(0).cast("long").alias("depart"), step.alias("suite"))
+
+
 def gaps(events: DataFrame, key: list[str], at: str, least_ms: int) -> DataFrame:
     """Events that came sooner than least_ms after the one before of their key: key, at, ecart_ms."""
     w = Window.partitionBy(*key).orderBy(at)

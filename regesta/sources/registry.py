@@ -30,7 +30,11 @@ def archive_entry_fits(name: F.Column, departement: str) -> F.Column:
 
 def read_archive(spark: SparkSession, path: str, departement: str) -> DataFrame:
     """The rows of a district from ZIP archives: one task for an archive, entries streamed; methods other than stored and deflated, and wrong sizes, are errors."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("content")
+    return archive_rows(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("content"), departement)
+
+
+def archive_rows(files: DataFrame, departement: str) -> DataFrame:
+    """The rows of a district from archives given as bytes (content); see archive_entry_fits for the entries that count."""
     wanted = f"_dpt_{departement.lower()}.csv"
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -62,6 +65,17 @@ def split_array(text: str, key: str, head: int = 65_536) -> list[str]:
     raise ValueError("the array has no end")
 
 
+def split_services(texts: DataFrame) -> DataFrame:
+    """One row for each object of the array 'service' of texts (texte); what is no object is left out, an object that cannot be read has nulls."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for text in b["texte"]:
+                yield pd.DataFrame({"j": split_array(text, "service")}, dtype=object)
+
+    return texts.where("texte is not null").select("texte").mapInPandas(split, "j string").select(F.from_json("j", SERVICE).alias("s")).select("s.*")
+
+
 def town_halls(services: DataFrame, departement: str | None = None) -> DataFrame:
     """code_insee, nom, url_mairie of every town hall: a code once per service, the first http address of its sites."""
     halls = services.withColumn("p", F.explode(F.filter("pivot", lambda p: p["type_service_local"] == "mairie")))
