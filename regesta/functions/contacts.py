@@ -8,30 +8,6 @@ from pyspark.sql import functions as F
 from regesta.functions.keys import trimmed
 
 
-def email_key(value: Column) -> Column:
-    """An address as it compares: no mailto:, no query, no written-out signs, lower case, no white space."""
-    v = F.lower(trimmed(value))
-    v = F.regexp_replace(v, r"^mailto:", "")
-    v = F.regexp_replace(v, r"\?.*$", "")
-    v = F.regexp_replace(v, r"\s*[\[({]\s*(?:at|arobase|chez|@)\s*[\])}]\s*|\s+(?:at|arobase)\s+", "@")
-    v = F.regexp_replace(v, r"\s*[\[({]\s*(?:dot|point|\.)\s*[\])}]\s*|\s+(?:dot|point)\s+", ".")
-    v = F.regexp_replace(v, r"""^[\s<("']+|[\s>)"',.;]+$|\s+""", "")
-    return F.when(F.length(v) > 0, v)
-
-
-def phone_key(value: Column) -> Column:
-    """A French number as +33 and nine digits, however written; another number as its digits."""
-    v = F.regexp_replace(trimmed(value), r"\(0\)", "")
-    digits = F.regexp_replace(v, r"[^0-9+]", "")
-    national = F.regexp_replace(digits, r"^(?:\+33|0033|33(?=[1-9]\d{8}$))0?", "0")
-    key = F.when(national.rlike(r"^0[1-9]\d{8}$"), F.concat(F.lit("+33"), F.substring(national, 2, 9))).otherwise(digits)
-    return F.when(F.length(key) > 0, key)
-
-
-def contact_key(kind: Column, value: Column) -> Column:
-    return F.when(kind == "phone", phone_key(value)).otherwise(email_key(value))
-
-
 # Parts of an address's local part that name an office rather than a person.
 OFFICE_ROOTS = (
     "contact", "mairie", "secretariat", "secretaire", "accueil", "info", "communication", "associ", "club", "sport", "culture",
@@ -49,6 +25,13 @@ WRITTEN_OUT_EMAIL = (
 PHONE_IN_TEXT = r"(?U)(?:\+33[\s.-]?|\b0)[1-9](?:[\s.-]?\d{2}){4}\b"
 # National prefixes of mobile numbers.
 MOBILE_PREFIXES = ("06", "07")
+# The shape of an address, of a person's address, and of a number, and the parts of well-formed addresses.
+EMAIL_SHAPE = r"^[^\s@]+@[^\s@]+\.[A-Za-z]{2,}$"
+PERSON_SHAPE = r"^[a-z]+[.\-_][a-z]{2,}$"
+PHONE_SHAPE = r"^\+33[1-9]\d{8}$"
+LOCAL_PART = r"^[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+(?:\.[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+)*$"
+DOMAIN_LABEL = r"^[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?$"
+TOP_LEVEL = r"^[A-Za-z]{2,}$"
 #: How sure a way of reading is: declared by the page, seen in its text, put together from words.
 DECLARED, SEEN, REBUILT = 0.9, 0.6, 0.45
 
@@ -56,7 +39,7 @@ DECLARED, SEEN, REBUILT = 0.9, 0.6, 0.45
 def clean_email(raw: Column) -> Column:
     """An address without the brackets, quotes and stops around it; null where the shape is wrong, it names a file, or is over 254 characters."""
     v = F.regexp_replace(F.regexp_replace(trimmed(raw), r"""^[<("']+""", ""), r"""[>)"',.;]+$""", "")
-    fits = v.rlike(r"^[^\s@]+@[^\s@]+\.[A-Za-z]{2,}$") & ~v.rlike(FILE_SUFFIXES) & (F.length(v) <= 254)
+    fits = v.rlike(EMAIL_SHAPE) & ~v.rlike(FILE_SUFFIXES) & (F.length(v) <= 254)
     return F.when(fits, v)
 
 
@@ -64,7 +47,7 @@ def office_or_person(address: Column) -> Column:
     """1 for the address of an office, 0 for one formed like a person's name, null where its form does not tell."""
     local = F.lower(F.substring_index(address, "@", 1))
     office = F.regexp_replace(local, "[^a-z0-9]", "").rlike("|".join(OFFICE_ROOTS))
-    return F.when(office, 1).when(local.rlike(r"^[a-z]+[.\-_][a-z]{2,}$"), 0)
+    return F.when(office, 1).when(local.rlike(PERSON_SHAPE), 0)
 
 
 def international_phone(raw: Column) -> Column:
@@ -94,20 +77,19 @@ def email_fault(address: Column) -> Column:
     domain = F.substring_index(address, "@", -1)
     local = F.substr(address, F.lit(1), F.greatest(F.length(address) - F.length(domain) - 1, F.lit(0)))
     labels = F.split(domain, r"\.", -1)
-    label = r"^[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?$"
     return (
         F.when((F.length(address) == 0) | (F.length(address) > 254), "longueur")
         .when(~address.contains("@") | (local == "") | (domain == "") | local.contains("@"), "arobase")
         .when(F.length(local) > 64, "longueur")
-        .when(~local.rlike(r"^[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+(?:\.[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+)*$"), "partie_locale")
+        .when(~local.rlike(LOCAL_PART), "partie_locale")
         .when(F.length(domain) > 253, "longueur")
-        .when((F.size(labels) < 2) | F.exists(labels, lambda x: ~x.rlike(label)), "domaine")
-        .when(~F.element_at(labels, -1).rlike(r"^[A-Za-z]{2,}$"), "domaine_de_tete")
+        .when((F.size(labels) < 2) | F.exists(labels, lambda x: ~x.rlike(DOMAIN_LABEL)), "domaine")
+        .when(~F.element_at(labels, -1).rlike(TOP_LEVEL), "domaine_de_tete")
     )
 
 
 def phone_fault(number: Column) -> Column:
-    return F.when(~number.rlike(r"^\+33[1-9]\d{8}$"), "forme")
+    return F.when(~number.rlike(PHONE_SHAPE), "forme")
 
 
 def contact_fault(kind: Column, value: Column) -> Column:

@@ -80,6 +80,12 @@ def town_hall_url(text: Column) -> Column:
     return F.when(u.rlike(r"^(?i)https?://[^\s/?#]+"), u)
 
 
+def root_state(text: Column) -> Column:
+    """What becomes of a municipality's address: 'invalide', 'refuse' (a social network) or 'a_explorer'."""
+    u = town_hall_url(text)
+    return F.when(u.isNull(), "invalide").when(is_social(host(u)), "refuse").otherwise("a_explorer")
+
+
 def crawl_priority(depth: Column, score: Column) -> Column:
     """Smaller comes first: a band per depth, and within it the better score."""
     band = F.when(depth <= 0, 10).when(depth == 1, 80).otherwise(150)

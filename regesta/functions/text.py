@@ -1,8 +1,7 @@
-"""Text as it compares: names without accents, words of running text."""
+"""Text as it compares: names without accents."""
 
 from __future__ import annotations
 
-import html
 import re
 import unicodedata
 
@@ -15,12 +14,12 @@ from pyspark.sql.types import StringType
 _SPACING_DIACRITICS = "^`¨¯´·¸"
 
 _NOT_ALNUM = re.compile(r"[^a-z0-9]+")
-_MARKS = re.compile(rf"[̀-ͯ҃-҇᪰-᫿᷀-᷿⃐-⃿︠-︯{re.escape(_SPACING_DIACRITICS)}]")
+MARKS = re.compile(rf"[̀-ͯ҃-҇᪰-᫿᷀-᷿⃐-⃿︠-︯{re.escape(_SPACING_DIACRITICS)}]")
 
 
 def plain_name(text: str) -> str:
     """Lower case, no accents, everything but letters and digits one space."""
-    return _NOT_ALNUM.sub(" ", _MARKS.sub("", unicodedata.normalize("NFD", text)).lower()).strip()
+    return _NOT_ALNUM.sub(" ", MARKS.sub("", unicodedata.normalize("NFD", text)).lower()).strip()
 
 
 def _names(values: pd.Series) -> pd.Series:
@@ -33,7 +32,7 @@ normalise_name_exact = F.pandas_udf(_names, StringType())
 
 def _latin_table() -> tuple[str, str]:
     """Letters of the two Latin blocks that decompose to one base letter, and their base letters."""
-    pairs = [(chr(c), _MARKS.sub("", unicodedata.normalize("NFD", chr(c)))) for c in range(0xC0, 0x250)]
+    pairs = [(chr(c), MARKS.sub("", unicodedata.normalize("NFD", chr(c)))) for c in range(0xC0, 0x250)]
     pairs = [(a, b) for a, b in pairs if len(b) == 1 and a != b]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
@@ -45,39 +44,3 @@ def normalise_name(text: Column) -> Column:
     """normalise_name_exact for Latin text, inside the JVM: letters outside the Latin blocks become spaces."""
     bare = F.regexp_replace(F.translate(text, _FROM + _SPACING_DIACRITICS, _TO), r"\p{M}+", "")
     return F.trim(F.regexp_replace(F.lower(bare), "[^a-z0-9]+", " "))
-
-
-# Letters that do not decompose but are written out where they are missing.
-_LIGATURES = str.maketrans({"œ": "oe", "Œ": "oe", "æ": "ae", "Æ": "ae", "ß": "ss", "ø": "o", "Ø": "o", "ł": "l", "Ł": "l"})
-_ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\[nrt]")
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_HYPHENATED = re.compile(r"(?<=\w)(?:­\s*|[-‐‑]\s*\n\s*)(?=\w)")
-_INVISIBLE = re.compile(r"[­​-‏⁠﻿]")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
-_WORD = re.compile(r"[a-z0-9]+")
-
-
-def _unescape(m: re.Match[str]) -> str:
-    code = m.group(1) or m.group(2)
-    return chr(int(code, 16)) if code else " "
-
-
-def _percent(m: re.Match[str]) -> str:
-    try:
-        return bytes.fromhex(m.group().replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return m.group()
-
-
-def words(text: str) -> list[str]:
-    """The words of a text in lower case, without accents, escapes, tags, hyphenation at line ends or punctuation."""
-    if "&" in text:
-        text = html.unescape(html.unescape(text))
-    if "\\" in text:
-        text = _ESCAPE.sub(_unescape, text)
-    if "%" in text:
-        text = _PERCENT.sub(_percent, text)
-    if "<" in text:
-        text = _TAG.sub(" ", text)
-    text = _INVISIBLE.sub("", _HYPHENATED.sub("", text))
-    return _WORD.findall(_MARKS.sub("", unicodedata.normalize("NFKD", text.translate(_LIGATURES))).lower())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +83,12 @@ def retained(df: DataFrame, at: Column, cutoff: str) -> DataFrame:
     return df.where(at.isNull() | (instant(at) >= instant(F.lit(cutoff))))
 
 
+def purged(tables: dict[str, tuple[DataFrame, Column]], cutoff: str) -> DataFrame:
+    """nom_table, supprimees: how many rows of each table (with the column of their date) are older than the cutoff and go; see retained for those that stay."""
+    parts = [df.agg(F.count_if(instant(at) < instant(F.lit(cutoff))).alias("supprimees")).select(F.lit(name).alias("nom_table"), "supprimees") for name, (df, at) in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def top_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     """The first n rows: a report of that length."""
     return df.orderBy(*order).limit(n)

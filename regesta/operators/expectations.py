@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The states that rows may be in, and the bounds of their numbers.
 RULES: dict[str, dict[str, Column | str]] = {
     "contact": {
         "provenance": "source_url is not null and methode_extraction is not null and collected_at is not null and confiance is not null",

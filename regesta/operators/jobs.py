@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from regesta.functions.keys import instant
 from regesta.functions.times import backoff_ms, iso_text
 
 STATES = ("pending", "leased", "done", "skipped", "dead")
@@ -15,6 +16,33 @@ def state_counts(jobs: DataFrame, by: list[str]) -> DataFrame:
     return jobs.groupBy(*by).agg(*(F.count_if(F.col("state") == s).alias(s) for s in STATES))
 
 
+def latest_jobs(jobs: DataFrame, n: int) -> DataFrame:
+    """Of each state the n jobs that changed last, with their place (rang)."""
+    w = Window.partitionBy("state").orderBy(F.desc(instant(F.col("updated_at"))), "id")
+    return jobs.withColumn("rang", F.row_number().over(w)).where(F.col("rang") <= n)
+
+
+PAYLOAD = "codeInsee string, url string, campagne string, profondeur string, maxPages string, avecMobiles string"
+
+
+def page_payload(text: F.Column) -> F.Column:
+    """Struct (faute, code_insee, url, campagne, profondeur, max_pages, avec_mobiles) of a page job's payload, which is JSON.
+
+    A payload without municipality, address or campaign is refused, and faute names the first field that lacks; nothing is guessed. Numbers that are no whole positive numbers are 0.
+    """
+    p = F.from_json(text, PAYLOAD)
+
+    def lacks(name: str) -> F.Column:
+        return F.coalesce(p[name], F.lit("")) == ""
+
+    def whole(name: str) -> F.Column:
+        return F.when(p[name].rlike(r"^\d+$"), p[name].try_cast("long")).otherwise(F.lit(0).cast("long"))
+
+    fault = F.when(lacks("codeInsee"), "codeInsee").when(lacks("url"), "url").when(lacks("campagne"), "campagne")
+    read = {"code_insee": p["codeInsee"], "url": p["url"], "campagne": p["campagne"], "profondeur": whole("profondeur"), "max_pages": whole("maxPages"), "avec_mobiles": p["avecMobiles"] == "true"}
+    return F.struct(fault.alias("faute"), *(F.when(fault.isNull(), c).alias(n) for n, c in read.items()))
+
+
 def _later(now: str, ms) -> F.Column:
     return iso_text(F.timestamp_millis(F.unix_millis(F.to_timestamp(F.lit(now))) + ms))
 

@@ -81,6 +81,14 @@ def review_counts(contacts: DataFrame, communes: DataFrame, version: int) -> Dat
     return counted.withColumn("arbitres", settled).withColumn("taux_correction", share(F.col("corrige"), settled))
 
 
+def default_district(asked: DataFrame, runs: DataFrame, communes: DataFrame, fallback: str) -> DataFrame:
+    """asked (demande, ...) with the district that is shown (affiche): the one asked for, else that of the last run (campagne, departement), else the first known, else the fallback."""
+    last = runs.agg(F.max(F.struct("campagne", "departement"))["departement"].alias("_last"))
+    first = communes.agg(F.min("departement").alias("_first"))
+    known = F.broadcast(last.join(first))  # a row each
+    return asked.join(known).withColumn("affiche", F.coalesce(F.nullif("demande", F.lit("")), "_last", "_first", F.lit(fallback))).drop("_last", "_first")
+
+
 def normalisation_counts(associations: DataFrame, contacts: DataFrame, communes: DataFrame) -> DataFrame:
     """Per district: living associations, contacts, those with a score, and those found invalid."""
     place = communes.select("code_insee", "departement")

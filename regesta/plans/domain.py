@@ -9,8 +9,7 @@ from regesta.functions import contacts as fc
 from regesta.functions import links as fl
 from regesta.functions import net, places, times
 from regesta.functions.classify import association_type
-from regesta.functions.keys import canonical_url, code_insee, digest, instant, trimmed
-from regesta.functions.pages import parse_page
+from regesta.functions.keys import canonical_url, code_insee, instant
 from regesta.functions.scoring import CONTACT_VERSION
 from regesta.functions.text import normalise_name
 from regesta.operators import attach as oa
@@ -21,7 +20,7 @@ from regesta.operators import pages as op
 from regesta.operators.expectations import RULES, broken
 from regesta.operators.upserts import fold_communes, insert_new, latest, minimal_communes, upsert_contacts
 from regesta.plans.general import sql_code, sql_url
-from regesta.session import ship, table
+from regesta.session import table
 
 #: The instant that stands for now, so that results do not change from day to day.
 NOW = "2026-03-20T00:00:00.000Z"
@@ -159,11 +158,6 @@ def f12(spark, folder):
     return associations(spark, folder).select("id", association_type(F.col("code_objet_social"), F.col("nom"))["type"].alias("type"))
 
 
-@query("f12_sources")
-def f12s(spark, folder):
-    typed = associations(spark, folder).select(association_type(F.col("code_objet_social"), F.col("nom"))["source"].alias("source"))
-    return typed.groupBy("source").agg(F.count("*").alias("associations"))
-
 
 @query("a11_normalisation", "SELECT departement, coalesce(n, 0) AS associations, coalesce(contacts, 0) AS contacts, coalesce(notes, 0) AS notes, coalesce(invalides, 0) AS invalides FROM (SELECT DISTINCT departement FROM c) LEFT JOIN (SELECT departement, count(*) AS n FROM a JOIN c USING (code_insee) WHERE date_dissolution IS NULL GROUP BY 1) USING (departement) LEFT JOIN (SELECT departement, count(*) AS contacts, count(score) AS notes, count(*) FILTER (WHERE score = 0) AS invalides FROM ct JOIN c USING (code_insee) GROUP BY 1) USING (departement)")
 def a11(spark, folder):
@@ -218,10 +212,6 @@ def a20(spark, folder):
     return om.counters(_deltas(spark, folder))
 
 
-@query("k5_compteurs_json")
-def k5(spark, folder):
-    return om.counters_json(om.counters(_deltas(spark, folder)))
-
 
 @query("a21_domaines", f"SELECT DISTINCT lower(regexp_extract(valeur_normalisee, '@([^@]*)$', 1)) AS domaine FROM ct WHERE kind = 'email' AND ({_valid_sql('valeur_normalisee')}) IS NULL")
 def a21(spark, folder):
@@ -272,11 +262,6 @@ def f8(spark, folder):
     return contacts(spark, folder).select("id", "kind", fc.contact_fault(F.col("kind"), F.col("valeur_normalisee")).alias("faute"))
 
 
-@query("f6_contacts_des_documents", r"--raw SELECT doc_id, m AS valeur FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)*[.][A-Za-z]{2,}')) AS m FROM documents) WHERE NOT regexp_matches(lower(m), '[.](png|jpe?g|gif|webp|svg|css|js)$')")
-def f6(spark, folder):
-    found = table(spark, folder, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(fc.EMAIL_IN_TEXT), F.lit(0))).alias("m"))
-    return found.select("doc_id", fc.clean_email(F.col("m")).alias("valeur")).where("valeur is not null")
-
 
 @query("f7_contacts_des_pages")
 def f7(spark, folder):
@@ -286,10 +271,6 @@ def f7(spark, folder):
     return best.select("cache_path", "kind", "valeur_normalisee", "b.valeur", "b.is_generique", "b.methode", "b.confiance")
 
 
-@query("f13_scores_liens")
-def f13(spark, folder):
-    return pages(spark, folder).select("url_hash", fl.link_score(F.col("url"), F.lit("")).alias("score"))
-
 
 @query("f17_adresses", f"SELECT DISTINCT url, {sql_url('url')} AS canonique FROM page")
 def f17(spark, folder):
@@ -307,27 +288,19 @@ def f19(spark, folder):
     return table(spark, folder, "orders").select("o_orderkey", times.years_before(day, 3).alias("borne"))
 
 
-@query("f21_reprises", "--raw SELECT e AS essais, CAST(least(1000 * pow(2, e - 1), 300000) AS BIGINT) AS attente_ms FROM range(1, 21) t(e)")
+@query("f21_reprises", "--raw SELECT o_orderkey, o_orderkey % 24 + 1 AS essais, CAST(least(1000 * pow(2, o_orderkey % 24), 300000) AS BIGINT) AS attente_ms FROM orders")
 def f21(spark, folder):
-    return spark.range(1, 21).select(F.col("id").alias("essais"), times.backoff_ms(F.col("id")).alias("attente_ms"))
-
+    tries = F.col("o_orderkey") % 24 + 1
+    return table(spark, folder, "orders").select("o_orderkey", tries.alias("essais"), times.backoff_ms(tries).alias("attente_ms"))
 
-_ADDRESSES = ["192.0.2.17", "198.51.100.200", "10.1.2.3", "2001:db8:12::1", "2001:0DB8:0012:7::9", "::1"]
 
-
-@query("f22_reseaux", "--raw SELECT * FROM (VALUES ('192.0.2.17', '192.0.2.0/24'), ('198.51.100.200', '198.51.100.0/24'), ('10.1.2.3', '10.1.2.0/24'), ('2001:db8:12::1', '2001:db8:12::/48'), ('2001:0DB8:0012:7::9', '2001:db8:12::/48'), ('::1', '0:0:0::/48')) t(adresse, reseau)")
+@query("f22_reseaux", "--raw SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '10.' || o_orderkey // 256 % 256 || '.' || o_orderkey % 256 || '.0/24' ELSE '2001:db8:' || lower(to_hex(o_orderkey)) || '::/48' END AS reseau FROM orders")
 def f22(spark, folder):
-    return spark.createDataFrame([(x,) for x in _ADDRESSES], "adresse string").select("adresse", net.subnet_key(F.col("adresse")).alias("reseau"))
-
-
-_ROBOTS = "User-agent: *\nDisallow: /prive\nAllow: /prive/ouvert\nDisallow: /*.pdf$\nCrawl-delay: 5\n\nUser-agent: annuaire\nDisallow: /\n"
-
-
-@query("w18_robots")
-def w18(spark, folder):
-    """Which addresses of the pages a set of rules lets an agent read."""
-    own = pages(spark, folder).select("url").distinct().withColumn("robots", F.lit(_ROBOTS)).withColumn("r", net.robots_policy("autre")(F.col("robots")))
-    return own.select("url", net.allowed(F.col("r.rules"), fl.path_and_query(F.col("url"))).alias("permis"), net.effective_delay_ms(F.col("r.delay_ms"), 2000).alias("delai_ms"))
+    """Networks of addresses made of orders' numbers: of version 4 and, in two spellings, of version 6."""
+    n = F.col("o_orderkey")
+    v4 = F.concat_ws(".", F.lit("10"), F.floor(n / 256) % 256, n % 256, n % 254)
+    v6 = F.concat(F.when(n % 3 == 0, "2001:0DB8:").otherwise("2001:db8:"), F.when(n % 5 == 0, F.lpad(F.hex(n), 4, "0")).otherwise(F.lower(F.hex(n))), F.lit("::"), F.lower(F.hex(n % 999)))
+    return table(spark, folder, "orders").select("o_orderkey", net.subnet_key(F.when(n % 2 == 0, v4).otherwise(v6)).alias("reseau"))
 
 
 @query("p6_departements_raw")
@@ -365,11 +338,6 @@ def f16(spark, folder):
     return oc.score_contacts(contacts(spark, folder), pages(spark, folder), domains(spark, folder)).select("id", "faute", "score")
 
 
-@query("f16_signaux")
-def f16s(spark, folder):
-    scored = oc.score_contacts(contacts(spark, folder), pages(spark, folder), domains(spark, folder))
-    return scored.groupBy("kind", "signaux").agg(F.count("*").alias("contacts"), F.min("score").alias("moindre"), F.max("score").alias("meilleur"))
-
 
 @query("p21_a_renoter", "SELECT id FROM ct WHERE score_version IS DISTINCT FROM 2")
 def p21(spark, folder):
@@ -406,12 +374,6 @@ def w11(spark, folder):
     return oc.top_rows(rows, [F.col("commune"), F.col("nom"), F.col("id")], 50).select("id", "nom")
 
 
-@query("w1_meilleurs_liens")
-def w1(spark, folder):
-    """The eight best links of every page that others name as the page they were found on."""
-    found = table(spark, folder, "page").where("url_source is not null").select(canonical_url(F.col("url_source")).alias("page"), F.col("url").alias("href"), F.lit("").alias("ancre"), F.lit(0).alias("pos")).distinct()
-    return op.best_links(found)
-
 
 _PRIORITY = "CASE WHEN profondeur <= 0 THEN 10 WHEN profondeur = 1 THEN 80 ELSE 150 END + 39 - greatest(0, least(39, CAST(floor(coalesce(prefiltre_score, 0) * 4 + 0.5) AS INTEGER)))"
 
@@ -421,15 +383,8 @@ def w2(spark, folder):
     return op.within_budget(pages(spark, folder).where("code_insee is not null"), 10).select("url_hash", "priorite", "rang")
 
 
-@query("t7_exploration")
-def t7(spark, folder):
-    """What is reached from the town halls' roots in two steps over the links of the last visit."""
-    roots = communes(spark, folder).select(fl.town_hall_url(F.col("url_mairie")).alias("u")).where("u is not null").select(canonical_url(F.col("u")).alias("root"), canonical_url(F.col("u")).alias("url")).distinct()
-    links = table(spark, folder, "page").where("url_source is not null").select(canonical_url(F.col("url_source")).alias("source"), canonical_url(F.col("url")).alias("url"), F.coalesce("prefiltre_score", F.lit(0.0)).cast("int").alias("score")).groupBy("source", "url").agg(F.max("score").alias("score"))
-    return op.frontier(roots, links, 10)
-
 
-@query("p23_racines", "SELECT code_insee, url_mairie, regexp_matches(lower(url_mairie), '^https?://[^/?#]+') AS utilisable FROM c WHERE url_mairie IS NOT NULL")
+@query("p23_racines", "SELECT code_insee, url_mairie, regexp_matches(lower(url_mairie), '^https?://[^/?#]+') AND NOT regexp_matches(split_part(regexp_extract(lower(url_mairie), '^https?://([^/:?#]+)', 1), '.', -2), '^(facebook|fb|messenger|instagram|linkedin|twitter|tiktok|snapchat|pinterest|threads|youtube|youtu|whatsapp|telegram)$') AS utilisable FROM c WHERE url_mairie IS NOT NULL")
 def p23(spark, folder):
     rows = communes(spark, folder).where("url_mairie is not null")
     return rows.select("code_insee", "url_mairie", (fl.town_hall_url(F.col("url_mairie")).isNotNull() & ~fl.is_social(fl.host(F.col("url_mairie")))).alias("utilisable"))
@@ -445,9 +400,9 @@ def j14(spark, folder):
 
 def _contexts(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of cached pages in which a contact stands: item, code_insee, ctx_id, texte."""
-    where = pages(spark, folder).where("cache_path is not null and code_insee is not null").groupBy("cache_path").agg(F.min("code_insee").alias("code_insee"))
+    where = pages(spark, folder).where("cache_path is not null and code_insee is not null").select("cache_path", "code_insee").distinct()
     read = op.read_texts(table(spark, folder, "page_cache").select("cache_path", "texte")).join(where, "cache_path")
-    return read.select(F.concat_ws("|", "cache_path", "kind", "valeur_normalisee").alias("item"), "code_insee", F.concat_ws("|", "cache_path", F.col("pos").cast("string")).alias("ctx_id"), F.col("ligne").alias("texte")).distinct()
+    return read.select(F.concat_ws("|", "cache_path", "kind", "valeur_normalisee").alias("item"), "code_insee", F.concat_ws("|", "cache_path", "code_insee", F.col("pos").cast("string")).alias("ctx_id"), F.col("ligne").alias("texte")).distinct()
 
 
 @query("j11_rattachement")
@@ -460,14 +415,14 @@ def j12(spark, folder):
     return oa.known_names(associations(spark, folder))
 
 
-_PLACES = "SELECT cache_path, min(code_insee) AS code_insee FROM p WHERE cache_path IS NOT NULL AND code_insee IS NOT NULL GROUP BY 1"
+_PLACES = "SELECT DISTINCT cache_path, code_insee FROM p WHERE cache_path IS NOT NULL AND code_insee IS NOT NULL"
 
 
 @query("f15_noms_connus", f""", n AS (SELECT DISTINCT code_insee, {_NAME.format('nom')} AS nom_cle FROM a WHERE date_dissolution IS NULL AND code_insee IS NOT NULL AND length({_NAME.format('nom')}) >= 8), w AS ({_PLACES}),
 t AS (SELECT cache_path, code_insee, ' ' || {_NAME.format('texte')} || ' ' AS t FROM page_cache JOIN w USING (cache_path))
 SELECT cache_path, count(*) AS noms FROM t JOIN n USING (code_insee) WHERE contains(t, ' ' || nom_cle || ' ') GROUP BY 1""")
 def f15(spark, folder):
-    where = pages(spark, folder).where("cache_path is not null and code_insee is not null").groupBy("cache_path").agg(F.min("code_insee").alias("code_insee"))
+    where = pages(spark, folder).where("cache_path is not null and code_insee is not null").select("cache_path", "code_insee").distinct()
     texts = table(spark, folder, "page_cache").join(where, "cache_path").select("code_insee", F.col("cache_path").alias("ctx_id"), "texte")
     return oa.named_in(texts, oa.known_names(associations(spark, folder))).groupBy(F.col("ctx_id").alias("cache_path")).agg(F.count("*").alias("noms"))
 
@@ -557,11 +512,17 @@ def t4(spark, folder):
     return oj.gaps(table(spark, folder, "events"), ["user_id"], "ts", 60_000)
 
 
-def _rule_sql(name: str, source: str) -> str:
-    return " UNION ALL ".join(f"SELECT '{name}.{rule}' AS regle, count(*) AS lignes, count(*) FILTER (WHERE NOT coalesce(({text}), false)) AS fautes FROM {source}" for rule, text in RULES[name].items())
+_BROKEN = """
+SELECT 'contact.' || unnest(['provenance', 'confiance', 'score', 'rattachement', 'kind', 'generique', 'statut', 'correction']) AS regle, (SELECT count(*) FROM ct) AS lignes, unnest([
+  (SELECT count(*) FROM ct WHERE source_url IS NULL OR methode_extraction IS NULL OR collected_at IS NULL OR confiance IS NULL), (SELECT count(*) FROM ct WHERE confiance IS NULL OR confiance < 0 OR confiance > 1),
+  (SELECT count(*) FROM ct WHERE score < 0 OR score > 1), (SELECT count(*) FROM ct WHERE coalesce(CAST(association_id AS VARCHAR), code_insee) IS NULL), (SELECT count(*) FROM ct WHERE NOT coalesce(regexp_full_match(kind, 'email|phone'), false)),
+  (SELECT count(*) FROM ct WHERE is_generique <> 0 AND is_generique <> 1), (SELECT count(*) FROM ct WHERE NOT coalesce(regexp_full_match(review_statut, 'a_revoir|valide|rejete|corrige'), false)), (SELECT count(*) FROM ct WHERE review_statut IS NULL OR (review_statut = 'corrige' AND valeur_corrigee IS NULL))]) AS fautes
+UNION ALL SELECT 'commune.resolution', (SELECT count(*) FROM c), (SELECT count(*) FROM c WHERE statut_resolution IS NULL OR (statut_resolution = 'resolue' AND coalesce(url_mairie, source_resolution) IS NULL) OR (statut_resolution = 'resolue' AND url_mairie IS NULL) OR (statut_resolution = 'resolue' AND source_resolution IS NULL))
+UNION ALL SELECT 'domaine_mail.mx', (SELECT count(*) FROM d), (SELECT count(*) FROM d WHERE mx < 0 OR mx > 1)
+UNION ALL SELECT 'page.' || unnest(['statut', 'profondeur']), (SELECT count(*) FROM p), unnest([(SELECT count(*) FROM p WHERE NOT coalesce(regexp_full_match(statut, 'a_visiter|visitee|bloquee|erreur|hors_type|dupliquee'), false)), (SELECT count(*) FROM p WHERE profondeur IS NULL OR profondeur < 0 OR profondeur > 2)])"""
 
 
-@query("contraintes", " UNION ALL ".join(_rule_sql(n, s) for n, s in (("contact", "ct"), ("commune", "c"), ("domaine_mail", "d"), ("page", "p"))))
+@query("contraintes", _BROKEN)
 def contraintes(spark, folder):
     out = None
     for name, df in (("contact", contacts), ("commune", communes), ("domaine_mail", domains), ("page", pages)):
@@ -570,30 +531,6 @@ def contraintes(spark, folder):
     return out
 
 
-@query("sites_normalises")
-def sites(spark, folder):
-    return associations(spark, folder).select("id", places.site_address(trimmed(F.col("site_web"))).alias("site"))
-
-
-_HTML = [
-    ("https://bruz.example/associations", "35047", '<nav><a href="/">Accueil</a></nav><table><tr><td>Tennis club des Landes<td><a href="mailto:Contact@tennis.example?subject=x">écrire</a><td>02 99 00 00 01</table><p>Chorale du Bourg : chorale [at] exemple [dot] fr'),
-    ("https://bruz.example/contact", "35047", '<ul><li>Mairie <a href="tel:+33299000000">appeler</a><li>Marie, 06 12 34 56 78, marie.dupont@bruz.example</ul>'),
-]
-_NAMED = [(1, "35047", "Tennis club des Landes", None), (2, "35047", "Chorale du Bourg", None), (3, "35047", "Chorale du bourg", None)]
-
-
-def _inline_contacts(spark: SparkSession) -> DataFrame:
-    docs = spark.createDataFrame(_HTML, "page string, code_insee string, html string").select("page", "code_insee", parse_page("html", "page").alias("doc"))
-    return op.page_contacts(docs)
-
-
-@query("s15_extraction")
-def s15(spark, folder):
-    """From the HTML of two pages to contacts and the associations that they belong to."""
-    ship(spark)
-    names = oa.known_names(spark.createDataFrame(_NAMED, "id long, code_insee string, nom string, date_dissolution string"))
-    return oa.attach_contacts(_inline_contacts(spark), names).drop("contextes")
-
 
 @query("w12_derniers_passages", "SELECT campagne, count(*) AS pages, min(planifiee_at) AS debut, max(fetched_at) AS fin FROM p GROUP BY 1 ORDER BY campagne DESC LIMIT 5")
 def w12(spark, folder):

@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +14,6 @@ from regesta.functions import contacts as fc
 from regesta.functions import links as fl
 from regesta.functions import pages as fp
 from regesta.functions import places, times
-from regesta.functions.keys import canonical_url
 from regesta.operators import pages as op
 from regesta.operators.jobs import resume_points
 from regesta.plans.domain import _CLEAN, _NAME, NOW, associations, communes, contacts, pages

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +42,3 @@ def as_json(df: DataFrame) -> DataFrame:
 def write_once(df: DataFrame, path: str) -> None:
     """A snapshot that is there whole or not at all: Spark's commit protocol moves it into place."""
     df.write.mode("overwrite").parquet(path)
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -87,6 +87,10 @@ def town_halls(services: DataFrame, departement: str | None = None) -> DataFrame
     return rows if departement is None else rows.where(F.col("departement") == departement)
 
 
+# How a dated dump is named.
+DUMP_LINK = r"""href="([^"]*\d{4}-\d{2}-\d{2}_\d{6}-data\.gouv_local\.json)\""""
+
+
 def newest_dump(listing: Column) -> Column:
     """Of a listing's links to dated dumps the newest, by name."""
-    return F.array_max(F.regexp_extract_all(listing, F.lit(r"""href="([^"]*\d{4}-\d{2}-\d{2}_\d{6}-data\.gouv_local\.json)\""""), F.lit(1)))
+    return F.array_max(F.regexp_extract_all(listing, F.lit(DUMP_LINK), F.lit(1)))

@@ -227,13 +227,20 @@ def test_insert_new(spark, known_rows):
 
 
 def test_contacts_of_pages(spark):
-    from regesta.plans import domain
-
-    got = {(r.kind, r.valeur_normalisee): r for r in domain.QUERIES["s15_extraction"](spark, "").collect()}
+    from regesta.functions.pages import parse_page
+    from regesta.operators import attach as oa
+
+    html = [
+        ("https://plobec.example/liste", "41873", '<header><a href="/">Retour</a></header><table><tr><td>Judo des Moulins<td><a href="mailto:Bureau@judo.example?subject=y">courriel</a><td>02 41 00 00 01</table><p>Fanfare du Lavoir : fanfare [at] courriel [dot] fr'),
+        ("https://plobec.example/joindre", "41873", '<ul><li>Accueil <a href="tel:+33241000000">numéro</a><li>Paul, 06 21 43 65 87, paul.durand@plobec.example</ul>'),
+    ]
+    named = [(1, "41873", "Judo des Moulins", None), (2, "41873", "Fanfare du Lavoir", None), (3, "41873", "Fanfare du lavoir", None)]
+    docs = spark.createDataFrame(html, "page string, code_insee string, html string").select("page", "code_insee", parse_page("html", "page").alias("doc"))
+    names = oa.known_names(spark.createDataFrame(named, "id long, code_insee string, nom string, date_dissolution string"))
+    got = {(r.kind, r.valeur_normalisee): r for r in oa.attach_contacts(op.page_contacts(docs), names).collect()}
     assert {k: (r.methode, r.confiance, r.association_id) for k, r in got.items()} == {
-        ("email", "contact@tennis.example"): ("dom:mailto+nom", 0.81, 1), ("phone", "+33299000001"): ("texte:motif+nom", 0.54, 1), ("email", "chorale@exemple.fr"): ("texte:obfusque", 0.45, None),
-        ("phone", "+33299000000"): ("dom:tel", 0.9, None), ("email", "marie.dupont@bruz.example"): ("texte:motif", 0.6, None),
+        ("email", "bureau@judo.example"): ("dom:mailto+nom", 0.81, 1), ("phone", "+33241000001"): ("texte:motif+nom", 0.54, 1), ("email", "fanfare@courriel.fr"): ("texte:obfusque", 0.45, None),
+        ("phone", "+33241000000"): ("dom:tel", 0.9, None), ("email", "paul.durand@plobec.example"): ("texte:motif", 0.6, None),
     }
-    assert got["email", "chorale@exemple.fr"].rattachable and not got["email", "marie.dupont@bruz.example"].rattachable
-    docs = spark.createDataFrame(domain._HTML, "page string, code_insee string, html string").select("page", "code_insee", domain.parse_page("html", "page").alias("doc"))
-    assert [tuple(r) for r in op.excluded_mobiles(docs).collect()] == [("https://bruz.example/contact", 1)]
+    assert got["email", "fanfare@courriel.fr"].rattachable and not got["email", "paul.durand@plobec.example"].rattachable
+    assert [tuple(r) for r in op.excluded_mobiles(docs).collect()] == [("https://plobec.example/joindre", 1)]

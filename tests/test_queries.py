@@ -8,11 +8,12 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from regesta.plans import domain, general
+from regesta.plans import domain, general, intake, work
 from tools.compare import plain
 
 FOLDER = Path("/root/testdata/sf0.001")
-QUERIES, SQL = general.QUERIES | domain.QUERIES, general.SQL | domain.SQL
+MODULES = (general, domain, intake, work)
+QUERIES, SQL = ({k: v for m in MODULES for k, v in getattr(m, kind).items()} for kind in ("QUERIES", "SQL"))
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +38,10 @@ def test_query(spark, con, name):
         assert Counter(got) == Counter(tuple(plain(r[i]) for i in order) for r in rel.fetchall())
 
 
+def test_names_are_of_one_query():
+    assert len(QUERIES) == sum(len(m.QUERIES) for m in MODULES) and SQL.keys() <= QUERIES.keys()
+
+
 def test_core_does_not_know_llm():
     root = Path(__file__).resolve().parent.parent / "regesta"
     for p in root.rglob("*.py"):
