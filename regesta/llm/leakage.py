@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from regesta.functions.text import words
+from regesta.llm.words import words
 from regesta.session import materialise
 
 #: Words of a window, and of a shingle within it.

