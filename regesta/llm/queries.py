@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from regesta.functions.keys import canonical_url, code_insee, instant, trimmed
 from regesta.functions.text import normalise_name
 from regesta.functions.times import iso_text
+from regesta.llm import oracles
 from regesta.llm.keys import contact_key, email_key, phone_key
 from regesta.llm.leakage import leaks
 from regesta.llm.mainbody import main_body
@@ -182,4 +183,4 @@ QUERIES = {
     "p4_found": p4_found, "p4_entries": p4_entries, "p5_found": p5_found, "p5_pages": p5_pages, "p6_found": p6_found, "p6_survivors": p6_survivors, "p8_found": p8_found, "p8_items": p8_items, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sources": p10_sources,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(oracles.SQL)

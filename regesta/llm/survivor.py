@@ -18,7 +18,7 @@ def survivors(
     product of the trust columns, each a rank of 0 or more, made 1 + rank) times the decay of its age, 0.5 ** (age / half life).
     The votes of equal values are summed, the winner of each field is chosen by max_by, and the winners are pivoted back to one row.
 
-    * fields: the value with the greatest sum of votes wins. Values are equal as their normalised form in `same` says (by default as text);
+    * fields: the value with the greatest sum of votes (to nine places, so that the order of adding does not matter) wins. Values are equal as their normalised form in `same` says (by default as text);
       what is written is the form of the strongest single vote. Ties go to the greatest normalised value.
     * the identity: its vote is the record's own. Equal votes are decided by the criteria in their order, then by the identity.
     * criteria: columns where more is better and null is least. Here the rank of a value outweighs any sum of votes, so that the winner is the best
@@ -51,7 +51,7 @@ def survivors(
     ballots += [ballot("_all", F.lit(""), F.array_join(F.array(*(m.cast("string") for m in marks)), " "), marks)] if marks else []
     any_known = F.coalesce(*(F.col(g).cast("string") for g in group)).isNotNull()
     long = records.where(any_known).select(*group, vote.alias("vote"), F.explode(F.array(*ballots)).alias("b")).select(*group, "vote", "b.*").where("form is not null")
-    by_value = long.groupBy(*group, "field", "form").agg(F.sum("vote").alias("vote"), F.count("*").alias("n"), F.max("rank").alias("rank"), F.max_by("value", F.struct("vote", "value")).alias("value"))
+    by_value = long.groupBy(*group, "field", "form").agg(F.round(F.sum("vote"), 9).alias("vote"), F.count("*").alias("n"), F.max("rank").alias("rank"), F.max_by("value", F.struct("vote", "value")).alias("value"))
 
     def winner(field: str, what: Column, *order: str) -> Column:
         own = F.col("field") == field

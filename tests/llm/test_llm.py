@@ -6,7 +6,9 @@ import math
 import random
 from collections import Counter
 from datetime import UTC, datetime
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -14,7 +16,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from regesta.llm.words import words
-from regesta.llm import keys, leakage, lines, mainbody, matching, mixing, survivor, truncation, variants
+from tools.compare import plain
+from regesta.llm import keys, leakage, lines, mainbody, matching, mixing, queries, survivor, truncation, variants
 from regesta.llm.graph import components
 
 # --- words and contacts ------------------------------------------------------------------------------------------
@@ -508,3 +511,23 @@ def test_truncation(spark):
     rates = {r.source: r.tronques for r in truncation.truncation_by_source(truncation.truncated(df), sources).collect()}
     assert rates[None] == 0 and rates["b"] >= 4
     assert truncation.truncated(df.limit(0)).count() == 0
+
+
+# --- SQL ----------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_gives_the_rows_of_its_sql(spark, name):
+    folder = Path("/root/testdata/sf0.001")
+    if not folder.exists():
+        pytest.skip("the test tables are not here")
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for p in folder.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    df = queries.QUERIES[name](spark, str(folder))
+    rel = con.sql(queries.SQL[name])
+    assert sorted(rel.columns) == sorted(df.columns)
+    order = [list(rel.columns).index(c) for c in sorted(df.columns)]
+    want = Counter(tuple(plain(r[i]) for i in order) for r in rel.fetchall())
+    assert Counter(tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect()) == want
