@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from regesta.functions.keys import canonical_url, code_insee, digest, instant, t
 from regesta.operators.orphans import orphan_references, orphan_report
 from regesta.operators.skew import heavy_keys, known, least, most, rows, salted_aggregate
 from regesta.operators.snapshots import snapshot_changes
-from regesta.session import table
+from regesta.session import state_dir, table
 
 #: Keys with this share of the delivered rows count as heavy in p7.
 HEAVY_SHARE = 0.04
@@ -64,7 +65,9 @@ def page_versions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return snapshot_changes(page_versions(spark, folder), ["url", "code_insee"], "campagne", "contenu", "vu_le").select("campagne", "code_insee", "url", "changement")
+    """The keys' ordinals are kept in the session's state folder (see session.state_dir), a dictionary for each folder of tables."""
+    kept = f"{state_dir(spark)}/pages-{hashlib.sha256(folder.encode()).hexdigest()[:16]}"
+    return snapshot_changes(page_versions(spark, folder), ["url", "code_insee"], "campagne", "contenu", "vu_le", dictionary=kept).select("campagne", "code_insee", "url", "changement")
 
 
 def p3_report(spark: SparkSession, folder: str) -> DataFrame:

@@ -54,10 +54,38 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="regesta-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     sc.setCheckpointDir(own)
     return sc.getCheckpointDir()
 
 
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
+def state_dir(spark: SparkSession) -> str:
+    """Where tables are kept from run to run: the session's spark.regesta.state.dir, or, for this session only, a folder in the shared one."""
+    known = spark.conf.get("spark.regesta.state.dir", None)
+    if known:
+        return known.rstrip("/")
+    path = f"{shared_dir(spark).rstrip('/')}/regesta/state-{spark.sparkContext.applicationId}"
+    forget_at_exit(spark, path)
+    return path
+
+
+def folder_names(spark: SparkSession, path: str, whole: bool = False) -> list[str]:
+    """The folders in a folder, by name; whole: those only that a job has written to the end."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    names = sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory())
+    return [n for n in names if not whole or fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet to the shared folder and read it again.
 
@@ -66,9 +94,7 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/regesta/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    forget_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

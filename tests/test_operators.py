@@ -13,7 +13,7 @@ from regesta.operators import pages as op
 from regesta.operators.expectations import RULES, broken
 from regesta.operators.orphans import orphan_references, orphan_report
 from regesta.operators.skew import known, least, most, rows, salted_aggregate, total
-from regesta.operators.snapshots import assign_ordinals, key_dictionary, snapshot_changes
+from regesta.operators.snapshots import read_dictionary, snapshot_changes
 from regesta.operators.upserts import fold_communes, insert_new, latest, minimal_communes, upsert_contacts
 
 REFS = "nom_table string, champ string, cle string, periode string, enregistrement string, instant timestamp"
@@ -118,16 +118,25 @@ def test_snapshot_changes_equal_brute_force(spark, data, buckets):
     assert Counter((r.s, r.k, r.changement) for r in got) == Counter(changes_by_hand(data))
 
 
-def test_ordinals_stay(spark):
-    def frame(keys):
-        return spark.createDataFrame([(k,) for k in keys], "k string")
-
-    first = key_dictionary(assign_ordinals(frame(["a", "b", "c", "a"]), ["k"], None, 2), ["k"])
-    before = {r.k: (r.bucket, r.ordinal) for r in first.collect()}
-    both = key_dictionary(assign_ordinals(frame(["0", "b", "z", "c"]), ["k"], first, 2), ["k"], first)
-    after = {r.k: (r.bucket, r.ordinal) for r in both.collect()}
-    assert {k: after[k] for k in before} == before
-    assert len(set(after.values())) == len(after) == 5
+def test_ordinals_stay(spark, tmp_path):
+    def run(rows, folder):
+        df = spark.createDataFrame(rows, "k string, s string, v string").withColumn("ver", F.lit(0))
+        got = {(r.s, r.k, r.changement) for r in snapshot_changes(df, ["k"], "s", "v", "ver", dictionary=folder, buckets=2).collect()}
+        return got, {r.k: (r.bucket, r.ordinal) for r in read_dictionary(spark, folder)[0].collect()}
+
+    folder = str(tmp_path / "keys")
+    rows = [(k, s, "x") for s, keys in (("s1", "abc"), ("s2", "bcd")) for k in keys]
+    got, first = run(rows, folder)
+    assert got == {("s2", "a", "retiree"), ("s2", "d", "ajoutee")} and len(set(first.values())) == 4
+    # the same again adds nothing; a later snapshot changes no ordinal, and gives the same as without a dictionary
+    assert run(rows, folder) == (got, first) and read_dictionary(spark, folder)[2] == 1
+    more = [*rows, *((k, "s3", "y") for k in "0bz")]
+    got, after = run(more, folder)
+    assert {k: after[k] for k in first} == first and len(set(after.values())) == len(after) == 6 and read_dictionary(spark, folder)[1:] == (2, 2)
+    assert got == run(more, str(tmp_path / "other"))[0]
+    # a part that was not written whole does not count
+    (tmp_path / "keys/buckets=2/00000002").mkdir()
+    assert run(more, folder)[1] == after
 
 
 def test_upserts(spark):
