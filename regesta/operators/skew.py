@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regesta.session import materialise
+from regesta.session import materialise_with
 
 #: name -> (partial aggregate, merge of partials); what can be made from these is exact in two stages.
 Agg = tuple[Callable[[], Column], Callable[[str], Column]]
@@ -33,9 +33,9 @@ def known(column: str) -> Agg:
     return (lambda: F.count(column), lambda c: F.sum(c))
 
 
-def heavy_keys(counts: DataFrame, keys: list[str], n: str, share: float) -> DataFrame:
-    """Keys with at least share of the rows in counts (one row for a key); there are at most 1/share of them."""
-    whole = counts.agg(F.sum(n)).first()[0] or 0
+def heavy_keys(counts: DataFrame, keys: list[str], n: str, share: float, whole: int | None) -> DataFrame:
+    """Keys with at least share of all rows (whole) in counts (one row for a key); there are at most 1/share of them."""
+    whole = whole or 0
     return counts.where(F.col(n) >= F.lit(share) * F.lit(float(whole))).where(" and ".join(f"{k} is not null" for k in keys))
 
 
@@ -52,8 +52,8 @@ def salted_aggregate(df: DataFrame, keys: list[str], identity: list[str], aggs:
     named like the salt are not read. Result: keys and one column for each name of aggs and distinct.
     """
     distinct = distinct or {}
-    counts = materialise(df.groupBy(*keys).agg(F.count("*").alias("_rows")), "key-counts")
-    heavy = heavy_keys(counts, keys, "_rows", heavy_share).select(*(F.col(k).alias(f"_h_{k}") for k in keys), F.lit(True).alias("_heavy"))
+    counts, seen = materialise_with(df.groupBy(*keys).agg(F.count("*").alias("_rows")), "key-counts", whole=F.sum("_rows"))
+    heavy = heavy_keys(counts, keys, "_rows", heavy_share, seen["whole"]).select(*(F.col(k).alias(f"_h_{k}") for k in keys), F.lit(True).alias("_heavy"))
     match = F.lit(True)
     for k in keys:
         match = match & (df[k] == F.col(f"_h_{k}"))

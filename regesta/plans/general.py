@@ -12,7 +12,7 @@ from regesta.functions.keys import canonical_url, code_insee, digest, instant, t
 from regesta.operators.orphans import orphan_references, orphan_report
 from regesta.operators.skew import heavy_keys, known, least, most, rows, salted_aggregate
 from regesta.operators.snapshots import snapshot_changes
-from regesta.session import state_dir, table
+from regesta.session import materialise_with, state_dir, table
 
 #: Keys with this share of the delivered rows count as heavy in p7.
 HEAVY_SHARE = 0.04
@@ -52,8 +52,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, folder: str) -> DataFrame:
-    refs = references(spark, folder)
-    return orphan_report(refs, orphan_references(refs, reference_targets(spark, folder)))
+    return orphan_report(references(spark, folder), reference_targets(spark, folder))
 
 
 def page_versions(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,7 +89,11 @@ def _profiles(spark: SparkSession, folder: str) -> list[DataFrame]:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _union([heavy_keys(df, ["cle"], "lignes", HEAVY_SHARE) for df in _profiles(spark, folder)]).select("nom_table", "champ", "cle")
+    found = []
+    for profile in _profiles(spark, folder):
+        kept, seen = materialise_with(profile, "profile", whole=F.sum("lignes"))
+        found.append(heavy_keys(kept, ["cle"], "lignes", HEAVY_SHARE, seen["whole"]))
+    return _union(found).select("nom_table", "champ", "cle")
 
 
 def p7_profile(spark: SparkSession, folder: str) -> DataFrame:
