@@ -431,8 +431,10 @@ def verified_pairs(pairs: DataFrame, names: DataFrame, *, least: int = 2, share:
     return judged.where("u is null").select("a", "b", "sides").unionByName(unlike.join(mined.select("u", "v"), ["u", "v"]).select("a", "b", "sides"))
 
 
-def link_nodes(owners: DataFrame, names: DataFrame, verified: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, organisation, code of the owners' ids; loose, organisation: names of unknown municipality that fit several organisations).
+def link_nodes(owners: DataFrame, names: DataFrame, verified: DataFrame, others: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, organisation, code of the owners' ids; loose, organisation: names of unknown municipality that fit several organisations; node, component of all linked nodes).
+
+    others: further edges (a, b), between nodes that no owner has, whose components are found in the same rounds.
 
     Linked names, and the several names of one id, are components within a municipality, so no organisation spans two. Names without municipality are
     components among themselves; one that fits the names of a single organisation joins it, one that fits several stays on its own and is listed.
@@ -446,7 +448,8 @@ def link_nodes(owners: DataFrame, names: DataFrame, verified: DataFrame) -> tupl
     places = nodes.select("node", "code")
     edges = links.join(places.select(F.col("node").alias("a"), F.col("code").alias("ca")), "a").join(places.select(F.col("node").alias("b"), F.col("code").alias("cb")), "b")
     edges = materialise(edges.select("a", "b", "ca", "cb"), "links")
-    inner = components(edges.where(F.col("ca").eqNullSafe(F.col("cb"))).select("a", "b"))
+    within = edges.where(F.col("ca").eqNullSafe(F.col("cb"))).select("a", "b")
+    inner = components(within if others is None else within.unionByName(others))
     placed = places.join(inner, "node", "left").select("node", "code", F.coalesce("component", "node").alias("component"))
     outer = edges.where(F.col("ca").isNull() != F.col("cb").isNull()).select(F.when(F.col("ca").isNull(), F.col("a")).otherwise(F.col("b")).alias("l"), F.when(F.col("ca").isNull(), F.col("b")).otherwise(F.col("a")).alias("r"))
     group = placed.select("node", "component")
@@ -454,7 +457,7 @@ def link_nodes(owners: DataFrame, names: DataFrame, verified: DataFrame) -> tupl
     single = fits.groupBy("loose").agg(F.count("*").alias("k"), F.min("organisation").alias("to")).where("k = 1").select("loose", "to")
     joined = owners.join(placed.select(F.col("node").alias("n"), "component"), "n").join(single, F.col("component") == F.col("loose"), "left")
     linked = joined.groupBy("id").agg(F.min(F.coalesce("to", "component")).alias("organisation"), F.max("code").alias("code"))
-    return linked, fits.join(single.select("loose"), "loose", "left_anti")
+    return linked, fits.join(single.select("loose"), "loose", "left_anti"), inner
 
 
 def link_variants(records: DataFrame, *, least: int = 8, share: float = 0.007) -> DataFrame:
@@ -481,7 +484,7 @@ def linked_and_loose(records: DataFrame, *, least: int = 8, share: float = 0.007
     """link_variants, and loose, organisation: bodies of unknown municipality that fit several organisations."""
     owners = name_owners(records)
     names, _ = name_nodes(owner_nodes(owners), least, share)
-    linked, loose = link_nodes(owners, names, verified_pairs(near_pairs(segment_keys(names)), names))
+    linked, loose, _ = link_nodes(owners, names, verified_pairs(near_pairs(segment_keys(names)), names))
     return materialise(linked, "organisations"), loose
 
 
