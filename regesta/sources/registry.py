@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 
 from regesta.functions.places import clean_text, departement_of, site_address
 from regesta.functions.text import normalise_name
+from regesta.sources.ranges import RANGE_BYTES, read_ranges
 
 # The registry's columns that are read.
 COLUMNS = ("id", "titre", "objet", "objet_social1", "adrs_codeinsee", "adrs_libcommune", "siteweb", "date_disso", "date_creat", "date_decla", "position", "maj_time")
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
-    """Quoted fields, doubled quotes, line ends in fields and CR LF are read; columns that a file lacks, and fields that a row lacks, are ''."""
-    df = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("sep", delimiter).option("mode", "PERMISSIVE").csv(path)
-    return df.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in COLUMNS))
+def read_csv(spark: SparkSession, path: str, delimiter: str = ",", columns: tuple[str, ...] = COLUMNS, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The columns of CSV files by name, with fichier and octet (the byte after each record); see read_ranges. A dump of any size is many tasks."""
+    return read_ranges(spark, path, columns, delimiter, range_bytes)
 
 
 def archive_entry_fits(name: F.Column, departement: str) -> F.Column:
