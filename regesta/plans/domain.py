@@ -438,7 +438,13 @@ def f14(spark, folder):
     return op.judge_pages(facts.select("cache_path", "url", "longueur", F.coalesce("contacts", zero).alias("contacts"), F.coalesce(F.col("noms").cast("double"), zero).alias("noms"), F.coalesce("rattaches", zero).alias("rattaches")))
 
 
-@query("k1_export")
+_EXPORT = f"""
+, e AS (SELECT ct.*, c.departement, c.nom AS commune, a.rna_id, a.nom AS association, CASE WHEN a.id IS NOT NULL THEN {_TYPE.replace('nom', 'a.nom')} END AS type FROM ct JOIN c USING (code_insee) LEFT JOIN a ON a.id = ct.association_id WHERE ct.review_statut <> 'rejete' AND ct.score >= 0.5)
+SELECT departement, row_number() OVER (PARTITION BY departement ORDER BY commune NULLS FIRST, association NULLS FIRST, kind, valeur, id) AS rang, id, code_insee, commune, rna_id, association, type, kind, valeur, valeur_corrigee, coalesce(valeur_corrigee, valeur) AS valeur_publiable,
+CASE WHEN kind <> 'email' THEN '' WHEN is_generique = 1 THEN 'generique' WHEN is_generique = 0 THEN 'nominatif' ELSE 'indetermine' END AS regime, printf('%.2f', score) AS score, printf('%.2f', confiance) AS confiance, methode_extraction, source_url, collected_at, review_statut FROM e"""
+
+
+@query("k1_export", _EXPORT)
 def k1(spark, folder):
     typed = associations(spark, folder).withColumn("type", association_type(F.col("code_objet_social"), F.col("nom"))["type"])
     return oc.export_lines(contacts(spark, folder), typed, communes(spark, folder), least_score=0.5)

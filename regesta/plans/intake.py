@@ -387,15 +387,3 @@ def k7(spark, folder):
     for _ in range(2):
         export.write_once(domains(spark, folder).select("domaine", "mx", "verifie_at"), path)
     return spark.read.parquet(path)
-
-
-@query("k1_fichier", """, e AS (SELECT c.departement, row_number() OVER (PARTITION BY c.departement ORDER BY c.nom NULLS FIRST, a.nom NULLS FIRST, ct.kind, ct.valeur, ct.id) AS rang, ct.id, ct.code_insee, c.nom AS commune, a.rna_id, a.nom AS association, ct.kind, coalesce(ct.valeur_corrigee, ct.valeur) AS valeur_publiable,
-CASE WHEN ct.kind <> 'email' THEN '' WHEN ct.is_generique = 1 THEN 'generique' WHEN ct.is_generique = 0 THEN 'nominatif' ELSE 'indetermine' END AS regime, printf('%.2f', ct.score) AS score, printf('%.2f', ct.confiance) AS confiance
-FROM ct JOIN c USING (code_insee) LEFT JOIN a ON a.id = ct.association_id WHERE ct.review_statut <> 'rejete' AND ct.score >= 0.5) SELECT * FROM e""")
-def k1(spark, folder):
-    """The public file's rows, ranked in their district's file."""
-    from regesta.operators import contacts as oc
-
-    typed = associations(spark, folder).withColumn("type", F.lit(None).cast("string"))
-    lines = oc.export_lines(contacts(spark, folder), typed, communes(spark, folder), least_score=0.5)
-    return lines.select("departement", "rang", "id", "code_insee", "commune", "rna_id", "association", "kind", "valeur_publiable", "regime", "score", "confiance")

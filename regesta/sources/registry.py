@@ -23,9 +23,14 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",", columns: tupl
     return read_ranges(spark, path, columns, delimiter, range_bytes)
 
 
+def entry_end(departement: str) -> str:
+    """How the name of a district's file in the registry's archive ends, in lower case."""
+    return f"_dpt_{departement.lower()}.csv"
+
+
 def archive_entry_fits(name: F.Column, departement: str) -> F.Column:
     """Is it the file of one district in the registry's archive?"""
-    return F.lower(name).endswith(f"_dpt_{departement.lower()}.csv")
+    return F.lower(name).endswith(entry_end(departement))
 
 
 def read_archive(spark: SparkSession, path: str, departement: str) -> DataFrame:
@@ -35,7 +40,7 @@ def read_archive(spark: SparkSession, path: str, departement: str) -> DataFrame:
 
 def archive_rows(files: DataFrame, departement: str) -> DataFrame:
     """The rows of a district from archives given as bytes (content); see archive_entry_fits for the entries that count."""
-    wanted = f"_dpt_{departement.lower()}.csv"
+    wanted = entry_end(departement)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
