@@ -250,6 +250,33 @@ def test_matching(spark):
     assert matching.match_entities(left, right.limit(0), lc, rc)[0].count() == 0
 
 
+def shared_contact(spark, region="35"):
+    """Ten bodies of one place with one contact, nine of them named by entries, and one entry without a name that has the contact too; further entries, some of them without names, with contacts of their own."""
+    word = [a + b + c for a in ("bra", "dru", "fle", "glo", "kin") for b in ("vit", "som", "pel", "jar") for c in ("oluc", "edan", "ifur")]
+    rows, entries, lc, rc = [], [], [], []
+    for i in range(60):
+        place, code = ("Bourg", "35001") if i < 10 else (f"Ville {i}", f"35{i:03}")
+        rows.append((i, f"Judo club {word[i]} {word[-1 - i][::-1]}", None, place, code, "35", None))
+        contact = "tous@bourg.fr" if i < 10 else f"c{i}@x.fr"
+        rc.append((i, contact))
+        if i != 9:
+            entries.append((100 + i, None if 10 <= i < 35 else rows[i][1], None, place, code, "35", None))
+        else:
+            entries.append((109, None, None, place if region else None, code if region else None, region, None if region else "judo"))
+        lc.append((100 + i, contact))
+    schema = "id long, name string, sigle string, place string, code string, region string, activity string"
+    left, right = spark.createDataFrame(entries, schema), spark.createDataFrame(rows, schema).withColumn("alt_name", F.col("name"))
+    return left, right, *(spark.createDataFrame(c, "id long, contact string") for c in (lc, rc))
+
+
+@pytest.mark.parametrize("region", ["35", None])
+def test_a_contact_of_many_bodies_leaves_the_one_that_is_free(spark, region):
+    matches, linked = matching.match_entities(*shared_contact(spark, region), least=3, share=0.3)
+    ids = {r.organisation: r.id for r in linked.collect()}
+    likely = {(r.l, ids[r.r]) for r in matches.collect() if r.p >= 0.5}
+    assert likely == {(100 + i, i) for i in range(60)}
+
+
 def test_matching_of_equal_names_without_own_words(spark):
     schema = "id long, name string, sigle string, place string, code string, region string"
     # the register's name ends in its municipality's; some entries know no code or no municipality
