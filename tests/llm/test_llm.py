@@ -10,6 +10,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from regesta.llm.words import words
 from tools.compare import plain
-from regesta.llm import keys, leakage, lines, mainbody, matching, mixing, queries, survivor, truncation, variants
+from regesta.llm import keys, leakage, lines, mainbody, matching, mixing, nearness, queries, survivor, truncation, variants
 from regesta.llm.graph import components
 
 # --- words and contacts ------------------------------------------------------------------------------------------
@@ -98,6 +99,110 @@ def test_index_finds_every_word_that_the_verifier_accepts(word, edits):
         assert len(x) < len(y) or variants.asked_keys(x, False) & set(variants.unit_keys(y))
 
 
+KNOWN = frozenset("judo moto club danse comite fetes madeleine amis".split())
+
+
+def spelled(rng):
+    """A name of a few words of syllables, some of them mistyped, cut, written together or left out, others of its activity."""
+    syllable = lambda: rng.choice("bdfglmnprst") + rng.choice("aeiou")
+    body = [["bravitolu", "kelvonarst"], ["dramisku", "plefo"], ["gilmbetu", "sorfendal"], ["bravitolus", "fropgal"], ["".join(syllable() for _ in range(rng.randint(3, 5))) for _ in range(rng.randint(1, 3))]]
+    own = list(rng.choice(body))
+    rng.shuffle(own)
+    for _ in range(rng.randint(0, 3)):
+        i, kind = rng.randrange(len(own)), rng.randrange(7)
+        w = own[i]
+        at = rng.randrange(1, max(2, len(w) - 1))
+        if kind < 4:
+            own[i] = [w[:at] + w[at + 1 :], w[:at] + rng.choice("aeimrst") + w[at:], w[:at] + rng.choice("aeimrst") + w[at + 1 :], w[: at - 1] + w[at - 1 : at + 1][::-1] + w[at + 1 :]][kind]
+        elif kind == 4:
+            own[i] = w[: max(4, len(w) - rng.randint(1, 4))]
+        elif kind == 5 and len(own) > 1:
+            own = ["".join(own[:2]), *own[2:]]
+        else:
+            own.append(rng.choice(["madelon", "bourgneuf", "quartier", "dina", "mbk"]))
+    return " ".join([*rng.sample(sorted(KNOWN), rng.randint(0, 2)), *[w for w in own if w]])
+
+
+def parsed_names(seed, many):
+    rng = random.Random(seed)
+    nodes = {(rng.choice(["A", "A", "B", None]), spelled(rng)) for _ in range(many)} - {(c, "") for c in ("A", "B", None)}
+    rows = []
+    for n, (code, alias) in enumerate(sorted(nodes, key=str)):
+        sigle = rng.choice(["", "", "jbk"])
+        place = "bourgneuf en bas" if code == "A" else ""
+        rows.append((n, rng.randint(0, 1), code, alias, sigle, place, *variants.parse(alias, sigle, place, KNOWN)))
+    return rows
+
+
+def told(rows):
+    """As near_names gives names to a group."""
+    return pd.DataFrame([(n, side, code, " ".join(core), " ".join(known), " ".join([*sig, *([sigle] if sig else [])]), any(len(w) >= 3 for w in short), place, "" if core else " ".join(sorted([*known, *short, *sig]))) for n, side, code, alias, sigle, place, core, known, short, sig in rows], columns=["n", "side", "code", "core", "known", "sig", "short", "place", "bare"])
+
+
+def accepted(rows):
+    """Pairs that compare accepts or passes on for mining, of all pairs of one municipality, or of which one is unknown; those of two names without own words left out."""
+    dicts = [dict(zip(("n", "side", "code", "alias", "sigle", "place", "core", "known", "short", "sig"), r, strict=True)) for r in rows]
+    out = set()
+    for i, x in enumerate(dicts):
+        for y in dicts[:i]:
+            if (x["code"] == y["code"] or None in (x["code"], y["code"])) and x["alias"] != y["alias"] and (x["core"] or y["core"]):
+                same, u, v = variants.compare(y, x)
+                if same or u and v:
+                    out.add((y["n"], x["n"]))
+    return out
+
+
+@pytest.mark.parametrize(("seed", "parts", "keys"), [(1, 1, 4_000_000), (2, 3, 4_000_000), (3, 1, 700), (4, 2, 900), (5, 1, 4_000_000), (6, 1, 4_000_000)])
+def test_near_names_hold_all_that_the_verifier_accepts(monkeypatch, seed, parts, keys):
+    monkeypatch.setattr(nearness, "KEYS", keys)
+    monkeypatch.setattr(nearness, "PAIRS", 500)
+    rows = parsed_names(seed, 160)
+    b = told(rows)
+    found = set()
+    for part in range(parts):
+        for own_null, names in ((False, b), (True, b[b["code"].isna()].reset_index(drop=True))):
+            i, j = nearness.Group(names, own_null, parts, part).found()
+            found |= {tuple(sorted((int(names["n"][x]), int(names["n"][y])))) for x, y in zip(i, j, strict=True)}
+    wanted = accepted(rows)
+    assert len(wanted) > 100 and not wanted - found
+    code = {r[0]: r[2] for r in rows}
+    assert all(code[x] == code[y] or None in (code[x], code[y]) for x, y in found)
+
+
+@given(st.text("abcd", min_size=4, max_size=12), st.lists(st.tuples(st.sampled_from("idst"), st.integers(0, 11), st.sampled_from("abcd")), max_size=3))
+def test_words_are_near_as_the_banded_distance_says(word, edits):
+    other = word
+    for kind, at, c in edits:
+        at = min(at, max(len(other) - 1, 0))
+        other = other[:at] + {"i": c + other[at:], "d": other[at + 1 :], "s": c + other[at + 1 :], "t": other[at + 1 : at + 2] + other[at : at + 1] + other[at + 2 :]}[kind]
+    if len(other) < 4:
+        return
+    texts, one, two = nearness.Texts([word, other]), np.array([0]), np.array([1])
+    k = variants.reach(min(len(word), len(other)))
+    near = variants.banded(word, other, k) <= k
+    assert bool(texts.near(one, two)[0]) == near
+    hashes = [set(texts.without(np.array([i]), len(w), nearness._edits(len(w)))[0].tolist()) for i, w in enumerate((word, other))]
+    assert not near or hashes[0] & hashes[1]
+    assert not (len(word) > 4 and len(other) > 4 and variants._cut(word, other)) or near or texts.cut(one, two)[0]
+
+
+def test_candidates_of_a_large_municipality_do_not_grow_with_its_pairs(spark, monkeypatch):
+    # names of a small alphabet: words are near by chance, two words of a name seldom are
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(4))
+    names = [f"{word()} {word()}" for _ in range(1500)]
+    rows = [(i, "A", n) for i, n in enumerate(names)] + [(10_000 + i, None, n.replace("a", "e", 1)) for i, n in enumerate(names[:60])]
+    df = spark.createDataFrame(rows, "id long, code string, name string").select("*", F.col("name").alias("alt_name"), F.lit(None).cast("string").alias("sigle"), F.lit(None).cast("string").alias("place"))
+    parsed, _ = variants.name_nodes(variants.owner_nodes(variants.name_owners(df)), 8, 0.007)
+    monkeypatch.setattr(nearness, "LEAST", 400)
+    monkeypatch.setattr(nearness, "MOST", 400)
+    pairs = nearness.near_names(parsed)
+    alias = {r.n: (r.code, r.alias) for r in parsed.select("n", "code", "alias").collect()}
+    got = {frozenset((alias[r.a], alias[r.b])) for r in pairs.collect()}
+    assert got >= {frozenset((("A", n), (None, n.replace("a", "e", 1)))) for n in names[:60]}
+    assert len(got) < 600  # of 1,215,000 pairs
+
+
 def test_variants_across_lengths_and_cuts(spark):
     # 9 and 10 letters; two letters changing places over the middle of a word of 8; two edits in a word of 7; two places changed; the same with one side's municipality unknown
     pairs = [("Bravitolu", "Bravitolus"), ("Dramsiku", "Dramisku"), ("Fropgal", "Frupgil"), ("Glimbetu", "Gilmbteu"), ("Kelvonarst", "Kelvonars")]
